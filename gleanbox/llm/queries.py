@@ -5,25 +5,70 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanbox.llm import fingerprints, lines, mixing
+from gleanbox.llm import fingerprints, html, language, licenses, lines, mixing, neardup, suffixtree, tokens
 from gleanbox.llm.common import load
 
 
+def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(load(spark, sf_dir, "pages"))
+
+
+def op2_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(load(spark, sf_dir, "documents"))
+
+
+def op3_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_recurring_lines(load(spark, sf_dir, "documents"))
 
 
+def op5_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(load(spark, sf_dir, "documents"))
+
+
 def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(load(spark, sf_dir, "documents"))
 
 
+def op7_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.filter(~held_out))
+    predicted = language.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = suffixtree.is_held_out(F.col("doc_id"))
+    return suffixtree.score_texts(docs, docs.filter(~held_out), held_out)
+
+
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+QUERIES = (
+    op1_page_differencing,
+    op2_license_join,
+    op3_minmax_hashing,
+    op4_line_templates,
+    op5_whole_tokens,
+    op6_closed_syncmers,
+    op7_language_bitmasks,
+    op8_suffix_tree,
+    op10_sainte_lague_mix,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_line_templates, op6_closed_syncmers, op10_sainte_lague_mix)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
