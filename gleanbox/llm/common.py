@@ -61,3 +61,12 @@ def word_count(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id never gives 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(1)).cast("int")
+
+
+# letters in lower case, digits and bytes beyond ASCII stay; all else parts words
+_ALNUM = bytes(ord(chr(c).lower()) if c < 0x80 and chr(c).isalnum() else (c if c >= 0x80 else 0x20) for c in range(256))
+
+
+def alnum_words(text: str) -> list[bytes]:
+    """Lower-cased words: runs of ASCII letters, digits and everything beyond ASCII."""
+    return text.encode().translate(_ALNUM).split()

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanbox.llm.common import alnum_words as words
+
 CONTAINED = 0.8
 ABOUT = 0.25
 
@@ -55,14 +57,6 @@ TEMPLATES = {
     "reserved": ["All rights reserved"],
 }
 
-_SEPARATORS = {c: " " for c in range(0x80) if not chr(c).isalnum()}
-_TABLE = bytes(ord(_SEPARATORS[c]) if c in _SEPARATORS else ord(chr(c).lower()) if c < 0x80 else c for c in range(256))
-
-
-def words(text: str) -> list[bytes]:
-    """Lower-cased words: digits, letters and everything beyond ASCII."""
-    return text.encode().translate(_TABLE).split()
-
 
 class Templates:
     """The templates' words in global order, and the index of their prefixes."""

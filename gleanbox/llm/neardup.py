@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanbox.llm.common import materialize
@@ -212,7 +212,10 @@ def cell_pairs(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+    """doc_id, text_key, n_shingles, group, component_id and kept of every row of docs (doc_id, text).
+
+    The group numbers what is linked; it is null for an empty set.
+    """
     rows = materialize(signed(docs, width), "signatures")
     # a class is named by 63 bits of its set's 128; its row of the smallest key gives the text
     named = rows.filter("n_shingles > 0").withColumn("class_id", F.shiftrightunsigned(F.xxhash64("set_key"), 1))
@@ -236,6 +239,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     grouped = named.select("doc_id", "text_key", "n_shingles", "class_id").join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
     grouped = grouped.withColumn("group", F.coalesce("component", "class_id"))
     smallest = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    out = grouped.join(smallest, "group").select("doc_id", "text_key", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = grouped.join(smallest, "group").select("doc_id", "text_key", "n_shingles", "group", "component_id")
+    alone = rows.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each group the smallest id stays."""
+    found = near_duplicates(docs.select("doc_id", "text"), width, percent)
+    first = found.filter("group is not null and kept").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
+    stay = first.select("x.*").withColumn("_one", F.lit(True)).unionByName(found.filter("group is null").select("doc_id", "text_key", F.lit(False).alias("_one")))
+    stay = stay.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.max("_one").alias("_one"))
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    both = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_text_key"] == stay["_key"]))
+    # a row repeated in full stays once; rows without words are linked with nothing and all stay
+    place = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
+    return both.withColumn("_place", place).filter("not _one or _place = 1").select(*docs.columns)

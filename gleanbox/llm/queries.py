@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanbox.llm import fingerprints, html, language, licenses, lines, mixing, neardup, suffixtree, tokens
+from gleanbox.llm import decontaminate, fingerprints, html, language, licenses, lines, mixing, neardup, suffixtree, tokens
 from gleanbox.llm.common import load
 
 
@@ -50,6 +50,10 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score_texts(docs, docs.filter(~held_out), held_out)
 
 
+def op9_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,12 +67,20 @@ QUERIES = (
     op6_closed_syncmers,
     op7_language_bitmasks,
     op8_suffix_tree,
+    op9_bm25_wand,
     op10_sainte_lague_mix,
 )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in (*QUERIES, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
