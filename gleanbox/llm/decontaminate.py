@@ -4,8 +4,9 @@ The index holds the test items, in parts of at most ``PART`` words. Every passag
 training text (``2 * PART`` words, a new one each ``PART`` words, so that each run of PART
 words lies within one) is a query. Scores are BM25 shares: an item's score over what its own
 words give, so one threshold serves all. Retrieval is exact: WAND passes over items whose
-list maxima, and then block maxima, can't sum up to the threshold; a passage whose words'
-maxima can't reach it is not looked up at all.
+list maxima, and then block maxima, can't sum up to the threshold. Most passages are not
+looked up at all: an item's commoner words, up to ``COMMON`` of its score, can't reach the
+threshold alone, so a passage must have enough of its other words.
 
 A retrieved item counts if its question and its answer overlap the passage: at least
 ``OVERLAP`` of the words of each are in runs of ``RUN`` words that the passage has too. The
@@ -33,6 +34,7 @@ from gleanbox.llm.common import alnum_words
 
 PART = 64
 THRESHOLD = 0.6
+COMMON = 0.4
 OVERLAP = 0.6
 RUN = 3
 LEAST = 5
@@ -106,6 +108,42 @@ class BlockMaxIndex:
             block_max = [max(shares[k : k + BLOCK]) for k in range(0, len(shares), BLOCK)]
             self.lists[w] = (places, shares, block_max)
         self.bound = {w: max(x[2]) for w, x in self.lists.items()}
+        self.rare: dict[bytes, list[tuple[int, float]]] = {}
+        self.needed: list[float] = []
+        for part, bag in enumerate(bags):
+            held = 0.0
+            # commonest words first; what a passage lacks of the rest it can't make up for
+            for w in sorted(bag, key=lambda w: (-frequency.get(w, 1), len(w), w)):
+                places, shares, _ = self.lists[w]
+                share = shares[bisect_left(places, part)]
+                if held + share <= COMMON:
+                    held += share
+                else:
+                    self.rare.setdefault(w, []).append((part, share))
+            self.needed.append(THRESHOLD - held - 1e-9)
+        self.rare_words = frozenset(self.rare)
+
+    def promising(self, found: list[bytes]) -> list[int]:
+        """Numbers of the passages that can hold an item; passage k begins at word k * PART."""
+        hits = self.rare_words.intersection(found)
+        if not hits:
+            return []
+        there: dict[int, set[bytes]] = {}
+        last = max(-(-len(found) // PART) - 2, 0)
+        for place, w in enumerate(found):
+            if w in hits:
+                k = place // PART
+                for passage in {min(k, last), max(k - 1, 0)}:
+                    there.setdefault(passage, set()).add(w)
+        out = []
+        for k, words in sorted(there.items()):
+            sums: dict[int, float] = {}
+            for w in words:
+                for part, share in self.rare[w]:
+                    sums[part] = sums.get(part, 0.0) + share
+            if any(x >= self.needed[part] for part, x in sums.items()):
+                out.append(k)
+        return out
 
     def search(self, query: set[bytes], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All (part, score) with a score of at least the threshold, by block-max WAND."""
@@ -161,12 +199,8 @@ class BlockMaxIndex:
         out: dict[int, tuple[float, float, float]] = {}
         if not found:
             return out
-        bound = self.bound
-        sums = np.concatenate([[0.0], np.cumsum([bound.get(w, 0.0) for w in found])])
-        starts = np.arange(0, max(len(found) - PART, 1), PART)
-        stops = np.minimum(starts + 2 * PART, len(found))
-        for k in np.flatnonzero(sums[stops] - sums[starts] >= THRESHOLD - 1e-9):
-            passage = found[starts[k] : stops[k]]
+        for k in self.promising(found):
+            passage = found[k * PART : (k + 2) * PART]
             for part, score in self.search(set(passage)):
                 item, question, answer = self.parts[part]
                 q, a = covered(question, passage), covered(answer, passage)
