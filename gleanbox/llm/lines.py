@@ -2,7 +2,8 @@
 
 Tokens with a digit become ``<*>``. A line's leaf is given by its token count and its first
 ``LEAD`` tokens. In a leaf, a token that stands at one place in at least ``min_docs`` texts
-is a constant; other tokens become ``<*>``, up to one in five. A template that at least
+is a constant; other tokens become ``<*>``, up to one in five. Of a template's tokens at
+most half may be ``<*>``: rows of numbers are no template. A template that at least
 ``min_docs`` different texts have is recurring; its lines are dropped.
 
 Exact copies of a text count once. A text of which recurring lines make up half or more of
@@ -63,9 +64,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
     often = tokens.groupBy("leaf", "at", "token").agg(F.sum("n_texts").alias("n")).filter(F.col("n") >= min_docs).drop("n")
     marked = tokens.join(often.withColumn("constant", F.lit(True)), ["leaf", "at", "token"], "left")
     word = F.when(F.col("constant") | (F.col("at") < LEAD), F.col("token")).otherwise(F.lit(WILD))
-    rebuilt = marked.groupBy("leaf", "lh").agg(F.array_sort(F.collect_list(F.struct("at", word.alias("word")))).alias("words"), F.count(F.lit(1)).alias("n_tokens"), F.sum((word == WILD).cast("int")).alias("n_wild"))
+    rebuilt = marked.groupBy("leaf", "lh").agg(F.array_sort(F.collect_list(F.struct("at", word.alias("word")))).alias("words"), F.count(F.lit(1)).alias("n_tokens"), F.sum((word == WILD).cast("int")).alias("n_fields"), F.sum(((word == WILD) & (F.col("token") != WILD)).cast("int")).alias("n_loose"))
     template = F.array_join(F.transform("words", lambda x: x["word"]), " ")
-    fits = rebuilt.filter(F.col("n_wild") * 5 <= F.col("n_tokens")).select("lh", template.alias("template"))
+    fits = rebuilt.filter((F.col("n_loose") * 5 <= F.col("n_tokens")) & (F.col("n_fields") * 2 <= F.col("n_tokens"))).select("lh", template.alias("template"))
     placed = texts.select("key", "lh").join(fits, "lh").withColumn("th", F.xxhash64("template"))
     heavy = placed.select("th", "key").distinct().groupBy("th").count().filter(F.col("count") >= min_docs).withColumnRenamed("count", "n_texts")
     found = fits.withColumn("th", F.xxhash64("template")).join(heavy, "th").select("lh", "template", "n_texts")
