@@ -41,8 +41,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = F.sum("source_size").over(everything)
-    per = per.withColumn("_level", (total - before) / rest)
-    fits = F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_level"))
+    per = per.withColumns({"_level": (total - before) / rest, "_place": F.row_number().over(order)})
+    fits = F.when(F.col("_level") <= F.col("_ratio"), F.struct("_place", "_level"))
     level = F.min(fits).over(everything)["_level"]
     # rounding can leave the last source a hair above its own ratio
     level = F.coalesce(level, F.max("_ratio").over(everything))
