@@ -8,6 +8,7 @@ forgotten. A group without state is open. Every real sideline makes its message
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ RESULT = "group_id string, id bigint, message_id string, kind string, outcome st
 END = ", end_status string, end_last bigint, is_end boolean"
 COLUMNS = [c.split()[0] for c in (RESULT + END).split(", ")]
 
-#: Rows: kind_rank, id, message_id, kind, code, failed, ignored.
+ROW = ["kind_rank", "id", "message_id", "kind", "code", "failed", "ignored"]
 Row = tuple[int, int, str, str, int, bool, bool]
 Outcome = tuple[int, str, str, str, str | None, int | None, int | None, str | None]
 
@@ -48,8 +49,7 @@ def drain_group(status: str | None, last_id: int | None, rows: list[Row]) -> tup
 
 
 def as_rows(pdf: pd.DataFrame) -> list[Row]:
-    columns = ["kind_rank", "id", "message_id", "kind", "code", "failed", "ignored"]
-    return [(int(a), int(b), c, d, int(e), bool(f), bool(g)) for a, b, c, d, e, f, g in pdf[columns].itertuples(index=False, name=None)]
+    return list(pdf[ROW].itertuples(index=False, name=None))
 
 
 def as_frame(rows: list[tuple]) -> pd.DataFrame:
@@ -82,17 +82,18 @@ def group_drain(work: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame
     def drain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, status, last = None, None, None
         end = lambda: (current, *[None] * 8, status, last, True)
+        columns = ["group_id", "_status", "last_id", *ROW]
         for pdf in batches:
             out: list[tuple] = []
-            for group, rows in pdf.groupby("group_id", sort=False):
+            for group, rows in groupby(pdf[columns].itertuples(index=False, name=None), key=lambda r: r[0]):
+                rows = list(rows)
                 if group != current:
                     if current is not None:
                         out.append(end())
-                    first = rows.iloc[0]
                     current = group
-                    status = first["_status"] if isinstance(first["_status"], str) else None
-                    last = None if pd.isna(first["last_id"]) else int(first["last_id"])
-                status, last, done = drain_group(status, last, as_rows(rows))
+                    status = rows[0][1] if isinstance(rows[0][1], str) else None
+                    last = None if pd.isna(rows[0][2]) else int(rows[0][2])
+                status, last, done = drain_group(status, last, [r[3:] for r in rows])
                 out += [(group, *x, None, None, False) for x in done]
             yield as_frame(out)
         if current is not None:
