@@ -45,7 +45,7 @@ CONTENT = {"article", "main"}
 SCOPES = {"article", "main", "section", "div", "td", "th", "table", "nav", "footer", "header", "aside", "form", "button", "li", "blockquote"}
 
 _BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
+    r"(?:^|[\s_-])(?:ad(?:s|box|unit|slot|space)?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
     r"sidebar|side|widget\w*|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|foot|comments?|commentlist|replies|reply|respond|disqus|"
     r"share|sharing|social|related|recommend\w*|toc|pagination|pager|login|signup|search|skip|hidden|disclaimer)(?:$|[\s_-])",
     re.I,

@@ -83,5 +83,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (*QUERIES, pipeline)}
 
 
+#: op3 in SQL: sets of 3-word shingles, pairs by shared shingles, and all that can be reached.
+_OP3 = r"""
+with recursive docs as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) end as s
+  from docs),
+shingles as (select doc_id, len(s) as n, unnest(s) as x from sets),
+pairs as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.x = b.x and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links as (select a, b from pairs union all select b, a from pairs),
+reached(doc_id, other) as (
+  select doc_id, doc_id from sets union select r.doc_id, l.b from reached r join links l on l.a = r.other)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
+from sets s join (select doc_id, min(other) as component_id from reached group by doc_id) c on c.doc_id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_minmax_hashing": _OP3}
