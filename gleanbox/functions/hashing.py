@@ -61,3 +61,11 @@ def sequencing_key(group_id: Column, message_id: Column) -> Column:
 def is_ungrouped(group_id: Column) -> Column:
     """Null groups, and groups of only white space and control characters, have no order."""
     return F.coalesce(F.regexp_replace(group_id, r"^[\x00-\x20]+", ""), F.lit("")) == ""
+
+
+def spread_key(group_id: Column, message_id: Column) -> Column:
+    """A join key that equals the group, or for ungrouped rows a value that no group has.
+
+    Rows without a group would all have the key null or blank and meet in one task.
+    """
+    return F.when(is_ungrouped(group_id), F.concat(F.lit("\x00"), message_id)).otherwise(group_id)

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanbox.functions.hashing import bucket, is_ungrouped, lane_name, sequencing_key
+from gleanbox.functions.hashing import bucket, is_ungrouped, lane_name, sequencing_key, spread_key
 
 
 def with_bucket(messages: DataFrame, lanes: int, algorithm: str = "java") -> DataFrame:
     """Adds the lane number. Hashing is per character, so each group's key is hashed once.
 
-    Messages without a group have a key of their own and are hashed where they stand.
+    Messages without a group have a key of their own and are hashed where they stand; blank
+    groups, whose key is the blank text itself, are too.
     """
-    groups = messages.select("group_id").filter("group_id is not null").distinct()
-    groups = groups.withColumn("_bucket", bucket(F.col("group_id"), lanes, algorithm))
-    joined = messages.join(groups, "group_id", "left")
-    own = bucket(sequencing_key(F.lit(None).cast("string"), F.col("message_id")), lanes, algorithm)
-    return joined.withColumn("bucket", F.when(F.col("group_id").isNull(), own).otherwise(F.col("_bucket"))).select(*messages.columns, "bucket")
+    group = F.col("group_id")
+    groups = messages.select("group_id").filter(~is_ungrouped(group)).distinct()
+    groups = groups.select(group.alias("_key"), bucket(group, lanes, algorithm).alias("_bucket"))
+    joined = messages.withColumn("_key", spread_key(group, F.col("message_id"))).join(groups, "_key", "left")
+    own = bucket(sequencing_key(group, F.col("message_id")), lanes, algorithm)
+    return joined.withColumn("bucket", F.when(is_ungrouped(group), own).otherwise(F.col("_bucket"))).select(*messages.columns, "bucket")
 
 
 def lane_checkpoints(processed: DataFrame, relay: str = "default", old: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanbox.functions.hashing import is_ungrouped
+from gleanbox.functions.hashing import is_ungrouped, spread_key
 
 MAX_RETRIES = 5
 
@@ -38,7 +38,8 @@ def relay_outcome(messages: DataFrame, responses: DataFrame, sidelined_groups: D
     closed = sidelined_groups.select("group_id").distinct().withColumn("fail_id", F.lit(-1).cast("bigint"))
     # a group that was sidelined before counts as failed before its first message
     stop = first.unionByName(closed).groupBy("group_id").agg(F.min("fail_id").alias("fail_id"))
-    joined = sent.join(stop, "group_id", "left").withColumn("_stop", F.when(~F.col("_alone"), F.col("fail_id")))
+    stop = stop.withColumnRenamed("group_id", "_key")
+    joined = sent.withColumn("_key", spread_key(F.col("group_id"), F.col("message_id"))).join(stop, "_key", "left").withColumn("_stop", F.col("fail_id"))
     held = F.col("_stop").isNotNull() & (F.col("id") > F.col("_stop"))
     outcome = F.when(held, "SIDELINED").when(F.col("_ignored"), "IGNORED").when(F.col("_failed"), "SIDELINED").otherwise("RELAYED")
     reason = F.when(held, "GROUP_SIDELINED").when(F.col("_failed") & ~F.col("_ignored"), "HTTP_ERROR")

@@ -29,9 +29,16 @@ def sidelined_groups_after(groups: DataFrame, changes: DataFrame) -> DataFrame:
     return groups.unionByName(real.join(groups, "group_id", "left_anti"), allowMissingColumns=True)
 
 
+def _flagged(sidelined: DataFrame, on: str, wanted: DataFrame) -> DataFrame:
+    """Adds _hit, true where the key is wanted. Rows with a null key are spread over the tasks."""
+    flag = wanted.filter(F.col(on).isNotNull()).select(F.col(on).alias("_key")).distinct().withColumn("_hit", F.lit(True))
+    key = F.coalesce(F.col(on), F.concat(F.lit("\x00"), F.col("message_id")))
+    return sidelined.withColumn("_key", key).join(flag, "_key", "left").drop("_key")
+
+
 def _released(sidelined: DataFrame, on: str, wanted: DataFrame) -> DataFrame:
-    flag = wanted.select(on).distinct().withColumn("_hit", F.lit(True))
-    return sidelined.join(flag, on, "left").withColumn("status", F.when(F.col("_hit"), "UNSIDELINED").otherwise(F.col("status"))).select(*sidelined.columns)
+    flagged = _flagged(sidelined, on, wanted)
+    return flagged.withColumn("status", F.when(F.col("_hit"), "UNSIDELINED").otherwise(F.col("status"))).select(*sidelined.columns)
 
 
 def release_groups(sidelined: DataFrame, groups: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,11 +101,10 @@ def reset_processing(sidelined: DataFrame, groups: DataFrame) -> DataFrame:
     whatever its status, become UNSIDELINED; PROCESSING rows of those groups SIDELINED.
     Without any sidelined group: PROCESSING becomes UNSIDELINED.
     """
-    flag = groups.select("group_id").filter("group_id is not null").distinct().withColumn("_in", F.lit(True))
     some = groups.agg((F.count(F.lit(1)) > 0).alias("_some"))
-    joined = sidelined.join(flag, "group_id", "left").crossJoin(F.broadcast(some))  # some is one row
+    joined = _flagged(sidelined, "group_id", groups).crossJoin(F.broadcast(some))  # some is one row
     busy = F.col("status") == "PROCESSING"
-    with_groups = F.when(F.col("group_id").isNull(), "UNSIDELINED").when(busy & F.col("_in"), "SIDELINED").when(busy, "UNSIDELINED")
+    with_groups = F.when(F.col("group_id").isNull(), "UNSIDELINED").when(busy & F.col("_hit"), "SIDELINED").when(busy, "UNSIDELINED")
     changed = F.when(F.col("_some"), with_groups).otherwise(F.when(busy, "UNSIDELINED"))
     return joined.withColumn("status", F.coalesce(changed, F.col("status"))).select(*sidelined.columns)
 
