@@ -23,6 +23,7 @@ K = 3
 KEEP = 64
 SHORT = 24
 BLOCK_ROWS = 4096
+MOST_BLOCKS = 10_000
 
 
 def syncmer_anchors(hashes: Column, k: int = K) -> Column:
@@ -65,35 +66,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(low) == 0, F.lit(1.0)).otherwise(common / F.size(low))
 
 
+def cuts_up_to(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts are at most a value: first by groups of them, then in one group."""
+    width = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
+    whole = F.size(F.filter(longs([g[-1] for g in groups]), lambda c: c <= value))
+    rest = F.get(F.array(*[longs(g) for g in groups]), whole) if groups else longs([])
+    return F.least(whole * width, F.lit(len(cuts))) + F.size(F.filter(F.coalesce(rest, longs([])), lambda c: c <= value))
+
+
 def with_next(docs: DataFrame, columns: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds _next, a struct of ``columns`` of the next document in descending doc_id order, cyclically.
 
     Documents are cut into blocks of neighbouring ids at quantiles; the first document of
     each block is also dealt to the block before it, so each block sees all successors it
     needs and no window holds more than a block. Ties in doc_id stand in order of the text's
-    hash; a null id comes last. Only the cuts and one id per block come to the driver.
+    hash; a null id comes last. Only cuts and one id per block, at most MOST_BLOCKS, come to
+    the driver and go to the tasks.
     """
     low = F.lit(-(2**63))
     ids = docs.select(F.coalesce(F.col("doc_id"), low).alias("i"))
-    n = max(1, min(10_000, max(partitions(docs.sparkSession), ids.count() // block_rows)))
+    n = max(1, min(MOST_BLOCKS, max(partitions(docs.sparkSession), ids.count() // block_rows)))
     cuts = ids.agg(F.percentile_approx("i", [k / n for k in range(1, n)] or [0.5], 4 * max(n, 2_500)).alias("q")).first()["q"] or []
-    edges = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<bigint>")
-
-    def block(i: Column) -> Column:
-        return F.size(F.filter(edges, lambda c: c > i))
-
-    heads = {r["b"]: r["i"] for r in ids.select("i", block(F.col("i")).alias("b")).groupBy("b").agg(F.max("i").alias("i")).collect()}
-    there = sorted(heads)
-    # block 0 holds the largest ids; its head follows the last block
-    moved = [F.struct(F.lit(heads[b]).cast("bigint").alias("i"), F.lit(there[k - 1]).alias("b")) for k, b in enumerate(there)]
-    ghosts = F.map_from_entries(F.array(*moved)) if moved else F.lit(None).cast("map<bigint,int>")
-    docs = docs.withColumn("_i", F.coalesce(F.col("doc_id"), low)).withColumn("_own", block(F.col("_i")))
+    cuts = sorted(set(cuts))
+    # block 0 holds the smallest ids; the largest id of a block is its head
+    heads = {r["b"]: r["i"] for r in ids.select("i", cuts_up_to(cuts, F.col("i")).alias("b")).groupBy("b").agg(F.max("i").alias("i")).collect()}
+    there = sorted(heads, reverse=True)
+    # a head follows the last document of the block before it; the very first one follows the last block
+    moved = [(heads[b], there[k - 1]) for k, b in enumerate(there)]
+    ghosts = docs.sparkSession.createDataFrame(moved, "_head long, _ghost int")
+    docs = docs.withColumn("_i", F.coalesce(F.col("doc_id"), low)).withColumn("_own", cuts_up_to(cuts, F.col("_i")))
+    docs = docs.join(F.broadcast(ghosts), F.col("_i") == F.col("_head"), "left")
     own = F.struct(F.col("_own").alias("b"), F.lit(False).alias("g"))
-    ghost = F.struct(F.try_element_at(ghosts, F.col("_i")).alias("b"), F.lit(True).alias("g"))
+    ghost = F.struct(F.col("_ghost").alias("b"), F.lit(True).alias("g"))
     dealt = docs.withColumn("_to", F.explode(F.filter(F.array(own, ghost), lambda x: x["b"].isNotNull())))
     order = Window.partitionBy("_to.b").orderBy("_to.g", F.col("_i").desc(), F.xxhash64("text"))
     dealt = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(order))
-    return dealt.filter(~F.col("_to.g")).drop("_to", "_i", "_own")
+    return dealt.filter(~F.col("_to.g")).drop("_to", "_i", "_own", "_head", "_ghost")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:

@@ -20,9 +20,11 @@ def plain_edits(rows):
 
 def test_edits_and_lengths(spark, make_docs):
     rows = [(k * 7 % 101, t) for k, t in enumerate([f"text number {k} " * (k % 9) + "é🙂" for k in range(90)] + [None, "", "ab"])]
-    for block in (3, 4096):
+    order = sorted(rows, key=lambda r: -r[0])
+    want = {order[k][0]: order[(k + 1) % len(order)][1] for k in range(len(order))}
+    for block in (1, 3, 4096):
         got = P.with_next(make_docs(rows), ["text"], block).collect()
-        assert len(got) == len(rows)
+        assert len(got) == len(rows) and {r["doc_id"]: r["_next"]["text"] for r in got} == want
     result = {r["doc_id"]: r for r in P.fingerprint_edits(make_docs(rows)).collect()}
     for doc, edited in plain_edits(rows).items():
         assert result[doc]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
@@ -57,3 +59,9 @@ def test_odd_documents(spark, odd_docs):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert {r["fingerprint"] for r in got if r["n_chars"] == 0} == {""}
     assert P.fingerprint_edits(odd_docs.limit(0)).count() == 0
+
+
+def test_cuts(spark):
+    for cuts in ([], [5], list(range(0, 70, 7))):
+        got = spark.range(-3, 80).select("id", P.cuts_up_to(cuts, F.col("id")).alias("n")).collect()
+        assert all(r["n"] == sum(c <= r["id"] for c in cuts) for r in got)
