@@ -10,12 +10,14 @@ Texts with equal sets are one class from the start. In a bucket, classes are com
 1. with the bucket's own centre (another class in each bucket); their links are confirmed
    and give components;
 2. where classes of a bucket are still in several components, those outside its largest
-   component with all others of other components, in cells of at most CELL x CELL classes
-   inside a task; a cell passes on only pairs whose estimate is within six standard errors
-   of the threshold. These are confirmed too.
+   component with all others of other components, in cells of about CELL x CELL classes
+   inside a task. Pairs whose estimate is ``ERRORS`` standard errors below the threshold
+   are passed over. In buckets of more than ``FEW`` classes a cell has their full sets and
+   gives links alone; in the many small ones it gives pairs, which are confirmed after.
 
-So no pair is left out but by the bands' and the estimate's chances, and the pairs inside a
-component, a large group's bulk, are not made. Confirmation compares exact sets.
+So no pair is left out but by the bands' and the estimate's chances, the pairs inside a
+component, a large group's bulk, are not made, and a crowded bucket gives fewer links than
+it has classes. Confirmation compares full sets.
 
 Defined cases: a text without words (null, empty, white space) has an empty set and is
 linked with nothing; one with fewer words than a shingle has them all as one shingle;
@@ -40,7 +42,8 @@ PERMUTATIONS = 60
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 CELL = 400
-ERRORS = 6.0
+FEW = 16
+ERRORS = 4.5
 REMEMBERED = 1_000_000
 
 _random = np.random.default_rng(41)
@@ -174,41 +177,119 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return pairs.select("a", "b").join(right, "b").join(left, "a").mapInPandas(batches, "a long, b long")
 
 
-def cell_pairs(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): likely pairs between components in buckets that still hold several.
+def hashed_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(class_id, hashes): the sorted 64-bit hashes of a class's full set."""
 
-    ``buckets`` has bucket, class_id and component. A bucket's rows are dealt to a grid of
-    cells; in each, at most CELL classes meet CELL others.
+    def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for pdf in rows:
+            yield pd.DataFrame({"class_id": pdf["class_id"], "hashes": [shingle_hashes(words(t), width, known).tobytes() for t in pdf["text"]]})
+
+    return texts.select("class_id", "text").mapInPandas(batches, "class_id long, hashes binary")
+
+
+def cells(buckets: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Rows of the cells in which classes of different components meet.
+
+    ``buckets`` has bucket, class_id and component. Of a bucket that holds several
+    components, classes outside its largest one stand in rows of a grid, all classes in its
+    columns, at most about CELL each; a class is told once in a cell that has it in both.
+    Buckets of more than FEW classes carry full sets.
     """
     parts = buckets.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    open_ = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component"))["component"].alias("bulk"), F.sum("n").alias("n")).filter("parts > 1")
-    rows = buckets.join(open_.select("bucket", "bulk", F.ceil(F.col("n") / (CELL // 2)).cast("int").alias("k")), "bucket")
-    slot = F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("k")).cast("int")
-    rows = rows.withColumn("slot", slot).join(classes.select("class_id", "signature"), "class_id")
-    every = F.sequence(F.lit(0), F.col("k") - 1)
-    # side 0: all classes, in their slot's column; side 1: those outside the bulk, in their row
-    column = F.transform(every, lambda j: F.struct(j.alias("r"), F.col("slot").alias("c"), F.lit(0).alias("side")))
-    row = F.transform(every, lambda j: F.struct(F.col("slot").alias("r"), j.alias("c"), F.lit(1).alias("side")))
-    dealt = rows.withColumn("cell", F.explode(F.concat(column, F.when(F.col("component") != F.col("bulk"), row).otherwise(F.slice(row, 1, 0)))))
+    open_ = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("bulk"), F.sum("n").alias("n")).filter("parts > 1")
+    size = lambda n: F.ceil(n / CELL).cast("int")
+    open_ = open_.select("bucket", F.col("bulk.component").alias("bulk"), (F.col("n") > FEW).alias("crowded"), size(F.col("n")).alias("n_columns"), size(F.col("n") - F.col("bulk.n")).alias("n_rows"))
+    rows = buckets.join(open_, "bucket").withColumns({"outside": F.col("component") != F.col("bulk"), "column": slot("n_columns"), "row": slot("n_rows")})
+    cell = lambda r, c, is_row, is_column: F.struct(r.alias("r"), c.alias("c"), is_row.alias("is_row"), is_column.alias("is_column"))
+    down = F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), lambda r: cell(r, F.col("column"), F.col("outside") & (r == F.col("row")), F.lit(True)))
+    along = F.transform(F.sequence(F.lit(0), F.col("n_columns") - 1), lambda c: cell(F.col("row"), c, F.col("outside"), F.lit(False)))
+    along = F.filter(along, lambda x: F.col("outside") & (x["c"] != F.col("column")))
+    dealt = rows.withColumn("cell", F.explode(F.concat(down, along))).select("bucket", "cell.*", "class_id", "component", "crowded")
+    dealt = dealt.join(classes.select("class_id", "size", "signature"), "class_id")
+    crowded = rows.filter("crowded").select("class_id").distinct()
+    sets = hashed_sets(texts.join(crowded, "class_id", "left_semi"), width)
+    full = dealt.filter("crowded").join(sets, "class_id")
+    return full.unionByName(dealt.filter("not crowded").withColumn("hashes", F.lit(None).cast("binary"))).drop("crowded")
+
+
+def slot(n: str):
+    return F.pmod(F.xxhash64("class_id", F.lit(7)), F.greatest(F.col(n), F.lit(1))).cast("int")
+
+
+def compare_cell(rows: pd.DataFrame, percent: int) -> list[tuple[int, int, bool]]:
+    """(a, b, sure) for pairs of a cell that may be links.
+
+    A pair is looked at in the first band only in which the two meet. With full sets it is
+    confirmed here, and passed over if links of this cell join the two already.
+    """
+    ids, component, size = rows["class_id"].to_numpy(), rows["component"].to_numpy(), rows["size"].to_numpy()
+    sig = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint32).reshape(len(rows), -1)
+    outside = rows["is_row"].to_numpy(dtype=bool)
+    inside = np.flatnonzero(rows["is_column"].to_numpy(dtype=bool))
+    here = rows["bucket"].iloc[0]
+    band = int(np.flatnonzero(bands(sig[0]) == here)[0])
+    blobs = rows["hashes"].to_numpy()
+    exact = blobs[0] is not None
+    sets: dict[int, set[int]] = {}
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def full(k: int) -> set[int]:
+        if k not in sets:
+            sets[k] = set(np.frombuffer(blobs[k], dtype=np.uint64).tolist())
+        return sets[k]
+
     least = percent / 100 - ERRORS * np.sqrt(percent / 100 * (1 - percent / 100) / (2 * PERMUTATIONS))
+    out = []
+    for i in np.flatnonzero(outside):
+        near = inside[(component[inside] != component[i])]
+        # two classes outside the bulk meet once
+        near = near[~(outside[near] & (ids[near] < ids[i]))]
+        low, high = np.minimum(size[near], size[i]), np.maximum(size[near], size[i])
+        near = near[100 * low >= percent * high]
+        if not len(near):
+            continue
+        same = sig[near] == sig[i]
+        likely = same.mean(axis=1) >= least
+        near, same = near[likely], same[likely]
+        first = same.reshape(len(near), ROWS, BANDS).all(axis=1).argmax(axis=1) == band
+        for j in near[first]:
+            if not exact:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), False))
+                continue
+            a, b = find(component[i]), find(component[j])
+            if a == b:
+                continue
+            common = len(full(i) & full(j))
+            if 100 * common >= percent * (int(size[i]) + int(size[j]) - common):
+                parent[a] = b
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), True))
+    return out
+
+
+def cell_pairs(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b, sure) from all cells. Cells are read as a sorted stream, one held at a time."""
+    key = ["bucket", "r", "c"]
+
+    def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in rows:
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            edge = np.flatnonzero((pdf[key].to_numpy()[1:] != pdf[key].to_numpy()[:-1]).any(axis=1)) + 1
+            starts = np.concatenate([[0], edge])
+            out = [x for s, e in zip(starts, edge, strict=False) for x in compare_cell(pdf.iloc[s:e], percent)]
+            rest = pdf.iloc[starts[-1] :]
+            yield pd.DataFrame(out, columns=["a", "b", "sure"])
+        if rest is not None and len(rest):
+            yield pd.DataFrame(compare_cell(rest, percent), columns=["a", "b", "sure"])
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = pdf["side"].to_numpy()
-        if not side.any() or side.all():
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        ids, component = pdf["class_id"].to_numpy(), pdf["component"].to_numpy()
-        sig = np.stack([np.frombuffer(s, dtype=np.uint32) for s in pdf["signature"]])
-        all_ = np.flatnonzero(side == 0)
-        out = []
-        for i in np.flatnonzero(side == 1):
-            other = all_[component[all_] != component[i]]
-            near = other[(sig[other] == sig[i]).mean(axis=1) >= least]
-            out.append(np.stack([np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])], axis=1))
-        found = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    flat = dealt.select("bucket", "cell.r", "cell.c", "cell.side", "class_id", "component", "signature")
-    return flat.groupBy("bucket", "r", "c").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(batches, "a long, b long, sure boolean")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -233,8 +314,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = materialize(connected_components(links), "components-first")
     placed = buckets.join(first.withColumnRenamed("node", "class_id"), "class_id", "left")
     placed = placed.select("bucket", "class_id", F.coalesce("component", "class_id").alias("component"))
-    more = confirmed(cell_pairs(placed, classes, percent), texts, width, percent)
-    links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    met = materialize(cell_pairs(cells(placed, classes, texts, width), percent), "cell-pairs")
+    more = confirmed(met.filter("not sure").select("a", "b").distinct(), texts, width, percent)
+    links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(met.filter("sure").select("a", "b"))
     final = connected_components(links)
     grouped = named.select("doc_id", "text_key", "n_shingles", "class_id").join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
     grouped = grouped.withColumn("group", F.coalesce("component", "class_id"))

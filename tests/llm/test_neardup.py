@@ -52,9 +52,11 @@ def test_equals_all_pairs(spark, make_docs, prose, width, percent):
     assert got == want
 
 
-def test_cells_find_links_that_centres_miss(spark, make_docs, prose, monkeypatch):
+@pytest.mark.parametrize("few", [0, 6, 100])
+def test_cells_find_links_that_centres_miss(spark, make_docs, prose, monkeypatch, few):
     """A chain of edits in one crowded bucket, with small cells."""
     monkeypatch.setattr(N, "CELL", 4)
+    monkeypatch.setattr(N, "FEW", few)
     text, rows = prose(77, 150), []
     for k in range(40):
         rows.append((k + 1, text))
@@ -90,3 +92,12 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6, 10: 6, 20: 20, 21: 20} | {100 + k: 100 for k in range(31)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_query_agrees_with_sql(spark):
+    import compare
+
+    from gleanbox.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    assert compare.differences(queries.op3_minmax_hashing(spark, sf), compare.connection(sf), queries.oracle_sql()["op3_minmax_hashing"]) == ""
