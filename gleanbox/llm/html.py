@@ -50,8 +50,9 @@ _BOILER = re.compile(
     r"share|sharing|social|related|recommend\w*|toc|pagination|pager|login|signup|search|skip|hidden|disclaimer)(?:$|[\s_-])",
     re.I,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _LAYOUT = re.compile(r"(?:has|with|no|without|is|hide|show)[_-]")
+_REMARK = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|teaser|related)(?:$|[\s_-])")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 ENDS_PARAGRAPH = {"p", "div", "ul", "ol", "li", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "header", "footer", "nav", "aside", "form", "blockquote", "pre", "hr", "dl", "dt", "dd", "figure", "address"}
@@ -61,10 +62,15 @@ def is_boilerplate(name: str, attributes: str, in_content: bool) -> bool:
     """Does an element's name, role, class or id say that it is not content?"""
     if name in AWAY and not (name == "header" and in_content):
         return True
-    if not attributes or name in CONTENT or name in ("html", "body"):
+    if not attributes or name in ("main", "html", "body"):
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).strip().lower()
+        if name == "article":
+            # an article is content, but for a remark or a teaser in an article's form
+            if key in ("class", "id") and _REMARK.search(value):
+                return True
+            continue
         if key in ("class", "id"):
             named = [x for x in value.split() if not _LAYOUT.match(x) and _BOILER.search(x)]
             if named and not (in_content and all("header" in x for x in named)):

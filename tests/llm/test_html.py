@@ -37,6 +37,13 @@ def test_structure(spark):
     assert texts(spark, [(1, "http://h/a", page(body))])[1] == "Title & more One two threefour Five <six> é Quote"
 
 
+def test_remarks_in_article_form_and_broken_tags(spark):
+    body = '<article class="post header"><p>Text</p></article><article class="comment odd"><p>Remark</p></article>'
+    assert texts(spark, [(1, "http://h/a", page(body))])[1] == "Text"
+    assert len(html.page_lines("<a " * 60_000 + "<p>end</p>")) >= 1
+    assert html.page_lines('<p title="a > b">x < y</p>') == [("x < y", False, False)]
+
+
 def test_differencing_without_a_content_element(spark):
     shared = "<div>Welcome to the example house of news</div><p>Today and every day</p>"
     rows = [(k, f"http://h/a/{k}", page(f"{shared}<p>{f'Own words number {k} stand here. ' * 9}</p><div>Call us any time</div>")) for k in range(5)]
