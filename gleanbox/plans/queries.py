@@ -442,8 +442,7 @@ def group_drain(c, messages, responses, groups, sidelined, skipped):
     f"select s.* from skipped_ids s where s.id not in (select id from {_OUTCOME_SQL} o where o.outcome <> 'IGNORED')",
 )
 def skipped_outcome(c, messages, responses, groups, skipped):
-    due = messages.join(skipped.select("id"), "id", "left_semi")
-    del due  # the outcome of a skipped message depends on its whole group
+    # the outcome of a skipped message depends on its whole group
     return relay.skipped_left(skipped, relay.relay_outcome(messages, responses, groups))
 
 
