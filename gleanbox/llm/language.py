@@ -36,7 +36,7 @@ HASHES = 2
 LEAST_COUNT = 4
 SHARE_OF_BEST = 0.25
 LEAST_RATE = 2e-6
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 _LETTERS = bytes(ord(chr(c).lower()) if c < 0x80 and chr(c).isalpha() else (c if c >= 0x80 else 0x20) for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -48,6 +48,19 @@ def letters(text: str) -> bytes:
     return b" " + b" ".join(text.encode().translate(_LETTERS).split()) + b" "
 
 
+def in_pieces(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Texts in lists of about BATCH_CHARS, which bounds what a worker holds at once."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= BATCH_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def keys(data: np.ndarray, order: int) -> np.ndarray:
     """The n-grams at every place of a byte array, packed with their length."""
     n = len(data) - order + 1
@@ -138,11 +151,12 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageFilter:
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             for lang, group in pdf.groupby("lang"):  # a number
-                data = np.frombuffer(b"".join(letters(t) for t in group["text"]), dtype=np.uint8).astype(np.uint64)
-                for order in ORDERS:
-                    key, n = np.unique(keys(data, order), return_counts=True)
-                    if len(key):
-                        yield pd.DataFrame({"lang": lang, "ord": order, "key": key.astype(np.int64), "n": n})
+                for texts in in_pieces(letters(t) for t in group["text"]):
+                    data = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.uint64)
+                    for order in ORDERS:
+                        key, n = np.unique(keys(data, order), return_counts=True)
+                        if len(key):
+                            yield pd.DataFrame({"lang": lang, "ord": order, "key": key.astype(np.int64), "n": n})
 
     counted = chosen.select("text", F.element_at(number, F.col("lang")).alias("lang")).mapInPandas(batches, "lang int, ord int, key long, n long").groupBy("lang", "ord", "key").agg(F.sum("n").alias("n"))
     # rates are of all n-grams of an order; the count bound keeps what is collected to 1/LEAST_COUNT of the sample's n-grams

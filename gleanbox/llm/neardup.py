@@ -44,7 +44,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 CELL = 400
 FEW = 16
 ERRORS = 4.5
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 _random = np.random.default_rng(41)
 _A = _random.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
