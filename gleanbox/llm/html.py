@@ -3,13 +3,15 @@
 Pages of a host stand in order of their URL path. Each is paired with the neighbour that
 shares the longer start of the path (the earlier one at a tie); their text lines are aligned
 by longest common subsequence, and shared lines are deleted. What a host repeats on every
-page goes this way without being named.
+page goes this way without being named. All other lines are the text, whether they stand
+inside <article> or <main> or not, but for marked ones.
 
-Two things are kept from harm: lines inside the page's own <article> or <main> are not
-deleted, since copies of an article or passages quoted in two articles are content, and a
-pair that shares half or more of either page's text is a pair of copies and deletes nothing.
-Menus that differ from page to page escape differencing, so element names, roles and class
-names mark the rest; the README says more.
+Two things are kept from harm. A line inside <article> or <main> is deleted only if the two
+nearest pages of the host share it, since what two articles alone have is a quotation. And a
+pair that shares half or more of either page's text, and of which the rest is alike too or
+nothing is left, is a pair of copies and deletes nothing: lines are alike that begin or end
+with the same ``ENDS`` words. Menus that differ from page to page escape differencing, so
+element names, roles and class names mark the rest; the README says more.
 
 Hosts of any size are handled: a range partitioning in order of host and path splits a host
 among tasks. Neighbours across the edge of two partitions are paired from one row per edge.
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from gleanbox.llm.common import join_checked, materialize, partitions
 
 COPY_SHARE = 0.5
+ENDS = 5
 MENU_CHARS = 100
 
 # HTML's element names by the part they play.
@@ -159,27 +162,18 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
 
 
 def main_text(html: str | None, gone: list[int] | None = None) -> tuple[str, int]:
-    """(main text, lines that differencing deleted); ``gone`` numbers the loose lines to delete."""
+    """(main text, lines that differencing deleted); ``gone`` numbers the lines to delete."""
     lines = page_lines(html) if html else []
     deleted = set(gone) if gone is not None else set()
-    loose = -1
-    inside, outside = [], []
-    for text, content, marked in lines:
-        if content:
-            if not marked:
-                inside.append(text)
-        else:
-            loose += 1
-            if not marked and loose not in deleted:
-                outside.append(text)
-    return " ".join(inside or outside), len(deleted)
-
-
-def loose_lines(html: str | None) -> tuple[list[int], list[int], int]:
-    """(hashes of the lines outside the content element, their lengths, characters of all lines)."""
+    return " ".join(t for k, (t, _, marked) in enumerate(lines) if not marked and k not in deleted), len(deleted)
+
+
+def line_columns(html: str | None) -> tuple[list[int], list[int], int, list[bool], list[int]]:
+    """Of a page's lines: hashes, lengths, all characters, whether in a content element, and
+    two hashes a line, of its first and of its last words."""
     lines = page_lines(html) if html else []
-    outside = [t for t, content, _ in lines if not content]
-    return [xxhash.xxh3_64_intdigest(t) >> 1 for t in outside], [len(t) for t in outside], sum(len(t) for t, _, _ in lines)
+    ends = [xxhash.xxh3_64_intdigest(x) >> 1 for t, _, _ in lines for x in (" ".join(t.split(" ", ENDS)[:ENDS]), "\n" + " ".join(t.rsplit(" ", ENDS)[-ENDS:]))]
+    return [xxhash.xxh3_64_intdigest(t) >> 1 for t, _, _ in lines], [len(t) for t, _, _ in lines], sum(len(t) for t, _, _ in lines), [c for _, c, _ in lines], ends
 
 
 def shared_places(a: list[int], b: list[int]) -> list[int]:
@@ -224,19 +218,28 @@ def shared_start(a: str, b: str) -> int:
     return n
 
 
-def deletions(page: tuple, before: tuple | None, after: tuple | None) -> list[int]:
-    """Places of a page's loose lines that its nearest page of the host shares.
+def shared_lines(page: tuple, other: tuple) -> list[int] | None:
+    """Places of a page's lines that another page shares; None if the two are copies."""
+    gone = shared_places(list(page[3]), list(other[3]))
+    if sum(page[4][i] for i in gone) < COPY_SHARE * min(page[5], other[5]):
+        return gone
+    held = {page[3][i] for i in gone}
+    mine, theirs = ({e for i, h in enumerate(p[3]) if h not in held for e in p[7][2 * i : 2 * i + 2]} for p in (page, other))
+    return gone if 2 * len(mine & theirs) < min(len(mine), len(theirs)) else None
+
+
+def deletions(page: tuple, *around: tuple | None) -> list[int]:
+    """Places of a page's lines to delete, given the pages around it.
 
-    A page is (page_id, host, path, hashes, lengths, all characters).
+    A page is (page_id, host, path, hashes, lengths, all characters, in content, ends). A
+    line outside a content element goes if the nearest page of the host shares it, one
+    inside if the two nearest do; copies are passed over.
     """
-    near = [p for p in (before, after) if p is not None and p[1] == page[1]]
+    near = [p for p in around if p is not None and p[1] == page[1]]
     near.sort(key=lambda p: -shared_start(page[2], p[2]))
-    for other in near:
-        gone = shared_places(list(page[3]), list(other[3]))
-        chars = sum(page[4][i] for i in gone)
-        if chars < COPY_SHARE * min(page[5], other[5]):
-            return gone
-    return []
+    found = [gone for other in near if (gone := shared_lines(page, other)) is not None]
+    twice = set(found[0]).intersection(found[1]) if len(found) > 1 else set()
+    return [i for i in found[0] if i in twice or not page[6][i]] if found else []
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -246,50 +249,64 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 
 
 _PAGE = "page_key long, host string, path string, hashes array<long>, lengths array<int>, chars long"
-_FIELDS = ["page_key", "host", "path", "hashes", "lengths", "chars"]
+_LINES = _PAGE + ", inside array<boolean>, ends array<long>"
+_FIELDS = ["page_key", "host", "path", "hashes", "lengths", "chars", "inside", "ends"]
 
 
 def with_neighbours(pages: DataFrame) -> DataFrame:
-    """Adds before and after: the page's neighbours in order of host, path and key.
+    """Adds before, after and second: neighbours in order of host, path and key.
 
-    A range partitioning cuts the order into parts; the first and last page of each part are
-    also dealt to the parts beside it, so windows over one part see every neighbour. Two keys
-    for each part come to the driver.
+    Second is the neighbour but one on the side where the host has pages, for the first and
+    last page of a host. A range partitioning cuts the order into parts; the two first and
+    last pages of each part are also dealt to the parts beside it, so windows over one part
+    see every neighbour. Four keys for each part come to the driver.
     """
     order = ["host", "path", "page_key"]
+    fields = pages.columns
     parts = pages.repartitionByRange(partitions(pages.sparkSession), *order).withColumn("part", F.spark_partition_id())
     parts = materialize(parts, "page-order")
-    ends = parts.groupBy("part").agg(F.min(F.struct(*order))["page_key"].alias("first"), F.max(F.struct(*order))["page_key"].alias("last")).orderBy("part").collect()
+    key = F.struct(*order)
+    ends = parts.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    inner = parts.join(F.broadcast(ends), "part").filter((key != F.col("first")) & (key != F.col("last")))
+    ends = ends.select("part", F.explode(F.array("first", "last")).alias("k")).unionByName(inner.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last")).select("part", F.explode(F.array("first", "last")).alias("k")))
+    rows = ends.distinct().orderBy("part", "k").select("part", F.col("k.page_key").alias("page_key")).collect()
     guests: dict[int, list[int]] = {}
-    for left, right in zip(ends, ends[1:], strict=False):
-        guests.setdefault(left["last"], []).append(right["part"])
-        guests.setdefault(right["first"], []).append(left["part"])
+    first = {}
+    for at, r in enumerate(rows):
+        first.setdefault(r["part"], at)
+    stops = [*first.values(), len(rows)]
+    for part, start, stop in zip(first, stops, stops[1:], strict=False):
+        for r in rows[max(start - 2, 0) : start] + rows[stop : stop + 2]:
+            guests.setdefault(r["page_key"], []).append(part)
     ghosts = pages.sparkSession.createDataFrame([(k, v) for k, v in guests.items()], "page_key long, to array<int>")
     dealt = parts.join(F.broadcast(ghosts), "page_key", "left")
     to = F.concat(F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own"))), F.transform(F.coalesce("to", F.array().cast("array<int>")), lambda p: F.struct(p.alias("part"), F.lit(False).alias("own"))))
-    dealt = dealt.select(*_FIELDS, F.explode(to).alias("at"))
+    dealt = dealt.select(*fields, F.explode(to).alias("at"))
     window = Window.partitionBy("at.part").orderBy(*order)
-    page = F.struct(*_FIELDS)
-    return dealt.withColumns({"before": F.lag(page).over(window), "after": F.lead(page).over(window)}).filter("at.own").drop("at")
+    page = F.struct(*fields)
+    same = lambda column: F.coalesce(column == F.col("host"), F.lit(False))
+    before, after = same(F.lag("host").over(window)), same(F.lead("host").over(window))
+    second = F.when(before & ~after, F.lag(page, 2).over(window)).when(after & ~before, F.lead(page, 2).over(window))
+    return dealt.withColumns({"before": F.lag(page).over(window), "after": F.lead(page).over(window), "second": second}).filter("at.own").drop("at")
 
 
 def paired_deletions(pages: DataFrame) -> DataFrame:
-    """page_key and the places of loose lines to delete, for pages that have such lines."""
+    """page_key and the places of lines to delete, for pages that have such lines."""
 
-    def loose(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lined(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            out = [(k, *host_and_path(u), *loose_lines(h)) for k, u, h in zip(pdf["page_key"], pdf["url"], pdf["html"], strict=True)]
+            out = [(k, *host_and_path(u), *line_columns(h)) for k, u, h in zip(pdf["page_key"], pdf["url"], pdf["html"], strict=True)]
             yield pd.DataFrame(out, columns=_FIELDS)
 
     def compare(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         as_page = lambda x: tuple(x[f] for f in _FIELDS) if x is not None else None
         for pdf in rows:
             pages_here = pdf[_FIELDS].itertuples(index=False, name=None)
-            gone = [deletions(p, as_page(b), as_page(a)) for p, b, a in zip(pages_here, pdf["before"], pdf["after"], strict=True)]
+            gone = [deletions(p, *map(as_page, around)) for p, *around in zip(pages_here, pdf["before"], pdf["after"], pdf["second"], strict=True)]
             out = pd.DataFrame({"page_key": pdf["page_key"], "gone": gone})
             yield out[[bool(g) for g in gone]]
 
-    slim = pages.select("page_key", "url", "html").mapInPandas(loose, _PAGE).dropDuplicates(["page_key"])
+    slim = pages.select("page_key", "url", "html").mapInPandas(lined, _LINES).dropDuplicates(["page_key"])
     return with_neighbours(slim).mapInPandas(compare, "page_key long, gone array<int>")
 
 

@@ -95,3 +95,21 @@ def test_neighbours_across_partitions(spark):
     pages = spark.createDataFrame(rows, html._PAGE)
     got = {r["page_key"]: (r["before"] and r["before"]["page_key"], r["after"] and r["after"]["page_key"]) for r in html.with_neighbours(pages).collect()}
     assert got == {k: (k - 1 if k else None, k + 1 if k < 49 else None) for k in range(50)}
+
+
+def test_differencing_decides_inside_a_content_element_too(spark):
+    body = lambda k: f"<p>Lead paragraph {k}.</p><article><p>{f'Own words number {k} stand here. ' * 9}</p><p>Subscribers read more.</p></article><p>Call us any time</p>"
+    got = texts(spark, [(k, f"http://h/a/{k}", page(body(k))) for k in range(4)])
+    assert got == {k: f"Lead paragraph {k}. " + " ".join([f"Own words number {k} stand here."] * 9) for k in range(4)}
+
+
+def test_shared_half_with_other_rest_is_no_copy(spark):
+    shared = "<p>" + "The house of news greets every reader of these pages. " * 3 + "</p>"
+    own = {0: "Rain fell in the north.", 1: "Two ships came into port at noon."}
+    assert texts(spark, [(k, f"http://h/{k}", page(f"{shared}<p>{w}</p>")) for k, w in own.items()]) == own
+
+
+def test_neighbour_but_one_at_the_ends_of_a_host(spark):
+    rows = [(k, f"h{k // 25}", f"p{k:03d}", [k], [5], 100) for k in range(50)]
+    got = {r["page_key"]: r["second"] and r["second"]["page_key"] for r in html.with_neighbours(spark.createDataFrame(rows, html._PAGE)).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == {0: 2, 24: 22, 25: 27, 49: 47}
