@@ -2,7 +2,12 @@
 
 Words are lower-cased runs without ASCII punctuation and spaces. A block is a line, or a
 paragraph of several lines. A template is found in a block if at least ``CONTAINED`` of the
-template's distinct words are in it, and these are at least ``ABOUT`` of the block's own.
+template's distinct words are in it, and these are at least ``ABOUT`` of the block's own. In
+a longer block the template is looked for in every run of words of the greatest length at
+which ``CONTAINED`` of the template are ``ABOUT`` of the run, so a notice within a long line
+is found. A template gives way only to a variant of it (they share half of the shorter one's
+words) of which the block holds more, and only if the block lacks ``CONTAINED`` of the words
+that tell it from the variant; other notices of a block are all reported.
 
 The join looks at a block's words in one global order, rarest in the corpus first (counted
 over all texts). Of a template with n words, of which it needs o, only the first n - o + 1
@@ -67,29 +72,76 @@ class Templates:
         rank = {w: k for k, w in enumerate(sorted(self.vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
         self.rank = rank
         self.templates = [(label, sorted(rank[w] for w in s), ceil(contained * len(s) - 1e-9)) for label, s in sets]
+        self.variants = [{v for v, (_, b) in enumerate(sets) if 2 * len(a & b) >= min(len(a), len(b))} for _, a in sets]
         self.least = min((need for _, _, need in self.templates), default=0)
         self.index: dict[int, list[tuple[int, int]]] = {}
         for t, (_, ranks, need) in enumerate(self.templates):
             for at, r in enumerate(ranks[: len(ranks) - need + 1]):
                 self.index.setdefault(r, []).append((t, at))
 
-    def matches(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
-        """(label, containment) of every template that the block holds."""
+    def contained(self, block: set[bytes]) -> Iterator[tuple[int, int]]:
+        """(number, shared words) of every template of which the block has the words needed."""
         own = sorted(self.rank[w] for w in block & self.vocabulary)
         if len(own) < self.least:
             return
         tried: set[int] = set()
         for at, r in enumerate(own):
             for t, place in self.index.get(r, ()):
-                label, ranks, need = self.templates[t]
+                _, ranks, need = self.templates[t]
                 if t in tried or len(own) < need:
                     continue
                 tried.add(t)
                 if min(len(own) - at, len(ranks) - place) < need:
                     continue
                 shared = len(set(own).intersection(ranks))
-                if shared >= need and shared >= ABOUT * len(block):
-                    yield label, shared / len(ranks)
+                if shared >= need:
+                    yield t, shared
+
+    def matches(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
+        """(label, containment) of every template that the block as a whole holds."""
+        for t, shared in self.contained(block):
+            if shared >= ABOUT * len(block):
+                yield self.templates[t][0], shared / len(self.templates[t][1])
+
+    def most_in_a_run(self, t: int, found: list[bytes]) -> int:
+        """The most distinct words of a template that stand in one run of need / ABOUT words."""
+        _, ranks, need = self.templates[t]
+        ranks, width = set(ranks), int(need / ABOUT)
+        places = [(k, r) for k, w in enumerate(found) if (r := self.rank.get(w)) in ranks]
+        held: Counter[int] = Counter()
+        most = first = 0
+        for k, r in places:
+            held[r] += 1
+            while places[first][0] <= k - width:
+                gone = places[first][1]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                first += 1
+            most = max(most, len(held))
+        return most
+
+    def tells_apart(self, t: int, variant: int, block: set[bytes]) -> bool:
+        """Does a block have the words of template t that its variant has not?"""
+        own = set(self.templates[t][1]).difference(self.templates[variant][1])
+        return bool(own) and len(own.intersection(self.rank[w] for w in block & self.vocabulary)) >= CONTAINED * len(own)
+
+    def notices(self, found: list[bytes]) -> dict[str, float]:
+        """label -> containment of the templates in a block's words, in order."""
+        block = set(found)
+        held: dict[int, float] = {}
+        for t, shared in self.contained(block):
+            _, ranks, need = self.templates[t]
+            if shared < ABOUT * len(block):
+                shared = self.most_in_a_run(t, found)
+            if shared >= need:
+                held[t] = shared / len(ranks)
+        out: dict[str, float] = {}
+        for t, share in held.items():
+            if not any(held.get(v, 0.0) > share and not self.tells_apart(t, v, block) for v in self.variants[t]):
+                label = self.templates[t][0]
+                out[label] = max(out.get(label, 0.0), share)
+        return out
 
 
 def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
@@ -123,20 +175,20 @@ def phrase_places(found: list[bytes], phrases: dict[tuple[bytes, ...], str]) ->
     return places
 
 
-def blocks(text: str) -> Iterator[set[bytes]]:
-    """Word sets of the lines of a text, and of its paragraphs of several lines."""
-    paragraph: set[bytes] = set()
+def blocks(text: str) -> Iterator[list[bytes]]:
+    """Words of the lines of a text, and of its paragraphs of several lines."""
+    paragraph: list[bytes] = []
     lines = 0
     for line in [*text.split("\n"), ""]:
-        own = set(words(line))
+        own = words(line)
         if own:
             yield own
-            paragraph |= own
+            paragraph += own
             lines += 1
         else:
             if lines > 1:
                 yield paragraph
-            paragraph, lines = set(), 0
+            paragraph, lines = [], 0
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
@@ -156,11 +208,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
         best, more = 1.0 if places else 0.0, set()
         if len(present & held.vocabulary) >= held.least:
             for block in blocks(text or ""):
-                matches = list(held.matches(block))
-                top = max((share for _, share in matches), default=0.0)
-                # a block is the notice it holds most of; near variants share most words
-                more.update(label for label, share in matches if share == top)
-                best = max(best, top)
+                matches = held.notices(block)
+                more.update(matches)
+                best = max(best, *matches.values(), 0.0)
         starts = [s for s, _ in places]
         return len(found), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), best
 

@@ -56,3 +56,36 @@ def test_labels_and_score(spark, make_docs):
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in L.scan_licenses(docs).collect()}
     assert got == {1: ("cc-by,cc-by-nc", 1.0), 2: ("reserved", 1.0), 3: ("", 0.0), 4: ("mit", 1.0)}
     assert L.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_notices_in_long_blocks_and_two_in_one(spark, make_docs, prose):
+    long = prose(3, 400).replace("\n", " ")
+    mit, gpl = L.TEMPLATES["mit"][0], L.TEMPLATES["gpl"][0]
+    scattered = " ".join(f"{w} {prose(k, 20)}" for k, w in enumerate("all rights reserved".split())).replace("\n", " ")
+    docs = make_docs([(1, f"{long} All rights reserved {long}"), (2, f"{long} {gpl} {long}\n{long}"), (3, scattered), (4, f"{mit} {long[:40]} All rights reserved"), (5, long)])
+    got = {r["doc_id"]: (set(r["labels"].split(",")), r["score"]) for r in L.scan_licenses(docs).collect()}
+    assert got[1] == ({"reserved"}, 1.0) and "gpl" in got[2][0]
+    assert got[3] == got[5] == ({""}, 0.0)
+    assert {"mit", "reserved"} <= got[4][0]
+
+
+def test_a_second_notice_of_lower_containment_stays():
+    index = L.Templates({"a": ["one two three four five"], "b": ["six seven eight nine ten"], "c": ["one two three four six"]}, {})
+    assert index.notices(list(L.words("one two three four five six seven eight nine"))) == {"a": 1.0, "b": 0.8, "c": 1.0}
+    assert index.notices(list(L.words("one two three four five"))) == {"a": 1.0}
+    given, text = L.Templates(L.TEMPLATES, {}), "This work is licensed under the GNU General Public License version 3 or a Creative Commons Attribution 4.0 License"
+    assert set(given.notices(list(L.words(text)))) == {"gpl", "cc-by"}
+    assert given.notices(list(L.words("Licensed under CC BY NC 4.0"))) == {"cc-by-nc": 1.0}
+
+
+def test_runs_equal_plain_windows():
+    import random
+
+    index = L.Templates(L.TEMPLATES, {})
+    for seed in range(200):
+        r = random.Random(seed)
+        found = [r.choice(sorted(index.vocabulary) + [b"x%d" % k for k in range(60)]) for _ in range(r.randrange(90))]
+        for t, (_, ranks, need) in enumerate(index.templates):
+            width = int(need / L.ABOUT)
+            want = max((len({index.rank.get(w) for w in found[k : k + width]} & set(ranks)) for k in range(len(found))), default=0)
+            assert index.most_in_a_run(t, found) == want
