@@ -10,13 +10,19 @@ threshold alone, so a passage must have enough of its other words.
 
 A retrieved item counts if its question and its answer overlap the passage: at least
 ``OVERLAP`` of the words of each are in runs of ``RUN`` words that the passage has too. The
-answer is what follows a line or sentence start "Answer:" or "A:", else the last third.
+answer is what follows a line or sentence start "Answer:" or "A:", else the last third. Items
+of over PART words are retrieved by their pieces, and their whole question and answer are held
+against the passages around, as many words to each side as the item has. Items of fewer than
+``LEAST`` words must stand in the text word for word.
+
+Words are parted by ASCII and general punctuation; each character of a script without spaces
+is a word.
 
 Items go to the tasks in shards of ``SHARD`` of them, so what a task holds is bounded.
 
-Defined cases: null and empty texts match nothing, nor do items of fewer than ``LEAST``
-words; equal items are each reported; an empty benchmark table gives no matches; repeated
-rows are reported each. Row columns of the operator's names are replaced.
+Defined cases: null and empty texts match nothing, nor do items without words; equal items are
+each reported, items with a null id too, by a null item_id; an empty benchmark table gives no
+matches; repeated rows are reported each. Row columns of the operator's names are replaced.
 """
 
 import re
@@ -30,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanbox.llm.common import alnum_words
+from gleanbox.llm import common
 
 PART = 64
 THRESHOLD = 0.6
@@ -43,6 +49,19 @@ BLOCK = 32
 SHARD = 20_000
 
 _ANSWER = re.compile(r"(?:^|\n|[.?!]\s)\s*(?:answer|a)\s*:", re.I)
+# Punctuation beyond ASCII, and scripts written without spaces.
+_MARKS = "\u00a1\u00ab\u00b7\u00bb\u00bf\u2000-\u206f\u3000-\u303f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_PARTED = re.compile(f"[{_MARKS}{_UNSPACED}]")
+_KEPT = re.compile(f"([{_UNSPACED}])")
+_MARK = re.compile(f"[{_MARKS}]")
+
+
+def alnum_words(text: str) -> list[bytes]:
+    """Words of a text, and characters where a script has no spaces."""
+    if not text.isascii() and _PARTED.search(text):
+        text = _KEPT.sub(r" \1 ", _MARK.sub(" ", text))
+    return common.alnum_words(text)
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -74,23 +93,23 @@ def covered(part: list[bytes], passage: list[bytes]) -> float:
 class BlockMaxIndex:
     """Inverted lists of shares, with the maximum of each list and of each of its blocks."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[bytes, int], n_items: int, mean_words: float):
-        self.parts: list[tuple[int, list[bytes], list[bytes]]] = []
+    def __init__(self, items: list[tuple[int | None, str]], frequency: dict[bytes, int], n_items: int, mean_words: float):
+        self.parts: list[tuple[int | str, list[bytes], list[bytes]]] = []
+        self.short: dict[bytes, list[tuple[list[bytes], int | str]]] = {}
         bags: list[Counter[bytes]] = []
-        for item, text in items:
+        for number, text in items:
+            # an item without a number goes by its text
+            item = text if number is None else number
             found = alnum_words(text)
             if len(found) < LEAST:
+                if found:
+                    self.short.setdefault(found[0], []).append((found, item))
                 continue
+            question, answer = question_and_answer(text)
             pieces = max(1, ceil(len(found) / PART))
             for k in range(pieces):
-                if pieces == 1:
-                    question, answer = question_and_answer(text)
-                else:
-                    piece = found[k * len(found) // pieces : (k + 1) * len(found) // pieces]
-                    cut = len(piece) - len(piece) // 3
-                    question, answer = piece[:cut], piece[cut:]
                 self.parts.append((item, question, answer))
-                bags.append(Counter(question + answer))
+                bags.append(Counter(found[k * len(found) // pieces : (k + 1) * len(found) // pieces] if pieces > 1 else question + answer))
         lists: dict[bytes, list[tuple[int, float]]] = {}
         for part, bag in enumerate(bags):
             length = sum(bag.values())
@@ -193,25 +212,47 @@ class BlockMaxIndex:
                     c[1] = bisect_left(c[3], nearest, c[1])
                     c[0] = c[3][c[1]] if c[1] < len(c[3]) else end
 
-    def matches(self, text: str | None) -> dict[int, tuple[float, float, float]]:
+    def matches(self, text: str | None) -> dict[int | str, tuple[float, float, float]]:
         """item -> (score, question overlap, answer overlap) of its best verified passage."""
         found = alnum_words(text) if text else []
-        out: dict[int, tuple[float, float, float]] = {}
+        out: dict[int | str, tuple[float, float, float]] = {}
         if not found:
             return out
+        hits = self.short.keys() & set(found) if self.short else ()
+        for place, w in enumerate(found if hits else ()):
+            for phrase, item in self.short[w] if w in hits else ():
+                if found[place : place + len(phrase)] == phrase:
+                    out[item] = (1.0, 1.0, 1.0)
+        # of items of several pieces: runs of passages with pieces, no passage between them missing
+        long: dict[tuple[int | str, int], list[list]] = {}
         for k in self.promising(found):
             passage = found[k * PART : (k + 2) * PART]
             for part, score in self.search(set(passage)):
                 item, question, answer = self.parts[part]
-                q, a = covered(question, passage), covered(answer, passage)
-                if q >= OVERLAP and a >= OVERLAP:
-                    out[item] = max(out.get(item, (0.0, 0.0, 0.0)), (score, q, a))
+                if len(question) + len(answer) > PART:
+                    spans = long.setdefault((item, id(question)), [])
+                    if spans and k <= spans[-1][1] + 2:
+                        spans[-1][1:3] = [k, max(score, spans[-1][2])]
+                    else:
+                        spans.append([k, k, score, question, answer])
+                    continue
+                self.verify(out, item, score, question, answer, passage)
+        for (item, _), spans in long.items():
+            for first, last, score, question, answer in spans:
+                around = len(question) + len(answer)
+                self.verify(out, item, score, question, answer, found[max(first * PART - around, 0) : (last + 2) * PART + around])
         return out
 
+    @staticmethod
+    def verify(out: dict, item: int | str, score: float, question: list[bytes], answer: list[bytes], passage: list[bytes]) -> None:
+        q, a = covered(question, passage), covered(answer, passage)
+        if q >= OVERLAP and a >= OVERLAP:
+            out[item] = max(out.get(item, (0.0, 0.0, 0.0)), (score, q, a))
+
 
 def item_indexes(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
     """An index for each shard of the test items, with frequencies over all of them."""
-    items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
 
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
@@ -225,7 +266,7 @@ def item_indexes(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
         return
     shards = ceil(n_items / SHARD)
     frequency = items.select("text").mapInPandas(batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    shard = F.pmod(F.xxhash64("item_id"), F.lit(shards))
+    shard = F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(shards))
     for k in range(shards):
         own = [(r["item_id"], r["text"]) for r in items.filter(shard == k).collect()]
         words = {w for _, t in own for w in alnum_words(t)}
@@ -235,7 +276,7 @@ def item_indexes(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
         else:
             held = frequency
         counts = {bytes(r["word"]): r["n"] for r in held.collect()}
-        yield BlockMaxIndex(sorted(own), counts, n_items, counts.pop(b"", 0) / n_items or 1.0)
+        yield BlockMaxIndex(sorted(own, key=lambda x: (x[0] is None, x[0] or 0, x[1])), counts, n_items, counts.pop(b"", 0) / n_items or 1.0)
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -248,8 +289,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def batches(rows: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in rows:
-                found = [(i, item, *x) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for item, x in shared.value.matches(t if isinstance(t, str) else None).items()]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64"})
+                found = [(i, None if isinstance(item, str) else item, *x) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for item, x in shared.value.matches(t if isinstance(t, str) else None).items()]
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         out = out.unionByName(slim.mapInPandas(batches, schema))
     return out

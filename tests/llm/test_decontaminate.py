@@ -81,3 +81,22 @@ def test_odd_documents(spark, odd_docs):
     benchmark = spark.createDataFrame([(1, "a b c d e f g h"), (1, "a b c d e f g h")], ITEMS)
     assert D.benchmark_matches(odd_docs, benchmark).count() == 0
     assert D.without_leaks(odd_docs, benchmark).count() == odd_docs.count()
+
+
+def test_short_unspaced_and_unnumbered_items(spark, make_docs, prose):
+    chinese, japanese = "水在标准大气压下的沸点是多少度？答案是一百度。", "日本で一番高い山は富士山です"
+    items = [(1, "Qorvex ubelin"), (2, chinese), (3, japanese), (None, prose(5, 20)), (None, prose(6, 20)), (4, "！？")]
+    docs = make_docs([(1, f"{prose(1, 90)} qorvex, UBELIN {prose(2, 9)}"), (2, f"前面的话。{chinese}后面还有别的话"), (3, f"序文、{japanese}。終わり"), (4, f"{prose(7, 50)} {prose(5, 20)} {prose(6, 20)}"), (5, "qorvex and ubelin 水 山 大气 ！？" + prose(8, 80))])
+    benchmark = spark.createDataFrame(items, ITEMS)
+    got = sorted(((r["doc_id"], r["item_id"]) for r in D.benchmark_matches(docs, benchmark).collect()), key=repr)
+    assert got == [(1, 1), (2, 2), (3, 3), (4, None), (4, None)]
+    assert [r["doc_id"] for r in D.without_leaks(docs, benchmark).collect()] == [5]
+
+
+def test_long_items_need_their_real_answer(prose):
+    question, answer = prose(1, 150), prose(2, 50)
+    made = index([(1, f"{question}\nAnswer: {answer}"), (2, prose(3, 40))])
+    words = question.split()
+    assert made.matches(f"{prose(4, 100)} {question}\n{answer} {prose(5, 100)}").keys() == {1}
+    assert made.matches(f"{prose(4, 100)} {question} {prose(5, 900)}") == {}
+    assert made.matches(f"{prose(4, 100)} {' '.join(words[:70])} {prose(5, 100)}") == {}
