@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without letters, or in none of the languages of labelled documents, go."""
     model = language.fit(docs.select("doc_id", "text", "lang"))
     predicted = language.predict(docs, model)
-    spoken = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    spoken = (F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_share") >= LEAST_LANGUAGE_SCORE)
     return predicted.filter(spoken).select(*docs.columns)
 
 

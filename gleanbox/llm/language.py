@@ -4,7 +4,7 @@ Byte n-grams of the lower-cased letters of labelled texts are counted per langua
 language gets an n-gram if it is frequent enough there, and not much rarer than in the
 language where it is most frequent. One table of bit masks holds a Bloom filter for each
 language, bit-sliced: a place has one bit per language, and the AND of an n-gram's places
-gives all languages that have it. For a text, bits are counted per language over all its
+gives all languages that have it; a place has one 64-bit word for each 64 languages. For a text, bits are counted per language over all its
 n-grams; the known rate of false positives is taken off; the largest share decides.
 
 Fitting reads at most about ``FIT_DOCS`` labelled texts per language, chosen by hash; the
@@ -75,22 +75,28 @@ def places(key: np.ndarray, h: int) -> np.ndarray:
     return (mixed >> np.uint64(40)).astype(np.int64) % SLOTS
 
 
+def language_bits(mask: np.ndarray, k: int) -> np.ndarray:
+    """The bit of language k in each mask."""
+    kind = mask.dtype.type
+    return ((mask if mask.ndim == 1 else mask[:, k // 64]) >> kind(k % 64)) & kind(1)
+
+
 @dataclass
 class LanguageFilter:
     languages: list[str]
     common: str
-    table: np.ndarray  # a bit mask of languages in each place
+    table: np.ndarray  # a bit mask of languages in each place, or a row of 64-bit masks
     false_rates: np.ndarray
 
     @classmethod
     def build(cls, languages: list[str], sizes: list[int], grams: dict[int, np.ndarray]) -> LanguageFilter:
         """grams: the n-grams of the language numbered so."""
         kind = np.uint8 if len(languages) <= 8 else np.uint64
-        table = np.zeros(SLOTS, dtype=kind)
+        table = np.zeros(SLOTS if len(languages) <= 64 else (SLOTS, -(-len(languages) // 64)), dtype=kind)
         for k, own in grams.items():
             for h in range(HASHES):
-                np.bitwise_or.at(table, places(own, h), kind(1) << kind(k))
-        fill = [float(((table >> kind(k)) & kind(1)).mean()) for k in range(len(languages))]
+                np.bitwise_or.at(table if table.ndim == 1 else table[:, k // 64], places(own, h), kind(1) << kind(k % 64))
+        fill = [float(language_bits(table, k).mean()) for k in range(len(languages))]
         common = languages[int(np.argmax(sizes))] if languages else UNKNOWN
         return cls(languages, common, table, np.array(fill) ** HASHES)
 
@@ -112,14 +118,15 @@ class LanguageFilter:
             first = np.minimum(np.concatenate([[0], ends[:-1]]), last)
             total += last - first
             for k in range(len(self.languages)):
-                run = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(k)) & mask.dtype.type(1), dtype=np.int64)])
+                run = np.concatenate([[0], np.cumsum(language_bits(mask, k), dtype=np.int64)])
                 out[:, k] += run[last] - run[first]
         raw = out / np.maximum(total, 1)[:, None]
         return np.clip((raw - self.false_rates) / (1 - self.false_rates), 0, 1)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """For each text: its language, score, and the language's share alone."""
         spoken = [i for i, t in enumerate(texts) if isinstance(t, str) and _LETTER.search(t)]
-        languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        languages, scores, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         at = 0
         while at < len(spoken) and self.languages:
             batch, size = [], 0
@@ -134,19 +141,20 @@ class LanguageFilter:
                 languages[i] = self.languages[k] if row[k] > 0 else self.common
                 # how far the text is the language's, and the language's alone
                 scores[i] = float(row[k] * row[k] / sum_) if sum_ > 0 else 0.0
-        return languages, scores
+                shares[i] = float(row[k])
+        return languages, scores, shares
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageFilter:
     """Learn the filters from labelled texts (columns doc_id, text, lang), a bounded sample of them."""
     labelled = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    languages = sorted(sizes)[:64]
+    languages = sorted(sizes)
     if not languages:
         return LanguageFilter.build([], [], {})
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, fit_docs / sizes[lang]))])
     number = F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)])
-    chosen = labelled.filter(F.col("lang").isin(languages)).filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
 
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
@@ -164,21 +172,24 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageFilter:
     counted["rate"] = counted["n"] / counted.groupby(["lang", "ord"])["n"].transform("sum")
     best = counted.groupby("key")["rate"].transform("max")
     kept = counted[(counted["rate"] >= LEAST_RATE) & (counted["rate"] >= SHARE_OF_BEST * best)]
-    grams = {k: kept.loc[kept["lang"] == k, "key"].to_numpy().astype(np.uint64) for k in range(len(languages))}
+    grams = {int(k): own.to_numpy().astype(np.uint64) for k, own in kept.groupby("lang")["key"]}
     return LanguageFilter.build(languages, [sizes[x] for x in languages], grams)
 
 
 def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """All columns of docs, and lang_pred and score."""
-    docs = docs.drop("lang_pred", "score")
+    """All columns of docs, and lang_pred, score and lang_share.
+
+    The score falls the more languages share a text's n-grams; lang_share doesn't.
+    """
+    docs = docs.drop("lang_pred", "score", "lang_share")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            languages, scores = shared.value.predict([t if isinstance(t, str) else None for t in pdf["text"]])
-            yield pdf.assign(lang_pred=languages, score=scores)
+            languages, scores, shares = shared.value.predict([t if isinstance(t, str) else None for t in pdf["text"]])
+            yield pdf.assign(lang_pred=languages, score=scores, lang_share=shares)
 
-    return docs.mapInPandas(batches, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return docs.mapInPandas(batches, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "lang_share": F.lit(0.0)}).schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -54,3 +54,20 @@ def test_filters_have_no_false_negatives():
     other = r.integers(1 << 41, 1 << 42, 200_000, dtype=np.uint64)
     rate = ((model.table[L.places(other, 0)] & model.table[L.places(other, 1)]) & 1).mean()
     assert abs(rate - model.false_rates[0]) < 3e-5
+
+
+def test_more_than_64_languages(spark, make_docs):
+    names = [f"l{k:03d}" for k in range(130)]
+    own = {x: [f"{chr(97 + k // 26)}{chr(97 + k % 26)}{c}{d}" for c in "xq" for d in "wz"] for k, x in enumerate(names)}
+    text = lambda x, seed: " ".join(random.Random(f"{x}{seed}").choices(own[x], k=30))
+    model = L.fit(make_docs([(k, text(x, k // 130), x) for k, x in enumerate(names * 3)]))
+    assert model.languages == names
+    assert model.predict([text(x, 9) for x in names])[0] == names
+
+
+def test_languages_that_share_words_don_t_lower_the_share():
+    grams = np.unique(L.keys(np.frombuffer(L.letters("one two three four"), dtype=np.uint8).astype(np.uint64), 3))
+    text = ["one two three four five six seven eight nine ten"]
+    few, many = (L.LanguageFilter.build([f"l{k:02d}" for k in range(n)], [1] * n, dict.fromkeys(range(n), grams)).predict(text) for n in (1, 10))
+    assert abs(few[2][0] - many[2][0]) < 1e-9 and many[1][0] < few[1][0]
+    assert many[2][0] >= 0.1 > many[1][0]
