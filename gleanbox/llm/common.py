@@ -18,9 +18,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one if unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Only a local master, which has no other machines, gets a folder of its own if that is unset.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         told = tempfile.mkdtemp(prefix="gleanbox-")
         spark.sparkContext.setCheckpointDir(told)
     return f"{told.rstrip('/')}/gleanbox-{spark.sparkContext.applicationId}"
@@ -33,12 +38,30 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table of which nothing will be read any more."""
+    spark, root = df.sparkSession, shared_dir(df.sparkSession)
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if f"/{root.rpartition('/')[2]}/" in file:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_materialized(spark: SparkSession) -> None:
     """Delete what materialize() wrote in this application; call it when results have been consumed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``row``, a struct of all columns, and the named ones beside it.
+
+    Whatever the caller's columns are called, helper columns can't clash with them; a
+    final select("row.*") gives them back.
+    """
+    return docs.select(F.struct("*").alias("row"), *columns)
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join with a broadcast only if the counted small side is within BROADCAST_ROWS.
 

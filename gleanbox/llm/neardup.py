@@ -12,12 +12,14 @@ Texts with equal sets are one class from the start. In a bucket, classes are com
 2. where classes of a bucket are still in several components, those outside its largest
    component with all others of other components, in cells of about CELL x CELL classes
    inside a task. Pairs whose estimate is ``ERRORS`` standard errors below the threshold
-   are passed over. In buckets of more than ``FEW`` classes a cell has their full sets and
-   gives links alone; in the many small ones it gives pairs, which are confirmed after.
+   are passed over. In buckets of more than ``FEW`` classes a cell has the hashes of their
+   full sets and gives no more pairs than join its components; in the many small ones it
+   gives all pairs.
 
 So no pair is left out but by the bands' and the estimate's chances, the pairs inside a
 component, a large group's bulk, are not made, and a crowded bucket gives fewer links than
-it has classes. Confirmation compares full sets.
+it has classes. Confirmation, of every link, compares the full sets of shingles themselves.
+Classes are told apart by 128 bits of their set, texts by 128 bits of theirs.
 
 Defined cases: a text without words (null, empty, white space) has an empty set and is
 linked with nothing; one with fewer words than a shingle has them all as one shingle;
@@ -32,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanbox.llm.common import materialize
+from gleanbox.llm.common import BROADCAST_ROWS, join_checked, materialize, packed
 from gleanbox.llm.components import connected_components
 
 PERMUTATIONS = 60
@@ -43,7 +45,7 @@ ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 CELL = 400
 FEW = 16
-ERRORS = 4.5
+ERRORS = 6.0
 REMEMBERED = 250_000
 
 _random = np.random.default_rng(41)
@@ -125,8 +127,12 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             made = pd.DataFrame(out, columns=["n_shingles", "set_key", "signature"])
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_key": pdf["text_key"], **made})
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    return keyed.mapInPandas(batches, "doc_id long, text_key long, n_shingles long, set_key binary, signature binary")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
+    return keyed.mapInPandas(batches, "doc_id long, text_key binary, n_shingles long, set_key binary, signature binary")
+
+
+def text_key(text):
+    return F.unhex(F.md5(text))
 
 
 def bucketed(classes: DataFrame) -> DataFrame:
@@ -217,11 +223,11 @@ def slot(n: str):
     return F.pmod(F.xxhash64("class_id", F.lit(7)), F.greatest(F.col(n), F.lit(1))).cast("int")
 
 
-def compare_cell(rows: pd.DataFrame, percent: int) -> list[tuple[int, int, bool]]:
-    """(a, b, sure) for pairs of a cell that may be links.
+def compare_cell(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """(a, b) for pairs of a cell that may be links.
 
-    A pair is looked at in the first band only in which the two meet. With full sets it is
-    confirmed here, and passed over if links of this cell join the two already.
+    A pair is looked at in the first band only in which the two meet. With full sets it must
+    be a link by their hashes, and is passed over if links of this cell join the two already.
     """
     ids, component, size = rows["class_id"].to_numpy(), rows["component"].to_numpy(), rows["size"].to_numpy()
     sig = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint32).reshape(len(rows), -1)
@@ -260,7 +266,7 @@ def compare_cell(rows: pd.DataFrame, percent: int) -> list[tuple[int, int, bool]
         first = same.reshape(len(near), ROWS, BANDS).all(axis=1).argmax(axis=1) == band
         for j in near[first]:
             if not exact:
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), False))
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
                 continue
             a, b = find(component[i]), find(component[j])
             if a == b:
@@ -268,12 +274,12 @@ def compare_cell(rows: pd.DataFrame, percent: int) -> list[tuple[int, int, bool]
             common = len(full(i) & full(j))
             if 100 * common >= percent * (int(size[i]) + int(size[j]) - common):
                 parent[a] = b
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), True))
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
     return out
 
 
 def cell_pairs(dealt: DataFrame, percent: int) -> DataFrame:
-    """(a, b, sure) from all cells. Cells are read as a sorted stream, one held at a time."""
+    """(a, b) from all cells. Cells are read as a sorted stream, one held at a time."""
     key = ["bucket", "r", "c"]
 
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,55 +291,74 @@ def cell_pairs(dealt: DataFrame, percent: int) -> DataFrame:
             starts = np.concatenate([[0], edge])
             out = [x for s, e in zip(starts, edge, strict=False) for x in compare_cell(pdf.iloc[s:e], percent)]
             rest = pdf.iloc[starts[-1] :]
-            yield pd.DataFrame(out, columns=["a", "b", "sure"])
+            yield pd.DataFrame(out, columns=["a", "b"])
         if rest is not None and len(rest):
-            yield pd.DataFrame(compare_cell(rest, percent), columns=["a", "b", "sure"])
+            yield pd.DataFrame(compare_cell(rest, percent), columns=["a", "b"])
 
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(batches, "a long, b long, sure boolean")
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(batches, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_key, n_shingles, group, component_id and kept of every row of docs (doc_id, text).
+def grouped_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_shingles, set_key of every row; set_key, group, first of every class).
 
-    The group numbers what is linked; it is null for an empty set.
+    ``first`` has the doc_id and text_key of the group's first row: the smallest id, null ids last.
     """
     rows = materialize(signed(docs, width), "signatures")
-    # a class is named by 63 bits of its set's 128; its row of the smallest key gives the text
-    named = rows.filter("n_shingles > 0").withColumn("class_id", F.shiftrightunsigned(F.xxhash64("set_key"), 1))
-    classes = named.groupBy("class_id").agg(F.min("n_shingles").alias("size"), F.min("text_key").alias("text_key"), F.first("signature").alias("signature"))
-    classes = materialize(classes, "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("n_shingles").alias("size"), F.min("text_key").alias("text_key"), F.first("signature").alias("signature"), F.min(place).alias("place"))
+    classes = materialize(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
     buckets = bucketed(classes)
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = materialize(buckets.join(crowded, "bucket", "left_semi"), "buckets")
     # sizes alone rule out pairs: the smaller set must be percent of the larger at least
     pairs = centre_pairs(buckets).filter(100 * F.col("low") >= percent * F.col("high")).select("a", "b").distinct()
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text")
+    texts = docs.select(text_key(F.col("text")).alias("text_key"), "text")
     involved = classes.join(buckets.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "text_key")
     texts = materialize(texts.join(involved, "text_key").groupBy("class_id").agg(F.first("text").alias("text")), "texts")
     links = materialize(confirmed(pairs, texts, width, percent), "links-first")
     first = materialize(connected_components(links), "components-first")
     placed = buckets.join(first.withColumnRenamed("node", "class_id"), "class_id", "left")
     placed = placed.select("bucket", "class_id", F.coalesce("component", "class_id").alias("component"))
-    met = materialize(cell_pairs(cells(placed, classes, texts, width), percent), "cell-pairs")
-    more = confirmed(met.filter("not sure").select("a", "b").distinct(), texts, width, percent)
-    links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(met.filter("sure").select("a", "b"))
-    final = connected_components(links)
-    grouped = named.select("doc_id", "text_key", "n_shingles", "class_id").join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
-    grouped = grouped.withColumn("group", F.coalesce("component", "class_id"))
-    smallest = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    out = grouped.join(smallest, "group").select("doc_id", "text_key", "n_shingles", "group", "component_id")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    more = materialize(cell_pairs(cells(placed, classes, texts, width), percent).distinct(), "cell-pairs")
+    more = confirmed(more, texts, width, percent)
+    final = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    # groups are made of classes, so copies of a text don't crowd one
+    grouped = classes.select("set_key", "class_id", "place").join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
+    grouped = materialize(grouped.select("set_key", F.coalesce("component", "class_id").alias("group"), "place"), "grouped")
+    firsts = materialize(grouped.groupBy("group").agg(F.min("place").alias("first")), "firsts")
+    return rows.drop("signature"), join_checked(grouped.drop("place"), firsts, "group").select("set_key", "group", "first")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, group, component_id and kept of every row of docs (doc_id, text).
+
+    The group numbers what is linked; it is null for an empty set.
+    """
+    rows, classes = grouped_classes(docs, width, percent)
+    linked = rows.filter("set_key is not null").join(classes, "set_key").select("doc_id", "n_shingles", "group", F.col("first.doc_id").alias("component_id"))
+    alone = rows.filter("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, without near-duplicates: of each group the smallest id stays."""
-    found = near_duplicates(docs.select("doc_id", "text"), width, percent)
-    first = found.filter("group is not null and kept").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
-    stay = first.select("x.*").withColumn("_one", F.lit(True)).unionByName(found.filter("group is null").select("doc_id", "text_key", F.lit(False).alias("_one")))
-    stay = stay.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.max("_one").alias("_one"))
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    both = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_text_key"] == stay["_key"]))
-    # a row repeated in full stays once; rows without words are linked with nothing and all stay
-    place = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
-    return both.withColumn("_place", place).filter("not _one or _place = 1").select(*docs.columns)
+    """The rows of docs, all columns, without near-duplicates: of each group the smallest id stays.
+
+    Of rows with the same id and text one stays; rows without words are linked with nothing
+    and all stay.
+    """
+    rows, classes = grouped_classes(docs.select("doc_id", "text"), width, percent)
+    firsts = materialize(classes.select("first.doc_id", "first.text_key").distinct(), "kept")
+    rows = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "text_key")
+    again = materialize(join_on_row(rows, firsts).select("doc_id", "text_key"), "repeated")
+    docs = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False)).alias("spoken"))
+    stay = join_on_row(docs.filter("spoken"), firsts)
+    once = join_on_row(stay, again, "left_anti").select("row")
+    one = join_on_row(stay, again).groupBy("doc_id", "text_key").agg(F.first("row").alias("row")).select("row")
+    return docs.filter("not spoken").select("row").unionByName(once).unionByName(one).select("row.*")
+
+
+def join_on_row(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose doc_id and text_key are among the keys, or aren't (left_anti)."""
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    keys = keys.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"))
+    return rows.join(F.broadcast(keys) if small else keys, rows["doc_id"].eqNullSafe(keys["k_id"]) & (rows["text_key"] == keys["k_text"]), how)

@@ -101,3 +101,14 @@ def test_query_agrees_with_sql(spark):
 
     sf = "/root/testdata/sf0.001"
     assert compare.differences(queries.op3_minmax_hashing(spark, sf), compare.connection(sf), queries.oracle_sql()["op3_minmax_hashing"]) == ""
+
+
+def test_columns_of_helper_names(spark, make_docs, prose):
+    from pyspark.sql import functions as F
+
+    names = ["text_key", "spoken", "row", "k_id", "k_text", "_text_key", "_id", "_key", "_one", "_place", "set_key", "group"]
+    docs = make_docs([(k, prose(k // 2, 40)) for k in range(20)] + [(50, None), (51, " ")]).withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    got = N.one_of_each_group(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert sorted(r["doc_id"] for r in rows) == [*range(0, 20, 2), 50, 51] and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
