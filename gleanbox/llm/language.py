@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanbox.llm.common import crc_mod
+from gleanbox.llm.common import crc_mod, packed
 
 UNKNOWN = "und"
 FIT_DOCS = 3_000
@@ -176,20 +176,33 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageFilter:
     return LanguageFilter.build(languages, [sizes[x] for x in languages], grams)
 
 
+def predictions(model: LanguageFilter, spark: SparkSession):
+    """A column function: text -> struct of lang_pred, score and lang_share."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double, lang_share double")
+    def predicted(rows: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in rows:
+            languages, scores, shares = shared.value.predict([t if isinstance(t, str) else None for t in texts])
+            yield pd.DataFrame({"lang_pred": languages, "score": scores, "lang_share": shares})
+
+    return predicted
+
+
 def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """All columns of docs, and lang_pred, score and lang_share.
+    """All columns of docs, and lang_pred, score and lang_share, which replace columns of these names.
 
     The score falls the more languages share a text's n-grams; lang_share doesn't.
     """
     docs = docs.drop("lang_pred", "score", "lang_share")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = packed(docs, predictions(model, docs.sparkSession)("text").alias("found"))
+    return found.select("row.*", "found.*")
 
-    def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            languages, scores, shares = shared.value.predict([t if isinstance(t, str) else None for t in pdf["text"]])
-            yield pdf.assign(lang_pred=languages, score=scores, lang_share=shares)
 
-    return docs.mapInPandas(batches, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "lang_share": F.lit(0.0)}).schema)
+def spoken(docs: DataFrame, model: LanguageFilter, least_share: float) -> DataFrame:
+    """The rows of docs, all columns as they are, that are in one of the model's languages by a share of at least ``least_share``."""
+    found = packed(docs, predictions(model, docs.sparkSession)("text").alias("found"))
+    return found.filter((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.lang_share") >= least_share)).select("row.*")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -71,3 +71,48 @@ def test_languages_that_share_words_don_t_lower_the_share():
     few, many = (L.LanguageFilter.build([f"l{k:02d}" for k in range(n)], [1] * n, dict.fromkeys(range(n), grams)).predict(text) for n in (1, 10))
     assert abs(few[2][0] - many[2][0]) < 1e-9 and many[1][0] < few[1][0]
     assert many[2][0] >= 0.1 > many[1][0]
+
+
+def test_shares_equal_plain_sets(spark, make_docs):
+    """The filters against sets of n-grams, counted by plain loops with the same bounds."""
+    from collections import Counter
+
+    rows = [(k, sentence(lang := "aa bb cc".split()[k % 3], k), lang) for k in range(90)]
+    grams = lambda t: [(n, L.letters(t)[i : i + n]) for n in L.ORDERS for i in range(len(L.letters(t)) - n + 1)]
+    counts = {lang: Counter() for lang in ("aa", "bb", "cc")}
+    for lang, own in counts.items():
+        # texts of a language are counted as one run of bytes
+        for n in L.ORDERS:
+            data = b"".join(L.letters(t) for _, t, x in rows if x == lang)
+            own.update((n, data[i : i + n]) for i in range(len(data) - n + 1))
+    model = L.fit(make_docs(rows))
+    texts = [sentence(lang, 900 + k) for k in range(20) for lang in counts]
+    rate = {}
+    for lang, own in counts.items():
+        own = {g: n for g, n in own.items() if n >= L.LEAST_COUNT}
+        total = Counter()
+        for (n, _), c in own.items():
+            total[n] += c
+        rate[lang] = {g: c / total[g[0]] for g, c in own.items()}
+    best = Counter()
+    for own in rate.values():
+        for g, x in own.items():
+            best[g] = max(best[g], x)
+    kept = {lang: {g for g, x in own.items() if x >= L.LEAST_RATE and x >= L.SHARE_OF_BEST * best[g]} for lang, own in rate.items()}
+    got = model.shares([L.letters(t) for t in texts])
+    for t, row in zip(texts, got, strict=True):
+        own = grams(t)
+        for k, lang in enumerate(model.languages):
+            # rows of one language may be cut apart between tasks, which moves few n-grams
+            assert abs(row[k] - sum(g in kept[lang] for g in own) / len(own)) < 0.03
+
+
+def test_columns_keep_their_values(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    names = ["score", "lang_pred", "lang_share", "found", "row"]
+    docs = make_docs([(k, sentence("aa", k), "aa") for k in range(30)] + [(40, None), (41, "12 34")]).withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    got = L.spoken(docs, L.fit(docs), 0.1)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert len(rows) == 30 and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
