@@ -7,7 +7,9 @@ form one stream of words; whole passes and then the first blocks of that stream
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order;
 an empty table gives an empty result; repeated rows are documents of their own; columns the
-operator adds replace input columns of the same name.
+operator adds (size, source_size, target, taken) replace input columns of the same name, and
+all others are passed through whatever their names. A source's shards, one row for each
+``shard_docs`` documents, meet in one window, since Sainte-Laguë compares all their quotients.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanbox.llm.common import join_checked, materialize, word_count
+from gleanbox.llm.common import join_checked, materialize, packed, word_count
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -74,53 +76,52 @@ def sainte_lague(rows: DataFrame, group: list[Column], key: list[str], weight: s
     return won.groupBy(*kept, "_sure").agg(F.sum("_won").alias("_extra")).select(*kept, (F.col("_sure") + F.col("_extra")).alias("seats"))
 
 
-def with_sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Adds size (words) and _h, the seeded place of a document."""
-    return docs.withColumns({"size": word_count(F.col("text")), "_h": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))})
+def sized(docs: DataFrame, *more: str, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size (words), h (the seeded place of a document), and further columns."""
+    seeded = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit(""))))
+    return docs.select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), F.conv(F.substring(seeded, 1, 15), 16, 10).cast("long").alias("h"))
 
 
-def plan_quotas(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS) -> tuple[DataFrame, DataFrame]:
+def plan_quotas(slim: DataFrame, weights=WEIGHTS, cap: int = CAP, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS) -> tuple[DataFrame, DataFrame]:
     """(sources with their targets and shard counts, quotas in words per source and shard)."""
-    sources = source_targets(sized, weights, cap).withColumn("n_shards", F.ceil(F.col("n_docs") / shard_docs).cast("long"))
+    sources = source_targets(slim, weights, cap).withColumn("n_shards", F.ceil(F.col("n_docs") / shard_docs).cast("long"))
     all_blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_tokens)
     sources = sources.withColumn("blocks", all_blocks.cast("long"))
     dealt = sainte_lague(sources, [F.lit(0)], ["source"], "target", F.col("blocks"))
     sources = materialize(dealt.drop("blocks").withColumnRenamed("seats", "source_blocks"), "sources")
-    shards = in_shards(sized, sources).groupBy("source", "shard", "source_blocks").agg(F.sum("size").alias("shard_size"))
+    shards = in_shards(slim, sources).groupBy("source", "shard", "source_blocks").agg(F.sum("size").alias("shard_size"))
     dealt = sainte_lague(shards, [F.col("source")], ["shard"], "shard_size", F.col("source_blocks"))
     quota = F.least(F.col("seats") * block_tokens, cap * F.col("shard_size"))
     return sources, materialize(dealt.select("source", "shard", "shard_size", quota.alias("quota")), "quotas")
 
 
-def in_shards(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    own = sources.select(F.col("source").alias("_source"), "source_size", "target", "n_shards", "source_blocks")
-    there = join_checked(sized, own, F.col("source").eqNullSafe(F.col("_source")))
-    return there.withColumn("shard", F.pmod(F.col("_h"), F.col("n_shards"))).drop("_source", "n_shards")
+def in_shards(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    own = sources.select(F.col("source").alias("own"), "source_size", "target", "n_shards", "source_blocks")
+    there = join_checked(docs, own, F.col("source").eqNullSafe(F.col("own")))
+    return there.withColumn("shard", F.pmod(F.col("h"), F.col("n_shards"))).drop("own", "n_shards")
 
 
-def take_blocks(sized: DataFrame, sources: DataFrame, quotas: DataFrame) -> DataFrame:
-    """Adds source_size, target and taken: the words of each document that the mix takes."""
-    q = quotas.select(F.col("source").alias("_qs"), F.col("shard").alias("_qn"), "shard_size", "quota")
-    there = in_shards(sized, sources)
-    there = join_checked(there, q, F.col("source").eqNullSafe(F.col("_qs")) & (F.col("shard") == F.col("_qn")))
-    before = Window.partitionBy("source", "shard").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    cum = F.coalesce(F.sum("size").over(before), F.lit(0))
+def take_blocks(docs: DataFrame, sources: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Adds source_size, target and taken, the words of each document that the mix takes, to what sized() gives."""
+    q = quotas.select(F.col("source").alias("own"), F.col("shard").alias("own_shard"), "shard_size", "quota")
+    there = join_checked(in_shards(docs, sources), q, F.col("source").eqNullSafe(F.col("own")) & (F.col("shard") == F.col("own_shard")))
+    before = Window.partitionBy("source", "shard").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.greatest(F.col("shard_size"), F.lit(1)))).otherwise(F.lit(0))
-    part = F.col("quota") - F.col("_full") * F.col("shard_size")
-    there = there.withColumns({"_full": passes, "_cum": cum})
-    taken = F.col("_full") * F.col("size") + F.least(F.greatest(part - F.col("_cum"), F.lit(0)), F.col("size"))
-    return there.withColumn("taken", taken.cast("long")).drop("_full", "_cum", "_qs", "_qn", "_h", "shard", "shard_size", "quota", "source_blocks")
+    there = there.withColumns({"full": passes, "cum": F.coalesce(F.sum("size").over(before), F.lit(0))})
+    part = F.col("quota") - F.col("full") * F.col("shard_size")
+    taken = F.col("full") * F.col("size") + F.least(F.greatest(part - F.col("cum"), F.lit(0)), F.col("size"))
+    return there.withColumn("taken", taken.cast("long")).select(*docs.columns, "source_size", "target", "taken").drop("h")
 
 
 def mix_sources(docs: DataFrame, **plan) -> DataFrame:
     """Documents with size, source_size, target and taken (words taken, repeats counted)."""
     docs = docs.drop("size", "source_size", "target", "taken")
-    slim = materialize(with_sizes(docs).select("doc_id", "source", "size", "_h"), "sizes")
-    sources, quotas = plan_quotas(slim, **plan)
-    return take_blocks(with_sizes(docs), sources, quotas)
+    plans = plan_quotas(materialize(sized(docs), "sizes"), **plan)
+    whole = packed(docs, "doc_id", "source", "text")
+    return take_blocks(sized(whole, "row"), *plans).select("row.*", "size", "source_size", "target", "taken")
 
 
 def mix_report(docs: DataFrame, **plan) -> DataFrame:
-    """The same decisions without the texts: only ids and sizes are shuffled."""
-    slim = materialize(with_sizes(docs).select("doc_id", "source", "size", "_h"), "sizes")
+    """doc_id, source and the same decisions, without the texts: only ids and sizes are shuffled."""
+    slim = materialize(sized(docs), "sizes")
     return take_blocks(slim, *plan_quotas(slim, **plan))

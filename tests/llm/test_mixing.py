@@ -75,3 +75,12 @@ def test_mix(spark, make_docs, odd_docs):
     report = M.mix_report(docs, shard_docs=50).collect()
     assert sorted((repr(x["doc_id"]), x["taken"]) for x in report) == sorted((repr(x["doc_id"]), x["taken"]) for x in got)
     assert M.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_columns_of_helper_names(spark, make_docs):
+    names = ["shard", "shard_size", "quota", "source_blocks", "_h", "h", "n_shards", "row", "own", "full", "cum", "weight"]
+    docs = make_docs([(k, "a b c " * (k % 7), "en", "st"[k % 2]) for k in range(40)]).withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    got = M.mix_sources(docs, shard_docs=10)
+    assert got.columns == [*docs.columns, "size", "source_size", "target", "taken"]
+    rows = got.collect()
+    assert len(rows) == 40 and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
