@@ -2,7 +2,13 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet
 and read again as the next stage's documents. All stages but the last return the columns of
-documents; the last adds size, source_size, target and taken.
+documents, whatever these are called; the last adds size, source_size, target and taken.
+
+Defined cases: a null or empty text has no letters, so language ID rejects it; a null doc_id is
+kept like others and is the last to stand for a group of near-duplicates; rows with equal id and
+text are one document to near-dedup; a null source is a source of its own; without labelled
+documents every text is of an unknown language and the result is empty; empty tables give empty
+results, and an empty benchmark rejects nothing.
 """
 
 from __future__ import annotations
@@ -14,15 +20,12 @@ from gleanbox.llm import decontaminate, language, lines, mixing, neardup
 from gleanbox.llm.common import load, materialize
 
 #: A text is rejected if this little of it is in the language that it is most like.
-LEAST_LANGUAGE_SCORE = 0.1
+LEAST_LANGUAGE_SHARE = 0.1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in none of the languages of labelled documents, go."""
-    model = language.fit(docs.select("doc_id", "text", "lang"))
-    predicted = language.predict(docs, model)
-    spoken = (F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_share") >= LEAST_LANGUAGE_SCORE)
-    return predicted.filter(spoken).select(*docs.columns)
+    return language.spoken(docs, language.fit(docs.select("doc_id", "text", "lang")), LEAST_LANGUAGE_SHARE)
 
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
