@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of at most this many slim rows may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,14 +62,14 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *columns)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", each: Column | None = None) -> DataFrame:
     """Join with a broadcast only if the counted small side is within BROADCAST_ROWS.
 
-    The small side should have been materialized, since it is counted here.
+    ``each`` says for how many slim rows a row counts, if it holds an array. The small side
+    should have been materialized, since it is counted here.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    rows = small.limit(BROADCAST_ROWS + 1).agg(F.sum(F.lit(1) if each is None else F.greatest(each, F.lit(1)))).first()[0] or 0
+    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
 def partitions(spark: SparkSession) -> int:
