@@ -61,6 +61,22 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:
 ENDS_PARAGRAPH = {"p", "div", "ul", "ol", "li", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "header", "footer", "nav", "aside", "form", "blockquote", "pre", "hr", "dl", "dt", "dd", "figure", "address"}
 
 
+#: Parts of a class name that say where or how, after the part that says what.
+_PLACES = set("wrap wrapper container area section block box item items list inner outer content body unit slot top bottom left right middle inline native sticky mobile desktop large small wide link links button buttons form bar posts stories articles message text label row col holder main primary secondary".split())
+
+
+def names_boilerplate(name: str, in_content: bool) -> bool:
+    """Does a class name or id name boilerplate? Within content the last part that says what must."""
+    if _LAYOUT.match(name):
+        return False
+    if not in_content:
+        return bool(_BOILER.search(name))
+    parts = [x for x in re.split(r"[_-]+", name) if x]
+    while parts and (parts[-1] in _PLACES or parts[-1].isdigit()):
+        parts.pop()
+    return bool(parts) and bool(_BOILER.search(parts[-1]))
+
+
 def is_boilerplate(name: str, attributes: str, in_content: bool) -> bool:
     """Does an element's name, role, class or id say that it is not content?"""
     if name in AWAY and not (name == "header" and in_content):
@@ -75,7 +91,7 @@ def is_boilerplate(name: str, attributes: str, in_content: bool) -> bool:
                 return True
             continue
         if key in ("class", "id"):
-            named = [x for x in value.split() if not _LAYOUT.match(x) and _BOILER.search(x)]
+            named = [x for x in value.split() if names_boilerplate(x, in_content)]
             if named and not (in_content and all("header" in x for x in named)):
                 return True
         elif (key == "role" and value in ROLES) or (key == "hidden" and value != "until-found") or (key == "aria-hidden" and value == "true"):
@@ -91,6 +107,9 @@ class PageLines:
     def __init__(self, html: str):
         self.lines: list[tuple[str, bool, bool]] = []
         self.open: list[tuple[str, bool, bool]] = []  # element, in content, marked
+        self.named: dict[str, list[int]] = {}  # places of the open elements of a name
+        self.scopes: list[int] = []  # places of open scopes, and of open elements that part lines
+        self.parting: list[int] = []
         self.held: list[str] = []
         self.linked = 0
         at, end = 0, len(html)
@@ -99,7 +118,7 @@ class PageLines:
             stop = m.start() if m else end
             if stop > at:
                 self.held.append(html[at:stop])
-                if any(x[0] == "a" for x in self.open):
+                if self.named.get("a"):
                     self.linked += stop - at
             if not m:
                 break
@@ -141,20 +160,29 @@ class PageLines:
         if name in ENDS_PARAGRAPH:
             self.close("p", only_if_open=True)
             content, marked = self.state()
+        for places, there in ((self.named.setdefault(name, []), True), (self.scopes, name in SCOPES), (self.parting, name not in INLINE)):
+            if there:
+                places.append(len(self.open))
         self.open.append((name, content or name in CONTENT, marked or away))
 
     def close(self, name: str, only_if_open: bool = False) -> None:
         """End the innermost element of that name, and what is open in it."""
-        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == name), None)
-        if at is not None and (name in INLINE or name == "p") and any(x[0] in SCOPES for x in self.open[at + 1 :]):
+        held = self.named.get(name)
+        at = held[-1] if held else None
+        if at is not None and (name in INLINE or name == "p") and self.scopes and self.scopes[-1] > at:
             at = None
         if at is None:
             if name not in INLINE and not only_if_open:
                 self.flush()
             return
-        if any(x[0] not in INLINE for x in self.open[at:]) or self.open[at][2] != (self.open[at - 1][2] if at else False):
+        if (self.parting and self.parting[-1] >= at) or self.open[at][2] != (self.open[at - 1][2] if at else False):
             self.flush()
-        del self.open[at:]
+        while len(self.open) > at:
+            gone = self.open.pop()[0]
+            self.named[gone].pop()
+            for places in (self.scopes, self.parting):
+                if places and places[-1] == len(self.open):
+                    places.pop()
 
 
 def page_lines(html: str) -> list[tuple[str, bool, bool]]:
@@ -176,6 +204,31 @@ def line_columns(html: str | None) -> tuple[list[int], list[int], int, list[bool
     return [xxhash.xxh3_64_intdigest(t) >> 1 for t, _, _ in lines], [len(t) for t, _, _ in lines], sum(len(t) for t, _, _ in lines), [c for _, c, _ in lines], ends
 
 
+def last_row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of all of x with each start of y."""
+    row = np.zeros(len(y) + 1, dtype=np.int32)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == v, row[:-1] + 1, 0)))
+    return row
+
+
+def common_places(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places in x of a longest common subsequence with y, in memory of one row (x is halved again and again)."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            if (y[c:d] == x[a]).any():
+                out.append(a)
+            continue
+        mid = (a + b) // 2
+        best = c + int(np.argmax(last_row(x[a:mid], y[c:d]) + last_row(x[mid:b][::-1], y[c:d][::-1])[::-1]))
+        todo += [(a, mid, c, best), (mid, b, best, d)]
+    return out
+
+
 def shared_places(a: list[int], b: list[int]) -> list[int]:
     """Places in ``a`` of a longest common subsequence with ``b``."""
     lead = 0
@@ -187,26 +240,8 @@ def shared_places(a: list[int], b: list[int]) -> list[int]:
     x, y = a[lead : len(a) - tail], b[lead : len(b) - tail]
     both = set(x) & set(y)
     xs = [i for i, v in enumerate(x) if v in both]
-    ys = [v for v in y if v in both]
-    middle: list[int] = []
-    if xs and ys:
-        yv = np.array(ys, dtype=np.int64)
-        rows = [np.zeros(len(ys) + 1, dtype=np.int32)]
-        for i in xs:
-            above = rows[-1]
-            row = np.maximum(above, 0)
-            row[1:] = np.maximum(above[1:], np.where(yv == x[i], above[:-1] + 1, 0))
-            rows.append(np.maximum.accumulate(row))
-        i, j = len(xs), len(ys)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                middle.append(lead + xs[i])
-    return [*range(lead), *sorted(middle), *range(len(a) - tail, len(a))]
+    found = common_places(np.array([x[i] for i in xs], dtype=np.int64), np.array([v for v in y if v in both], dtype=np.int64))
+    return [*range(lead), *sorted(lead + xs[i] for i in found), *range(len(a) - tail, len(a))]
 
 
 def shared_start(a: str, b: str) -> int:

@@ -113,3 +113,44 @@ def test_neighbour_but_one_at_the_ends_of_a_host(spark):
     rows = [(k, f"h{k // 25}", f"p{k:03d}", [k], [5], 100) for k in range(50)]
     got = {r["page_key"]: r["second"] and r["second"]["page_key"] for r in html.with_neighbours(spark.createDataFrame(rows, html._PAGE)).collect()}
     assert {k: v for k, v in got.items() if v is not None} == {0: 2, 24: 22, 25: 27, 49: 47}
+
+
+def test_differencing_alone(spark, monkeypatch, prose):
+    """Without any list of names, elements or roles, what pages share goes and their prose stays."""
+    import numpy as np
+
+    for name in ("AWAY", "ROLES", "CONTENT"):
+        monkeypatch.setattr(html, name, set())
+    monkeypatch.setattr(html, "_BOILER", re.compile("(?!)"))
+    monkeypatch.setattr(html, "MENU_CHARS", 0)
+    own = {k: [prose(100 * k + j, 40).replace("\n", " ") for j in range(3)] for k in range(6)}
+    body = lambda k: "<nav><a>Home</a><p>All sections</p></nav><div class=ad>Buy two boats today</div><article>" + "".join(f"<p>{x}</p>" for x in own[k]) + "</article><footer>Call us any time</footer>"
+    rows = [(k, f"http://h/a/{k}", page(body(k))) for k in range(6)]
+    pages = {k: (k, *html.host_and_path(u), *html.line_columns(h)) for k, u, h in rows}
+    for k in range(1, 5):
+        gone = html.deletions(pages[k], pages[k - 1], pages[k + 1])
+        lines = [t for t, _, _ in html.page_lines(rows[k][2])]
+        assert [t for n, t in enumerate(lines) if n not in gone] == own[k] and len(gone) == 4
+    assert np.array_equal(html.last_row(np.array([1, 2]), np.array([2, 1, 2])), [0, 1, 1, 2])
+
+
+def test_names_within_content_need_to_say_so():
+    for name in ("ad-free", "search-results", "social-history", "widget-guide", "comment-policy-history"):
+        assert html.page_lines(f'<main><div class="post {name}"><p>Prose</p></div></main>') == [("Prose", True, False)]
+    for name in ("ad", "ad-box", "cookie-notice", "comments-list", "ad_3", "share-buttons", "newsletter"):
+        assert html.page_lines(f'<main><div class="{name}"><p>Buy</p></div></main>')[0][2]
+
+
+def test_hard_pages_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    start = time.perf_counter()
+    assert len(html.page_lines("<div>x" * 100_000)) == 100_000
+    assert len(html.page_lines("<b>x<p>" * 50_000 + "</i></a>" * 50_000)) == 50_000
+    assert time.perf_counter() - start < 20
+    a = list(range(6_000))
+    tracemalloc.start()
+    assert len(html.shared_places(a, [x for k in range(0, 6_000, 2) for x in (k + 1, k)])) == 3_000
+    assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    tracemalloc.stop()
