@@ -5,9 +5,10 @@ paragraph of several lines. A template is found in a block if at least ``CONTAIN
 template's distinct words are in it, and these are at least ``ABOUT`` of the block's own. In
 a longer block the template is looked for in every run of words of the greatest length at
 which ``CONTAINED`` of the template are ``ABOUT`` of the run, so a notice within a long line
-is found. A template gives way only to a variant of it (they share half of the shorter one's
+is found; one of fewer than ``FEW`` words must stand in one piece. A template gives way only to a variant of it (they share half of the shorter one's
 words) of which the block holds more, and only if the block lacks ``CONTAINED`` of the words
-that tell it from the variant; other notices of a block are all reported.
+that tell it from the variant, or to a longer notice around it whose own words are there;
+other notices of a block are all reported.
 
 The join looks at a block's words in one global order, rarest in the corpus first (counted
 over all texts). Of a template with n words, of which it needs o, only the first n - o + 1
@@ -34,6 +35,7 @@ from gleanbox.llm.common import alnum_words as words
 
 CONTAINED = 0.8
 ABOUT = 0.25
+FEW = 5
 
 # Phrases and their labels, as the task gives them.
 PHRASES = {
@@ -43,21 +45,47 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Short notices by label, in the wording in which they are usually put into files.
+# Notices and clauses of licenses by label, in the wording in which they are put into files.
 TEMPLATES = {
     "gpl": [
         "This work is licensed under the GNU General Public License version 3",
         "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU General Public License along with this program",
+    ],
+    "lgpl": [
+        "This library is free software you can redistribute it and or modify it under the terms of the GNU Lesser General Public License",
+        "You should have received a copy of the GNU Lesser General Public License along with this library",
+    ],
+    "agpl": [
+        "You can redistribute it and or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program",
+    ],
+    "apache": [
+        "Licensed under the Apache License Version 2.0",
+        "you may not use this file except in compliance with the License You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing software distributed under the License is distributed on an AS IS BASIS",
+    ],
+    "mit": [
+        "Released under the MIT License",
+        "Licensed under the MIT License",
+        "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "Use of this source code is governed by a BSD style license that can be found in the LICENSE file",
     ],
-    "lgpl": ["This library is free software you can redistribute it and or modify it under the terms of the GNU Lesser General Public License"],
-    "apache": ["Licensed under the Apache License Version 2.0", "Unless required by applicable law or agreed to in writing software distributed under the License is distributed on an AS IS BASIS"],
-    "mit": ["Released under the MIT License", "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
-    "bsd": ["Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "isc": ["Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License v 2.0"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-nc": ["Licensed under CC BY NC 4.0"],
-    "cc-by-sa": ["Licensed under CC BY SA 4.0"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "boost": ["Distributed under the Boost Software License Version 1.0"],
+    "zlib": ["Permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"],
+    "cc0": ["To the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"],
+    "cc-by-nc": ["This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", "Licensed under CC BY NC 4.0"],
+    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License", "Licensed under CC BY SA 4.0"],
+    "cc-by-nd": ["This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License", "Licensed under CC BY ND 4.0"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
     "reserved": ["All rights reserved"],
 }
@@ -106,7 +134,8 @@ class Templates:
     def most_in_a_run(self, t: int, found: list[bytes]) -> int:
         """The most distinct words of a template that stand in one run of need / ABOUT words."""
         _, ranks, need = self.templates[t]
-        ranks, width = set(ranks), int(need / ABOUT)
+        # a template of few words must stand in one piece
+        ranks, width = set(ranks), need if len(ranks) < FEW else int(need / ABOUT)
         places = [(k, r) for k, w in enumerate(found) if (r := self.rank.get(w)) in ranks]
         held: Counter[int] = Counter()
         most = first = 0
@@ -132,13 +161,16 @@ class Templates:
         held: dict[int, float] = {}
         for t, shared in self.contained(block):
             _, ranks, need = self.templates[t]
-            if shared < ABOUT * len(block):
+            if shared < ABOUT * len(block) or len(ranks) < FEW:
                 shared = self.most_in_a_run(t, found)
             if shared >= need:
                 held[t] = shared / len(ranks)
         out: dict[str, float] = {}
         for t, share in held.items():
-            if not any(held.get(v, 0.0) > share and not self.tells_apart(t, v, block) for v in self.variants[t]):
+            less = any(held.get(v, 0.0) > share and not self.tells_apart(t, v, block) for v in self.variants[t])
+            # of a notice and a longer one around it, the longer one if its own words are there
+            within = any(v in held and set(self.templates[v][1]) > set(self.templates[t][1]) and self.tells_apart(v, t, block) for v in self.variants[t])
+            if not less and not within:
                 label = self.templates[t][0]
                 out[label] = max(out.get(label, 0.0), share)
         return out

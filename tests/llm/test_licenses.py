@@ -89,3 +89,9 @@ def test_runs_equal_plain_windows():
             width = int(need / L.ABOUT)
             want = max((len({index.rank.get(w) for w in found[k : k + width]} & set(ranks)) for k in range(len(found))), default=0)
             assert index.most_in_a_run(t, found) == want
+
+
+def test_variants_are_told_apart(spark, make_docs):
+    rows = [(1, "Licensed under CC BY 4.0"), (2, "Licensed under CC BY-NC 4.0"), (3, "the rights reserved for all people"), (4, "some words here, all rights reserved. and more of the words"), (5, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")]
+    got = {r["doc_id"]: r["labels"] for r in L.scan_licenses(make_docs(rows)).collect()}
+    assert got == {1: "cc-by", 2: "cc-by,cc-by-nc", 3: "", 4: "reserved", 5: "bsd"}
