@@ -18,7 +18,8 @@ against the passages around, as many words to each side as the item has. Items o
 Words are parted by ASCII and general punctuation; each character of a script without spaces
 is a word.
 
-Items go to the tasks in shards of ``SHARD`` of them, so what a task holds is bounded.
+Items go to the driver and the tasks in shards of ``SHARD`` of them, one after the other: a
+shard's matches are written before the next shard is read, so what a task holds is bounded.
 
 Defined cases: null and empty texts match nothing, nor do items without words; equal items are
 each reported, items with a null id too, by a null item_id; an empty benchmark table gives no
@@ -250,8 +251,8 @@ class BlockMaxIndex:
             out[item] = max(out.get(item, (0.0, 0.0, 0.0)), (score, q, a))
 
 
-def item_indexes(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
-    """An index for each shard of the test items, with frequencies over all of them."""
+def item_indexes(benchmark: DataFrame) -> Iterator[tuple[BlockMaxIndex, bool]]:
+    """(index, whether there are more) for each shard of the test items, with frequencies over all of them."""
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
 
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,6 +267,8 @@ def item_indexes(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
         return
     shards = ceil(n_items / SHARD)
     frequency = items.select("text").mapInPandas(batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    if shards > 1:
+        frequency = common.materialize(frequency, "item-words")
     shard = F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(shards))
     for k in range(shards):
         own = [(r["item_id"], r["text"]) for r in items.filter(shard == k).collect()]
@@ -276,7 +279,7 @@ def item_indexes(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
         else:
             held = frequency
         counts = {bytes(r["word"]): r["n"] for r in held.collect()}
-        yield BlockMaxIndex(sorted(own, key=lambda x: (x[0] is None, x[0] or 0, x[1])), counts, n_items, counts.pop(b"", 0) / n_items or 1.0)
+        yield BlockMaxIndex(sorted(own, key=lambda x: (x[0] is None, x[0] or 0, x[1])), counts, n_items, counts.pop(b"", 0) / n_items or 1.0), shards > 1
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -284,7 +287,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for index in item_indexes(benchmark):
+    for index, many in item_indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def batches(rows: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -292,7 +295,11 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = [(i, None if isinstance(item, str) else item, *x) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for item, x in shared.value.matches(t if isinstance(t, str) else None).items()]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-        out = out.unionByName(slim.mapInPandas(batches, schema))
+        found = slim.mapInPandas(batches, schema)
+        if many:
+            found = common.materialize(found, "matches")
+            shared.destroy()
+        out = out.unionByName(found)
     return out
 
 
@@ -309,6 +316,10 @@ def is_clean(shared):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose text holds no test item."""
-    for index in item_indexes(benchmark):
-        docs = docs.filter(is_clean(docs.sparkSession.sparkContext.broadcast(index))(F.col("text")))
+    for index, many in item_indexes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.filter(is_clean(shared)(F.col("text")))
+        if many:
+            docs = common.materialize(docs, "without-leaks")
+            shared.destroy()
     return docs
