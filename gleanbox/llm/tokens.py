@@ -25,6 +25,8 @@ MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Distinct merged pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 500_000
+#: Longer pre-tokens are merged anew each time, so a worker's memory is bounded.
+REMEMBERED_CHARS = 64
 SPACE = "▁"
 
 
@@ -64,10 +66,12 @@ class PieceCounts(dict):
         return len(self.processor.encode("\n" + part)) - self.feed
 
     def __missing__(self, part: str) -> int:
-        if len(self) > len(self.whole) + REMEMBERED:
-            self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
-        self[part] = n = self.merged(part)
+        n = self.merged(part)
+        if len(part) <= REMEMBERED_CHARS:
+            if len(self) > len(self.whole) + REMEMBERED:
+                self.clear()
+                self.update(dict.fromkeys(self.whole, 1))
+            self[part] = n
         return n
 
     def count(self, text: str) -> int:
