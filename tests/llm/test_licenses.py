@@ -86,7 +86,7 @@ def test_runs_equal_plain_windows():
         r = random.Random(seed)
         found = [r.choice(sorted(index.vocabulary) + [b"x%d" % k for k in range(60)]) for _ in range(r.randrange(90))]
         for t, (_, ranks, need) in enumerate(index.templates):
-            width = int(need / L.ABOUT)
+            width = need if len(ranks) < L.FEW else int(need / L.ABOUT)
             want = max((len({index.rank.get(w) for w in found[k : k + width]} & set(ranks)) for k in range(len(found))), default=0)
             assert index.most_in_a_run(t, found) == want
 
