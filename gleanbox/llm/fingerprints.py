@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from gleanbox.llm.common import join_checked, materialize, partitions
 
 K = 5
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 512
 RANGES = 10_000
 CUTS = 256
 #: Scripts written without spaces.
