@@ -26,7 +26,9 @@ from events where event_id % 41 <> 0
 select event_id + 1 as id,
        case when event_id % 1009 = 0 then 503 when event_id % 499 = 0 then 404
             when event_id % 2003 = 0 then 0 else 200 end as status_code,
-       event_id % 700 as latency_ms
+       event_id % 700 as latency_ms,
+       case when event_id % 1511 = 0 then 'no route' end as error,
+       case when event_id % 1009 = 0 or event_id % 499 = 0 then concat('refused ', event_type) end as body
 from events
 """,
     "sidelined_messages": """
@@ -39,7 +41,8 @@ select event_id + 1 as id,
        ts as created_at, ts + interval '10' minute as updated_at,
        case when event_id % 2 = 0 then 500 else 0 end as http_status_code,
        case when event_id % 2 = 0 then 'HTTP_ERROR' else 'GROUP_SIDELINED' end as sideline_reason_code,
-       case when event_id % 2 = 0 then 5 else 0 end as retries
+       case when event_id % 2 = 0 then 5 else 0 end as retries,
+       case when event_id % 2 = 0 then 'status 500' else '' end as details
 from events where event_id % 23 = 3
 """,
     "sidelined_groups": """
@@ -70,9 +73,12 @@ select o_orderkey as id,
        case when o_orderkey % 4 = 0 then concat('G', cast(o_custkey % 150 as varchar(20))) end as group_id,
        case when o_orderkey % 4 = 1 then concat('M', lpad(cast(o_custkey as varchar(20)), 10, '0')) end as message_id,
        case o_orderstatus when 'F' then 'DONE' when 'O' then 'NEW' else 'PROCESSING' end as status,
-       o_orderdate as updated_at, o_orderdate as created_at
+       o_orderdate as updated_at, o_orderdate as created_at,
+       case o_orderkey % 12 when 2 then (select max(ts) from events) - interval '20' day when 6 then (select max(ts) from events) - interval '9' day end as from_date,
+       case o_orderkey % 12 when 2 then (select max(ts) from events) - interval '15' day when 6 then (select max(ts) from events) - interval '8' day when 10 then (select max(ts) from events) end as to_date
 from orders
 """,
+    "open_sidelined": "select * from sidelined_messages where created_at > (select max(ts) from events) - interval '12' day",
     "dup_messages": """
 select * from messages
 union all
@@ -81,7 +87,7 @@ from messages where id % 50 = 0
 """,
 }
 #: Tables whose text names other derived tables.
-NEEDS = {"dup_messages": ["messages"]}
+NEEDS = {"dup_messages": ["messages"], "open_sidelined": ["sidelined_messages"]}
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 def last_by_message(df: DataFrame) -> DataFrame:
     """One row for each message_id: the one with the largest id, as later rows overwrite earlier ones.
 
-    Ids are picked first, from two columns; payloads only meet the picked ids.
+    Ids are picked first, from two columns; payloads are shuffled once, by message_id, which
+    is how batches are joined too.
     """
-    last = df.groupBy("message_id").agg(F.max("id").alias("id"))
-    return df.join(last, ["message_id", "id"], "left_semi")
+    last = df.groupBy("message_id").agg(F.max("id").alias("_last"))
+    return df.join(last, "message_id").filter(F.col("id") == F.col("_last")).select(*df.columns)
 
 
 def metadata_batch(metadata: DataFrame, start: int, count: int, before: Column | None = None) -> DataFrame:
@@ -112,13 +113,20 @@ def forced_resend(messages: DataFrame, wanted: DataFrame, batch_size: int, paral
     return rows.join(F.broadcast(gate.filter("fits and `all`")), F.lit(True), "left_semi")  # the gate is one row
 
 
-def work_queue(control: DataFrame, unsidelined: DataFrame, skipped: DataFrame, new: DataFrame) -> DataFrame:
-    """All work of a cycle: control tasks, released, skipped, then new messages, each by id."""
+def work_queue(control: DataFrame, unsidelined: DataFrame, skipped: DataFrame, new: DataFrame, batch: int) -> DataFrame:
+    """The work of one cycle: control tasks, released, skipped, then new messages, each the first ``batch`` by id.
+
+    A kind that fills the batch ends the cycle: later kinds wait for the next one.
+    """
     kinds = [("CONTROL", control), ("UNSIDELINED", unsidelined), ("SKIPPED", skipped), ("NEW", new)]
-    tagged = [df.select(F.lit(k).alias("kind_rank"), F.lit(kind).alias("kind"), F.col("id").cast("bigint").alias("id")) for k, (kind, df) in enumerate(kinds)]
-    out = tagged[0]
-    for df in tagged[1:]:
-        out = out.unionByName(df)
+    out = full = None
+    for rank, (kind, df) in enumerate(kinds):
+        own = df.select(F.col("id").cast("bigint").alias("id")).orderBy("id").limit(batch)
+        tagged = own.select(F.lit(rank).alias("kind_rank"), F.lit(kind).alias("kind"), "id")
+        if full is not None:
+            tagged = tagged.join(F.broadcast(full.groupBy().agg(F.bool_or("full").alias("full")).filter("not full")), F.lit(True), "left_semi")  # one row
+        filled = own.agg((F.count(F.lit(1)) >= batch).alias("full"))
+        out, full = (tagged, filled) if out is None else (out.unionByName(tagged), full.unionByName(filled))
     return out
 
 

@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanbox.functions.hashing import is_ungrouped
-from gleanbox.operators.relay import MAX_RETRIES, is_failure, is_ignored
+from gleanbox.operators.relay import MAX_RETRIES, answers, is_failure, is_ignored
 
 RESULT = "group_id string, id bigint, message_id string, kind string, outcome string, reason string, http_status_code int, retries int, status string"
+#: The code of an error of the relay itself, which no response has.
+RELAYER = -1
 END = ", end_status string, end_last bigint, is_end boolean"
 COLUMNS = [c.split()[0] for c in (RESULT + END).split(", ")]
 
@@ -40,7 +42,9 @@ def drain_group(status: str | None, last_id: int | None, rows: list[Row]) -> tup
             out.append((id_, message, kind, "IGNORED", None, None, None, None))
         elif failed:
             status, last_id = "SIDELINED", id_
-            out.append((id_, message, kind, "SIDELINED", "HTTP_ERROR", code, MAX_RETRIES, "SIDELINED"))
+            own = code == RELAYER
+            retries = MAX_RETRIES if not own or kind == "UNSIDELINED" else 0
+            out.append((id_, message, kind, "SIDELINED", "RELAYER_ERROR" if own else "HTTP_ERROR", 0 if own else code, retries, "SIDELINED"))
         else:
             if status is not None and id_ == last:
                 status, last_id = None, None
@@ -60,8 +64,10 @@ def as_frame(rows: list[tuple]) -> pd.DataFrame:
 
 def with_responses(work: DataFrame, responses: DataFrame, ignore_4xx: bool = False, ignore_non_4xx: bool = False) -> DataFrame:
     """work (group_id, id, message_id, kind, kind_rank) with code, failed and ignored."""
-    sent = work.join(responses.select("id", "status_code"), "id", "left")
-    return sent.select("group_id", "id", "message_id", "kind", "kind_rank", F.coalesce("status_code", F.lit(500)).alias("code"), is_failure(F.col("status_code")).alias("failed"), is_ignored(F.col("status_code"), ignore_4xx, ignore_non_4xx).alias("ignored"))
+    sent = work.join(answers(responses), "id", "left")
+    own = F.col("error").isNotNull()
+    code = F.when(own, RELAYER).otherwise(F.coalesce("status_code", F.lit(500)))
+    return sent.select("group_id", "id", "message_id", "kind", "kind_rank", code.alias("code"), (own | is_failure(F.col("status_code"))).alias("failed"), (~own & is_ignored(F.col("status_code"), ignore_4xx, ignore_non_4xx)).alias("ignored"))
 
 
 def group_drain(work: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:

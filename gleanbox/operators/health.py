@@ -57,23 +57,35 @@ def lag_histogram(rows: DataFrame, value: str, width: int) -> DataFrame:
     return rows.filter(F.col(value).isNotNull()).groupBy((F.floor(F.col(value) / width) * width).cast("bigint").alias("bucket_start")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def health_snapshot(messages: DataFrame, sidelined: DataFrame, groups: DataFrame, checkpoints: DataFrame, as_of: Column, partition_size: int) -> DataFrame:
-    """One row: ids, backlog, sidelines, checkpoints, lag and headroom of the last partition."""
-    top = messages.agg(F.max("id").alias("max_id"), F.coalesce(F.max("id"), F.lit(-1)).cast("bigint").alias("last_id"))
+def health_snapshot(messages: DataFrame, sidelined: DataFrame, groups: DataFrame, checkpoints: DataFrame, outcome: DataFrame, delivered: DataFrame, lanes: int, as_of: Column, partition_size: int) -> DataFrame:
+    """One row: ids, backlog, sidelines, checkpoints, lags, messages processed, headroom of the last partition.
+
+    ``outcome`` has outcome and bucket, ``delivered`` bucket, id and lag_ms. Messages are read
+    once: the checkpointed ones, which give backlog and lag, are flagged in the same pass.
+    """
+    named = named_checkpoints(checkpoints).withColumn("named", F.lit(True))
+    latest = checkpoints.agg(F.max_by("message_id", F.struct("updated_at", "process_id")).alias("latest"))
+    seen = messages.select("id", "message_id", "created_at").join(F.broadcast(named), "message_id", "left").crossJoin(F.broadcast(latest))  # one row a lane; one row
+    ends = seen.agg(
+        F.max("id").alias("max_id"),
+        F.max(F.when(F.col("message_id") == F.col("latest"), F.col("id"))).alias("done"),
+        F.min(F.when(F.col("named"), F.struct("id", "created_at"))).alias("first"),
+        F.max(F.when(F.col("named"), F.struct("id", "created_at"))).alias("last"),
+    )
+    top = ends.select(
+        "max_id",
+        F.coalesce("max_id", F.lit(-1)).cast("bigint").alias("last_id"),
+        (F.coalesce("max_id", F.lit(0)) - F.coalesce("done", F.lit(0))).cast("bigint").alias("pending"),
+        millis_between(as_of, F.col("first.created_at")).alias("min_lag_ms"),
+        millis_between(as_of, F.col("last.created_at")).alias("max_lag_ms"),
+    )
     side = sidelined.agg(F.count(F.when(F.col("status") == "SIDELINED", 1)).alias("n_sidelined"))
     grouped = groups.agg(F.count(F.lit(1)).alias("n_sidelined_groups"))
-    lanes = checkpoints.agg(F.count(F.lit(1)).alias("n_checkpoints"), F.count("message_id").alias("n_started"))
+    own = checkpoints.agg(F.count(F.lit(1)).alias("n_checkpoints"), F.count("message_id").alias("n_started"))
+    processed = processed_count(outcome).agg(F.coalesce(F.sum("n_processed"), F.lit(0)).alias("n_processed"))
+    lag = delivery_lag(delivered, lanes).withColumnsRenamed({"max_lag_ms": "max_delivery_lag_ms", "avg_lag_ms": "avg_delivery_lag_ms"})
     out = top
-    for one_row in (side, grouped, lanes, pending_count(messages, checkpoints), processed_lag(messages, checkpoints, as_of)):
+    for one_row in (side, grouped, own, processed, lag):
         out = out.crossJoin(F.broadcast(one_row))
     end = (F.floor(F.col("max_id") / partition_size) + 1) * partition_size
     return out.withColumn("max_partition_id", end.cast("bigint")).withColumn("headroom", (end - F.col("max_id")).cast("bigint"))
-
-
-def per_relay(tables: dict[str, DataFrame], snapshot) -> DataFrame:
-    """Snapshots of several relays, by name, in one table with relayer_id."""
-    out = None
-    for name, df in tables.items():
-        one = snapshot(df).withColumn("relayer_id", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out

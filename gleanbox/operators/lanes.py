@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanbox.functions.hashing import bucket, is_ungrouped, lane_name, sequencing_key, spread_key
+from gleanbox.operators.gaps import BLOCK
 
 
 def with_bucket(messages: DataFrame, lanes: int, algorithm: str = "java") -> DataFrame:
@@ -73,7 +74,15 @@ def new_lanes(checkpoints: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("process_id").distinct().join(checkpoints, "process_id", "left_anti")
 
 
-def group_order(messages: DataFrame) -> DataFrame:
-    """Adds group_seq, a message's place in its group. Ungrouped messages have no order."""
-    grouped = messages.filter(~is_ungrouped(F.col("group_id")))
-    return grouped.withColumn("group_seq", F.row_number().over(Window.partitionBy("group_id").orderBy("id")).cast("bigint"))
+def group_order(messages: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Adds group_seq, a message's place in its group. Ungrouped messages have no order.
+
+    Places are counted within blocks of ids; what a group has in the blocks before comes from
+    a table of one row per group and block. So a group of very many messages is spread.
+    """
+    grouped = messages.filter(~is_ungrouped(F.col("group_id"))).withColumn("_block", F.floor(F.col("id") / block))
+    counts = grouped.groupBy("group_id", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("group_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("group_id", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("group_id", "_block").orderBy("id"))
+    return grouped.join(counts, ["group_id", "_block"]).withColumn("group_seq", (F.col("_before") + place).cast("bigint")).select(*messages.columns, "group_seq")

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 def sideline_upsert(sidelined: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
     """Update rows by message_id, keeping group and created_at, or insert them.
 
-    ``changes``: message_id, group_id, id, status, sideline_reason_code, http_status_code, retries.
+    ``changes``: message_id, group_id, id, status, sideline_reason_code, http_status_code,
+    retries and, if both tables have it, details.
     """
-    new = changes.select("message_id", *[F.col(c).alias(f"_{c}") for c in ("id", "group_id", "status", "sideline_reason_code", "http_status_code", "retries")], F.lit(True).alias("_new"))
+    told = [c for c in ("status", "sideline_reason_code", "http_status_code", "retries", "details") if c in changes.columns and c in sidelined.columns]
+    new = changes.select("message_id", *[F.col(c).alias(f"_{c}") for c in ("id", "group_id", *told)], F.lit(True).alias("_new"))
     joined = sidelined.withColumn("_old", F.lit(True)).join(new, "message_id", "full")
     hit, old = F.coalesce("_new", F.lit(False)), F.col("_old").isNotNull()
-    fresh = {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("status", "sideline_reason_code", "http_status_code", "retries")}
+    fresh = {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in told}
     kept = {c: F.when(old, F.col(c)).otherwise(F.col(f"_{c}")) for c in ("id", "group_id")}
     times = {"created_at": F.when(old, F.col("created_at")).otherwise(as_of), "updated_at": F.when(hit, as_of).otherwise(F.col("updated_at"))}
     return joined.withColumns(fresh | kept | times).select(*sidelined.columns)
@@ -73,13 +75,18 @@ def claim_control_tasks(tasks: DataFrame, limit: int) -> DataFrame:
     return tasks.filter("status = 'NEW'").orderBy("id").limit(limit)
 
 
-def apply_control_tasks(sidelined: DataFrame, tasks: DataFrame, since: Column, until: Column) -> DataFrame:
-    """Sidelined rows after all claimed tasks: groups, single messages, and ungrouped rows of a period."""
+def apply_control_tasks(sidelined: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Sidelined rows after all claimed tasks: groups, single messages, and ungrouped rows of a period.
+
+    Each task for ungrouped rows has its own from_date and to_date, ends included; one without
+    both releases nothing. Claimed tasks are a read batch, so their periods fit into one row.
+    """
     of = lambda kind: tasks.filter(F.col("task_type") == kind)
     out = _released(sidelined, "group_id", of("UNSIDELINE_GROUP").filter("group_id is not null"))
     out = _released(out, "message_id", of("UNSIDELINE_MESSAGE").filter("message_id is not null"))
-    asked = of("UNSIDELINE_ALL_UNGROUPED").agg((F.count(F.lit(1)) > 0).alias("_asked"))
-    hit = F.col("_asked") & F.col("group_id").isNull() & F.col("updated_at").between(since, until)
+    asked = of("UNSIDELINE_ALL_UNGROUPED").agg(F.collect_set(F.struct("from_date", "to_date")).alias("_asked"))
+    within = F.exists("_asked", lambda p: F.coalesce(F.col("updated_at").between(p["from_date"], p["to_date"]), F.lit(False)))
+    hit = F.col("group_id").isNull() & within
     return out.crossJoin(F.broadcast(asked)).withColumn("status", F.when(hit, "UNSIDELINED").otherwise(F.col("status"))).select(*sidelined.columns)  # asked is one row
 
 

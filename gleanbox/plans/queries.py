@@ -30,25 +30,26 @@ def outbox_projection(c, messages):
 @query(
     "message_meta_data",
     """select id, message_id, min(created_at) as created_at from (
-      select * from message_meta_data where id % 3 <> 0 union all select * from message_meta_data where id % 2 = 0) x
+      select * from message_meta_data union all select id, message_id, created_at + interval '1' minute from message_meta_data) x
     group by id, message_id""",
 )
 def shard_merge(c, metadata):
-    return outbox.shard_merge([metadata.filter("id % 3 <> 0"), metadata.filter("id % 2 = 0")]).select("id", "message_id", "created_at")
+    copy = metadata.withColumn("created_at", F.col("created_at") + F.expr("interval '1' minute"))
+    return outbox.shard_merge([metadata, copy]).select("id", "message_id", "created_at")
 
 
-@query("messages message_meta_data", "select m.id, m.message_id from messages m where exists (select 1 from message_meta_data d where d.message_id = m.message_id and d.id % 3 = 0)")
+@query("messages message_meta_data", "select m.id, m.message_id from messages m where exists (select 1 from message_meta_data d where d.message_id = m.message_id)")
 def metadata_from_messages(c, messages, metadata):
-    return outbox.metadata_rows(messages, metadata.filter("id % 3 = 0"))
+    return outbox.metadata_rows(messages, metadata)
 
 
 @query(
     "messages message_meta_data",
     """select m.id, m.message_id, k.shard_key from messages m
-    left join (select message_id, concat('S', cast(id % 4 as varchar)) as shard_key from message_meta_data where id % 5 <> 0) k on m.message_id = k.message_id""",
+    left join (select message_id, concat('S', cast(id % 4 as varchar)) as shard_key from message_meta_data) k on m.message_id = k.message_id""",
 )
 def metadata_with_shard_key(c, messages, metadata):
-    keys = metadata.filter("id % 5 <> 0").select("message_id", F.concat(F.lit("S"), (F.col("id") % 4).cast("string")).alias("shard_key"))
+    keys = metadata.select("message_id", F.concat(F.lit("S"), (F.col("id") % 4).cast("string")).alias("shard_key"))
     return outbox.metadata_rows_with_shard(messages, messages, keys)
 
 
@@ -78,9 +79,9 @@ def metadata_batch(c, metadata):
     return assemble.metadata_batch(metadata, START, COUNT)
 
 
-@query("message_meta_data", "select * from message_meta_data where id between 1 and 1000000 and created_at < @as_of - interval 86400 second")
+@query("message_meta_data", "select * from message_meta_data where created_at < @as_of - interval 86400 second")
 def delayed_batch(c, metadata):
-    return assemble.metadata_batch(metadata, 1, 1_000_000, ago(c.as_of, 86_400))
+    return assemble.metadata_batch(metadata, 1, 2**62, ago(c.as_of, 86_400))
 
 
 @query("messages", f"select id, message_id, message from messages where id >= {START} and id <= {START + COUNT}")
@@ -231,10 +232,10 @@ def stale_checkpoints(c, checkpoints):
 @query(
     "sidelined_messages messages",
     """select m.id, m.message_id, m.message from messages m
-    where m.message_id in (select s.message_id from sidelined_messages s join messages x on x.message_id = s.message_id where s.id % 7 = 0)""",
+    where m.message_id in (select s.message_id from sidelined_messages s join messages x on x.message_id = s.message_id)""",
 )
 def forced_resend(c, sidelined, messages):
-    wanted = sidelined.filter("id % 7 = 0").join(messages.select("message_id"), "message_id", "left_semi")
+    wanted = sidelined.join(messages.select("message_id"), "message_id", "left_semi")
     return assemble.forced_resend(messages, wanted.unionByName(wanted), 10_000_000, 10).select("id", "message_id", "message")
 
 
@@ -247,6 +248,18 @@ _LAG_SQL = """(select (epoch_us(@as_of) // 1000) - (epoch_us(arg_min(m.created_a
     from messages m where m.message_id in (select message_id from max_processed_message_sequence where message_id is not null))"""
 
 
+_KEY_SQL = f"coalesce(group_id, cast({java_hash_sql('message_id')} as varchar))"
+_BUCKETED_SQL = f"(select *, cast({bucket_sql(java_hash_sql('k'), LANES)} as integer) as bucket from (select *, {_KEY_SQL} as k from messages) q)"
+_DELIVERY_SQL = f"""(select case when max(lag_ms) > 0 then max(lag_ms) end as max_lag_ms, case when max(lag_ms) > 0 then cast(sum(lag_ms) // {LANES} as bigint) end as avg_lag_ms
+    from (select bucket, arg_max(latency_ms, id) as lag_ms from (
+      select m.bucket, m.id, r.latency_ms from {_BUCKETED_SQL} m join responses r on r.id = m.id where r.status_code = 200) x group by bucket) y)"""
+
+
+def delivered_lags(messages, responses):
+    sent = lanes.with_bucket(messages, LANES).join(responses.filter("status_code = 200"), "id")
+    return sent.select("bucket", "id", F.col("latency_ms").alias("lag_ms"))
+
+
 @query("messages max_processed_message_sequence", f"select cast({_PENDING_SQL} as bigint) as pending")
 def pending_count(c, messages, checkpoints):
     return health.pending_count(messages, checkpoints)
@@ -258,41 +271,35 @@ def processed_lag(c, messages, checkpoints):
 
 
 @query(
-    "messages sidelined_messages sidelined_groups max_processed_message_sequence",
+    "messages sidelined_messages sidelined_groups max_processed_message_sequence responses",
     f"""select t.max_id, t.max_id as last_id, s.n as n_sidelined, g.n as n_sidelined_groups, k.n as n_checkpoints, k.started as n_started,
-      cast({_PENDING_SQL} as bigint) as pending, l.min_lag_ms, l.max_lag_ms, cast((t.max_id // {SIZE} + 1) * {SIZE} as bigint) as max_partition_id,
+      cast({_PENDING_SQL} as bigint) as pending, l.min_lag_ms, l.max_lag_ms, d.max_lag_ms as max_delivery_lag_ms, d.avg_lag_ms as avg_delivery_lag_ms, t.n as n_processed, cast((t.max_id // {SIZE} + 1) * {SIZE} as bigint) as max_partition_id,
       cast((t.max_id // {SIZE} + 1) * {SIZE} - t.max_id as bigint) as headroom
-    from (select max(id) as max_id from messages) t, (select count(*) as n from sidelined_messages where status = 'SIDELINED') s,
+    from (select max(id) as max_id, count(*) as n from messages) t, {_DELIVERY_SQL} d, (select count(*) as n from sidelined_messages where status = 'SIDELINED') s,
       (select count(*) as n from sidelined_groups) g, (select count(*) as n, count(message_id) as started from max_processed_message_sequence) k, {_LAG_SQL} l""",
 )
-def health_snapshot(c, messages, sidelined, groups, checkpoints):
-    return health.health_snapshot(messages, sidelined, groups, checkpoints, c.as_of, SIZE)
-
-
-_KEY_SQL = f"coalesce(group_id, cast({java_hash_sql('message_id')} as varchar))"
-_BUCKETED_SQL = f"(select *, cast({bucket_sql(java_hash_sql('k'), LANES)} as integer) as bucket from (select *, {_KEY_SQL} as k from messages) q)"
+def health_snapshot(c, messages, sidelined, groups, checkpoints, responses):
+    placed = lanes.with_bucket(messages, LANES)
+    outcome = relay.relay_outcome(messages, responses, groups).join(placed.select("id", "bucket"), "id")
+    return health.health_snapshot(messages, sidelined, groups, checkpoints, outcome, delivered_lags(messages, responses), LANES, c.as_of, SIZE)
 
 
-@query(
-    "messages responses",
-    f"""select case when max(lag_ms) > 0 then max(lag_ms) end as max_lag_ms, case when max(lag_ms) > 0 then cast(sum(lag_ms) // {LANES} as bigint) end as avg_lag_ms
-    from (select bucket, arg_max(latency_ms, id) as lag_ms from (
-      select m.bucket, m.id, r.latency_ms from {_BUCKETED_SQL} m join responses r on r.id = m.id where r.status_code = 200) x group by bucket) y""",
-)
+@query("messages responses", f"select * from {_DELIVERY_SQL} d")
 def delivery_lag(c, messages, responses):
-    sent = lanes.with_bucket(messages, LANES).join(responses.filter("status_code = 200"), "id")
-    return health.delivery_lag(sent.select("bucket", "id", F.col("latency_ms").alias("lag_ms")), LANES)
+    return health.delivery_lag(delivered_lags(messages, responses), LANES)
 
 
-_OUTCOME_SQL = """(select m.id, m.message_id, m.group_id,
+_SENT_SQL = """(select m.*, r.error, r.body, case when r.error is not null then 0 else coalesce(r.status_code, 500) end as code,
+      r.error is not null or coalesce(r.status_code, 500) // 100 <> 2 as failed, trim(coalesce(m.group_id, '')) = '' as alone
+      from messages m left join responses r on r.id = m.id)"""
+_OUTCOME_SQL = f"""(select m.id, m.message_id, m.group_id,
       case when held then 'SIDELINED' when failed then 'SIDELINED' else 'RELAYED' end as outcome,
-      case when held then 'GROUP_SIDELINED' when failed then 'HTTP_ERROR' end as reason,
+      case when held then 'GROUP_SIDELINED' when error is not null then 'RELAYER_ERROR' when failed then 'HTTP_ERROR' end as reason,
       cast(case when held then 0 when failed then code end as integer) as http_status_code,
-      cast(case when held then 0 when failed then 5 end as integer) as retries
+      cast(case when held or error is not null then 0 when failed then 5 end as integer) as retries,
+      case when held then '' when failed then coalesce(error, body, '') end as details
     from (select f.*, coalesce(not alone and (g.group_id is not null or f.id > first_fail), false) as held from (
-        select e.*, min(case when failed and not alone then id end) over (partition by case when alone then message_id else group_id end, alone) as first_fail from (
-          select m.*, coalesce(r.status_code, 500) as code, coalesce(r.status_code, 500) // 100 <> 2 as failed, trim(coalesce(m.group_id, '')) = '' as alone
-          from messages m left join responses r on r.id = m.id) e) f
+        select e.*, min(case when failed and not alone then id end) over (partition by case when alone then message_id else group_id end, alone) as first_fail from {_SENT_SQL} e) f
       left join sidelined_groups g on g.group_id = f.group_id) m)"""
 
 
@@ -412,22 +419,49 @@ def replay_set(c, checkpoints, metadata, messages):
     return lanes.replay_set(lanes.checkpoint_positions(checkpoints, metadata), messages, LANES).select("id", "message_id", "bucket")
 
 
+BATCH = 8_000
+
+
 @query(
     "control_tasks sidelined_messages skipped_ids messages",
-    """select 0 as kind_rank, 'CONTROL' as kind, cast(id as bigint) as id from control_tasks where status = 'NEW'
-    union all select 1, 'UNSIDELINED', id from sidelined_messages where status = 'UNSIDELINED'
-    union all select 2, 'SKIPPED', id from skipped_ids where status = 'NEW' union all select 3, 'NEW', id from messages""",
+    f"""select * from (with c as (select id from control_tasks where status = 'NEW' order by id limit {BATCH}), u as (select id from sidelined_messages where status = 'UNSIDELINED' order by id limit {BATCH}),
+      s as (select id from skipped_ids where status = 'NEW' order by id limit {BATCH}), n as (select id from messages order by id limit {BATCH}),
+      z as (select (select count(*) from c) < {BATCH} as c, (select count(*) from u) < {BATCH} as u, (select count(*) from s) < {BATCH} as s)
+      select 0 as kind_rank, 'CONTROL' as kind, cast(id as bigint) as id from c
+      union all select 1, 'UNSIDELINED', u.id from u, z where z.c
+      union all select 2, 'SKIPPED', s.id from s, z where z.c and z.u union all select 3, 'NEW', n.id from n, z where z.c and z.u and z.s) q""",
 )
 def work_queue(c, tasks, sidelined, skipped, messages):
-    return assemble.work_queue(tasks.filter("status = 'NEW'"), sidelined.filter("status = 'UNSIDELINED'"), skipped.filter("status = 'NEW'"), messages)
+    """A read batch: what one cycle takes up."""
+    return assemble.work_queue(tasks.filter("status = 'NEW'"), sidelined.filter("status = 'UNSIDELINED'"), skipped.filter("status = 'NEW'"), messages, BATCH)
 
 
 # ------------------------------------------------------------- relay and state
 
 
-@query("messages responses sidelined_groups sidelined_messages skipped_ids")
-def group_drain(c, messages, responses, groups, sidelined, skipped):
-    """Released, skipped and new messages in one cycle; a plain loop in tests is the oracle."""
+#: Each group's rows one after the other: a recursive query carries the group's state from row to row.
+_DRAIN_SQL = """(with recursive work as (
+      select m.group_id, m.id, m.message_id, m.error, m.code, m.failed, case when s.status = 'UNSIDELINED' then 'UNSIDELINED' when k.id is not null then 'SKIPPED' else 'NEW' end as kind
+      from {sent} m left join sidelined_messages s on s.message_id = m.message_id left join skipped_ids k on k.id = m.id
+      where not m.alone and (s.status is null or s.status <> 'PROCESSING')),
+    placed as (select *, row_number() over (partition by group_id order by case kind when 'UNSIDELINED' then 1 when 'SKIPPED' then 2 else 3 end, id) as place from work),
+    begun as (select g.group_id, 'UNSIDELINED' as st, coalesce(max(s.id), -1) as la from sidelined_groups g left join sidelined_messages s on s.group_id = g.group_id group by g.group_id),
+    walk as (
+      select p.*, b.st, cast(b.la as bigint) as la from placed p left join begun b on b.group_id = p.group_id where p.place = 1
+      union all
+      select p.*, case when w.st is not null and w.id > coalesce(w.la, -1) then w.st when w.failed then 'SIDELINED' when w.st is not null and w.id = coalesce(w.la, -1) then null else w.st end,
+        case when w.st is not null and w.id > coalesce(w.la, -1) then w.id when w.failed then w.id when w.st is not null and w.id = coalesce(w.la, -1) then null else w.la end
+      from walk w join placed p on p.group_id = w.group_id and p.place = w.place + 1)
+    select group_id, id, message_id, kind, case when held then 'HELD' when failed then 'SIDELINED' else 'RELAYED' end as outcome,
+      case when held then case when st = 'SIDELINED' then 'GROUP_SIDELINED' else 'GROUP_SEQ_MAINTENANCE' end when error is not null then 'RELAYER_ERROR' when failed then 'HTTP_ERROR' end as reason,
+      cast(case when held then 0 when failed then code end as integer) as http_status_code,
+      cast(case when held then 0 when error is not null and kind <> 'UNSIDELINED' then 0 when failed then 5 end as integer) as retries,
+      case when held then case when st = 'SIDELINED' then 'SIDELINED' else 'UNSIDELINED' end when failed then 'SIDELINED' end as status
+    from (select *, st is not null and id > coalesce(la, -1) as held from walk) h)""".replace("{sent}", _SENT_SQL)
+
+
+def _drained(messages, responses, groups, sidelined, skipped):
+    """Released, skipped and new messages of one cycle; groups that were sidelined have been released."""
     kind = F.when(F.col("s.status") == "UNSIDELINED", "UNSIDELINED").when(F.col("k.id").isNotNull(), "SKIPPED").otherwise("NEW")
     rows = messages.alias("m").join(sidelined.select("message_id", "status").alias("s"), "message_id", "left").join(skipped.select("id").alias("k"), F.col("m.id") == F.col("k.id"), "left")
     work = rows.filter("s.status is null or s.status <> 'PROCESSING'").select("m.group_id", "m.id", "message_id", kind.alias("kind"))
@@ -437,6 +471,11 @@ def group_drain(c, messages, responses, groups, sidelined, skipped):
     return drain.group_drain(drain.with_responses(work, responses), start)[0]
 
 
+@query("messages responses sidelined_groups sidelined_messages skipped_ids", f"select * from {_DRAIN_SQL} d")
+def group_drain(c, messages, responses, groups, sidelined, skipped):
+    return _drained(messages, responses, groups, sidelined, skipped)
+
+
 @query(
     "messages responses sidelined_groups skipped_ids",
     f"select s.* from skipped_ids s where s.id not in (select id from {_OUTCOME_SQL} o where o.outcome <> 'IGNORED')",
@@ -447,18 +486,23 @@ def skipped_outcome(c, messages, responses, groups, skipped):
 
 
 @query(
-    "messages responses sidelined_groups sidelined_messages",
-    f"""select s.id, s.group_id, s.message_id, case when o.outcome = 'SIDELINED' then 'SIDELINED' else s.status end as status, s.created_at, s.updated_at,
-      cast(case when o.outcome = 'SIDELINED' then o.http_status_code else s.http_status_code end as integer) as http_status_code,
-      case when o.outcome = 'SIDELINED' then o.reason else s.sideline_reason_code end as sideline_reason_code,
-      cast(case when o.outcome = 'SIDELINED' then o.retries else s.retries end as integer) as retries
-    from sidelined_messages s left join (select o.* from {_OUTCOME_SQL} o where o.message_id in (select message_id from sidelined_messages where status = 'UNSIDELINED')) o
+    "messages responses sidelined_groups sidelined_messages skipped_ids",
+    f"""select s.id, s.group_id, s.message_id, case when o.outcome in ('SIDELINED', 'HELD') then o.status else s.status end as status, s.created_at, s.updated_at,
+      cast(case when o.outcome in ('SIDELINED', 'HELD') then o.http_status_code else s.http_status_code end as integer) as http_status_code,
+      case when o.outcome in ('SIDELINED', 'HELD') then o.reason else s.sideline_reason_code end as sideline_reason_code,
+      cast(case when o.outcome in ('SIDELINED', 'HELD') then o.retries else s.retries end as integer) as retries, s.details
+    from sidelined_messages s left join (
+      select message_id, outcome, status, reason, http_status_code, retries from {_DRAIN_SQL} d where kind = 'UNSIDELINED'
+      union all select o.message_id, o.outcome, 'SIDELINED', o.reason, o.http_status_code, case when o.outcome = 'SIDELINED' then 5 end from {_OUTCOME_SQL} o
+        where trim(coalesce(o.group_id, '')) = '' and o.message_id in (select message_id from sidelined_messages where status = 'UNSIDELINED')) o
       on o.message_id = s.message_id where o.outcome is null or o.outcome <> 'RELAYED'""",
 )
-def unsidelined_outcome(c, messages, responses, groups, sidelined):
-    outcome = relay.relay_outcome(messages, responses, groups)
-    released = outcome.join(sidelined.filter("status = 'UNSIDELINED'").select("message_id"), "message_id", "left_semi")
-    return relay.unsidelined_left(sidelined, released)
+def unsidelined_outcome(c, messages, responses, groups, sidelined, skipped):
+    grouped = _drained(messages, responses, groups, sidelined, skipped).filter("kind = 'UNSIDELINED'").select("message_id", "outcome", "status", "reason", "http_status_code", "retries")
+    alone = messages.filter(hashing.is_ungrouped(F.col("group_id"))).join(sidelined.filter("status = 'UNSIDELINED'").select("message_id"), "message_id", "left_semi")
+    # a released row that fails again has used all its retries
+    alone = relay.relay_outcome(alone, responses, groups).select("message_id", "outcome", F.lit("SIDELINED").alias("status"), "reason", "http_status_code", F.when(F.col("outcome") == "SIDELINED", relay.MAX_RETRIES).alias("retries"))
+    return relay.unsidelined_left(sidelined, grouped.unionByName(alone))
 
 
 @query("messages responses", "select m.message_id, cast(case when coalesce(r.status_code, 500) // 100 = 2 then 200 else coalesce(r.status_code, 500) end as integer) as destination_response_status from messages m left join responses r on r.id = m.id")
@@ -466,7 +510,7 @@ def forced_status(c, messages, responses):
     return relay.forced_status(messages, responses)
 
 
-_SIDELINED = "id, group_id, message_id, status, created_at, updated_at, http_status_code, sideline_reason_code, retries"
+_SIDELINED = "id, group_id, message_id, status, created_at, updated_at, http_status_code, sideline_reason_code, retries, details"
 
 
 @query(
@@ -476,12 +520,12 @@ _SIDELINED = "id, group_id, message_id, status, created_at, updated_at, http_sta
       case when o.id is not null then @as_of else s.updated_at end as updated_at,
       cast(case when o.id is not null then o.http_status_code else s.http_status_code end as integer) as http_status_code,
       case when o.id is not null then o.reason else s.sideline_reason_code end as sideline_reason_code,
-      cast(case when o.id is not null then o.retries else s.retries end as integer) as retries
+      cast(case when o.id is not null then o.retries else s.retries end as integer) as retries, case when o.id is not null then o.details else s.details end as details
     from sidelined_messages s full join (select o.* from {_OUTCOME_SQL} o where o.outcome = 'SIDELINED') o on o.message_id = s.message_id""",
 )
 def sideline_upsert(c, messages, responses, groups, sidelined):
     outcome = relay.relay_outcome(messages, responses, groups).filter("outcome = 'SIDELINED'")
-    changes = outcome.select("message_id", "group_id", "id", F.lit("SIDELINED").alias("status"), F.col("reason").alias("sideline_reason_code"), "http_status_code", "retries")
+    changes = outcome.select("message_id", "group_id", "id", F.lit("SIDELINED").alias("status"), F.col("reason").alias("sideline_reason_code"), "http_status_code", "retries", "details")
     return state.sideline_upsert(sidelined, changes, c.as_of)
 
 
@@ -540,11 +584,11 @@ _NEW = "(select {0} from control_tasks where status = 'NEW' and task_type = '{1}
 
 @query(
     "sidelined_messages control_tasks",
-    f"""select {_SIDELINED.replace("status, created", f"case when group_id in {_NEW.format('group_id', 'UNSIDELINE_GROUP')} or message_id in {_NEW.format('message_id', 'UNSIDELINE_MESSAGE')} or (group_id is null and {_PERIOD} and exists (select 1 from control_tasks where status = 'NEW' and task_type = 'UNSIDELINE_ALL_UNGROUPED')) then 'UNSIDELINED' else status end as status, created")}
+    f"""select {_SIDELINED.replace("status, created", f"case when group_id in {_NEW.format('group_id', 'UNSIDELINE_GROUP')} or message_id in {_NEW.format('message_id', 'UNSIDELINE_MESSAGE')} or (group_id is null and exists (select 1 from control_tasks t where t.status = 'NEW' and t.task_type = 'UNSIDELINE_ALL_UNGROUPED' and sidelined_messages.updated_at between t.from_date and t.to_date)) then 'UNSIDELINED' else status end as status, created")}
     from sidelined_messages""",
 )
 def apply_control_tasks(c, sidelined, tasks):
-    return state.apply_control_tasks(sidelined, tasks.filter("status = 'NEW'"), ago(c.as_of, 864_000), ago(c.as_of, 86_400))
+    return state.apply_control_tasks(sidelined, tasks.filter("status = 'NEW'"))
 
 
 @query("control_tasks", "select id, task_type, case when task_type = 'MANAGE_PARTITION' then 'FAILED' else 'DONE' end as status from control_tasks where status = 'NEW'")
@@ -587,11 +631,11 @@ def skipped_upsert(c, skipped, metadata, messages):
     "max_processed_message_sequence messages",
     f"""select coalesce(k.process_id, n.process_id) as process_id, coalesce(n.message_id, k.message_id) as message_id, case when n.process_id is not null then @as_of else k.updated_at end as updated_at
     from max_processed_message_sequence k full join (
-      select concat('Processor_default_SP_', cast(bucket as varchar)) as process_id, arg_max(message_id, id) as message_id from {_BUCKETED_SQL} b where bucket > 2 group by bucket) n
+      select concat('Processor_default_SP_', cast(bucket as varchar)) as process_id, arg_max(message_id, id) as message_id from {_BUCKETED_SQL} b group by bucket) n
       on n.process_id = k.process_id""",
 )
 def checkpoint_upsert(c, checkpoints, messages):
-    changes = lanes.lane_checkpoints(lanes.with_bucket(messages, LANES).filter("bucket > 2"))
+    changes = lanes.lane_checkpoints(lanes.with_bucket(messages, LANES))
     return state.checkpoint_upsert(checkpoints, changes, c.as_of)
 
 
@@ -603,22 +647,21 @@ _ARCHIVABLE_SQL = f"""(select partition_no, start_id, end_id, n_rows, last_creat
       select s.*, max(case when date_diff('microsecond', last_created_at, @as_of) // 3600000000 < 240 or end_id >= (select max(id) from messages) then 1 else 0 end)
         over (order by start_id) as stopped from {_STATS_SQL} s) q
     where stopped = 0 and not coalesce((select min(m.id) from messages m join old_checkpoints k on k.message_id = m.message_id) < end_id, false)
-      and partition_no not in (select (m.id - 1) // {SIZE} from messages m join old_sidelined s on s.message_id = m.message_id))"""
-_OLD_SQL = """old_checkpoints as (select * from max_processed_message_sequence where message_id is not null),
-    old_sidelined as (select * from sidelined_messages where id % 5 = 0 and id > 2000)"""
+      and partition_no not in (select (m.id - 1) // {SIZE} from messages m join open_sidelined s on s.message_id = m.message_id))"""
+_OLD_SQL = "old_checkpoints as (select * from max_processed_message_sequence where message_id is not null)"
 
 
 def _archivable(c, messages, sidelined, checkpoints):
-    return retention.archivable_partitions(messages, sidelined.filter("id % 5 = 0 and id > 2000"), checkpoints, c.as_of, 240, SIZE)
+    return retention.archivable_partitions(messages, sidelined, checkpoints, c.as_of, 240, SIZE)
 
 
-@query("messages sidelined_messages max_processed_message_sequence", f"select a.* from (with {_OLD_SQL} select * from {_ARCHIVABLE_SQL} z) a")
+@query("messages open_sidelined max_processed_message_sequence", f"select a.* from (with {_OLD_SQL} select * from {_ARCHIVABLE_SQL} z) a")
 def archivable_partitions(c, messages, sidelined, checkpoints):
     return _archivable(c, messages, sidelined, checkpoints)
 
 
 @query(
-    "messages sidelined_messages max_processed_message_sequence message_meta_data",
+    "messages open_sidelined max_processed_message_sequence message_meta_data",
     f"""select d.* from message_meta_data d, (with {_OLD_SQL} select max(end_id) as gone from {_ARCHIVABLE_SQL} z) a
     where a.gone is null or ((d.id - 1) // {SIZE} + 1) * {SIZE} > a.gone""",
 )
@@ -626,6 +669,15 @@ def retained_rows(c, messages, sidelined, checkpoints, metadata):
     return retention.retained_rows(metadata, _archivable(c, messages, sidelined, checkpoints), SIZE, is_metadata=True)
 
 
+@query(
+    "messages open_sidelined max_processed_message_sequence skipped_ids",
+    f"""select k.id, k.status from skipped_ids k, (with {_OLD_SQL} select max(end_id) as gone from {_ARCHIVABLE_SQL} z) a
+    where a.gone is null or ((k.id - 1) // {SIZE} + 1) * {SIZE} > a.gone""",
+)
+def retained_skipped(c, messages, sidelined, checkpoints, skipped):
+    return retention.retained_rows(skipped, _archivable(c, messages, sidelined, checkpoints), SIZE).select("id", "status")
+
+
 @query(
     "messages",
     f"""select cast(k * {SIZE} + 11999 as bigint) as end_id from (select unnest(generate_series(1, n)) as k from (
