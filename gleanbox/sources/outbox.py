@@ -106,19 +106,25 @@ def write_version(table: DataFrame, base: str, version: int) -> str:
     return path
 
 
-def deliver(requests: DataFrame, send: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """(id, message_id, status_code) of requests handed to a user's sender in batches.
+def deliver(requests: DataFrame, send: Callable[[pd.DataFrame], pd.Series], slice_rows: int = 100) -> DataFrame:
+    """(id, message_id, status_code) of requests handed to a user's sender in slices.
 
-    ``send`` takes requests and returns their status codes; an exception counts as 500.
+    ``send`` takes requests and returns their status codes. If it raises on a slice, the rows
+    of the slice are handed to it one by one, so that only those it raises on count as 500;
+    delivery is at least once, and a row of such a slice may be sent twice.
     """
 
+    def codes_of(pdf: pd.DataFrame) -> list:
+        try:
+            return list(send(pdf))
+        except Exception:  # a sender's failure is a delivery failure
+            return [500] if len(pdf) == 1 else [c for k in range(len(pdf)) for c in codes_of(pdf.iloc[k : k + 1])]
+
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            try:
-                codes = list(send(pdf))
-            except Exception:  # a sender's failure is a delivery failure
-                codes = [500] * len(pdf)
-            yield pd.DataFrame({"id": pdf["id"], "message_id": pdf["message_id"], "status_code": pd.array(codes, dtype="Int32")})
+            for k in range(0, len(pdf), slice_rows):
+                part = pdf.iloc[k : k + slice_rows]
+                yield pd.DataFrame({"id": part["id"], "message_id": part["message_id"], "status_code": pd.array(codes_of(part), dtype="Int32")})
 
     return requests.mapInPandas(batches, "id bigint, message_id string, status_code int")
 

@@ -7,6 +7,7 @@ checkpointLocation for the resume offset: delivery is at least once.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,19 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gleanbox.functions.hashing import is_ungrouped
-from gleanbox.operators import drain, gaps, lanes
+from gleanbox.operators import assemble, drain, gaps, lanes, relay, state
 
-#: Rows older than the watermark by this much are never picked up.
+#: How long a missing id is waited for, and how long metrics wait for late rows.
 LATE = "30 minutes"
+#: Columns of the tables that a relay keeps between micro-batches.
+STATE = {
+    "held": "id long, message_id string, message string, group_id string, created_at timestamp",
+    "sidelined": "id long, group_id string, message_id string, status string, created_at timestamp, updated_at timestamp, http_status_code int, sideline_reason_code string, retries int, details string",
+    "groups": "group_id string",
+    "skipped": "id long, message_seq_id long, status string, retry_count int, created_at timestamp, updated_at timestamp",
+    "checkpoints": "process_id string, message_id string, updated_at timestamp",
+    "position": "id long, created_at timestamp",
+}
 
 
 def read_outbox(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1) -> DataFrame:
@@ -28,11 +38,17 @@ def read_outbox(spark: SparkSession, path: str, schema: StructType | str, files_
 
 
 class GroupState(StatefulProcessor):
-    """A group's (status, last sidelined id), kept while the group is not open."""
+    """A group's (status, last sidelined id), kept while the group is not open, for ``TTL_MS`` at most.
+
+    A group's rows of a micro-batch are handled in order of kind and id, so they are held
+    together: a micro-batch bounds them (maxFilesPerTrigger).
+    """
+
+    TTL_MS = 30 * 24 * 3600 * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         kept = StructType([StructField("status", StringType()), StructField("last_id", LongType())])
-        self.state = handle.getValueState("group", kept)
+        self.state = handle.getValueState("group", kept, ttlDurationMs=self.TTL_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pieces = [drain.as_rows(pdf) for pdf in rows]
@@ -64,7 +80,7 @@ def group_outcomes(work: DataFrame, groups: DataFrame | None = None) -> DataFram
     """
     grouped = work.filter(~is_ungrouped(F.col("group_id"))).groupBy("group_id")
     start = groups.groupBy("group_id") if groups is not None else None
-    return grouped.transformWithStateInPandas(GroupState(), outputStructType=_schema(work.sparkSession, drain.RESULT), outputMode="append", timeMode="none", initialState=start)
+    return grouped.transformWithStateInPandas(GroupState(), outputStructType=_schema(work.sparkSession, drain.RESULT), outputMode="append", timeMode="processingTime", initialState=start)
 
 
 def _schema(spark: SparkSession, text: str) -> StructType:
@@ -77,11 +93,80 @@ def relay_batches(messages: DataFrame, handle: Callable[[DataFrame, int], None],
 
 
 def ripe(batch: DataFrame, now: Column, seconds: int) -> tuple[DataFrame, DataFrame]:
-    """(rows old enough to be read, rows to hold back) of a micro-batch at time ``now``."""
-    old = F.col("created_at") < now - F.make_interval(secs=F.lit(float(seconds)))
+    """(rows old enough to be read, rows to hold back) of a micro-batch at time ``now``.
+
+    A row without a time is read at once.
+    """
+    old = F.coalesce(F.col("created_at") < now - F.make_interval(secs=F.lit(float(seconds))), F.lit(True))
     return batch.filter(old), batch.filter(~old)
 
 
+@dataclass(frozen=True)
+class Relay:
+    """A continuous relay: ``handle`` is the function of a foreachBatch.
+
+    A micro-batch reads the tables that the one before left under ``base``, and writes its own
+    version of each and its outcomes, so a batch that runs again after a stop gives the same
+    paths anew. ``send`` takes messages and returns their responses (id, status_code, and error
+    and body if any); it is called once in a batch. Rows younger than ``delay_seconds`` are held
+    and read again with the next batch. Missing ids are waited for ``late_minutes`` before the
+    last message's time; what turns up later is given up, and told in ``expired``.
+    """
+
+    base: str
+    send: Callable[[DataFrame], DataFrame]
+    lanes: int = 53
+    delay_seconds: int = 0
+    late_minutes: int = 30
+    now: Column | None = None
+
+    def path(self, table: str, batch: int) -> str:
+        return f"{self.base}/{table}/v={batch}"
+
+    def before(self, spark: SparkSession, table: str, batch: int) -> DataFrame:
+        """A table as the batch before left it."""
+        if not batch:
+            return spark.createDataFrame([], STATE[table])
+        return spark.read.schema(STATE[table]).parquet(self.path(table, batch - 1))
+
+    def keep(self, table: str, batch: int, rows: DataFrame) -> DataFrame:
+        rows.write.mode("overwrite").parquet(self.path(table, batch))
+        return rows.sparkSession.read.schema(rows.schema).parquet(self.path(table, batch))
+
+    def handle(self, rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        old = {table: self.before(spark, table, batch) for table in STATE}
+        columns = old["held"].columns
+        now = F.current_timestamp() if self.now is None else self.now
+        ready, young = ripe(rows.select(*columns).unionByName(old["held"]), now, self.delay_seconds)
+        self.keep("held", batch, young)
+        ready = self.keep("ready", batch, ready)
+        at = old["position"].first()  # one row
+        last_id, last_time = (at["id"], at["created_at"]) if at else (None, None)
+        new = ready if last_id is None else ready.filter(F.col("id") > last_id)
+        waited = old["skipped"].filter("status = 'NEW'")
+        in_time = waited if last_time is None else assemble.eligible_skipped(waited, F.lit(last_time), self.late_minutes)
+        late = ready.limit(0) if last_id is None else ready.filter(F.col("id") <= last_id).join(in_time.select("id"), "id", "left_semi")
+        gone = waited.join(in_time.select("id"), "id", "left_anti")
+        self.keep("expired", batch, gone.select("id", "created_at"))
+        work = new.unionByName(late)
+        open_ = work.join(old["groups"], "group_id", "left_anti")
+        answers = self.keep("responses", batch, self.send(open_))
+        outcome = self.keep("outcome", batch, relay.relay_outcome(work, answers, old["groups"]))
+        changes = outcome.filter("outcome = 'SIDELINED'").withColumns({"status": F.lit("SIDELINED"), "sideline_reason_code": F.col("reason")})
+        self.keep("sidelined", batch, state.sideline_upsert(old["sidelined"], changes, now))
+        self.keep("groups", batch, state.sidelined_groups_after(old["groups"], changes.filter(~is_ungrouped(F.col("group_id")))))
+        ends = new.agg(F.max(F.struct("id", "created_at")).alias("x")).first()["x"]  # one row
+        missing = gaps.skipped_ids(batch_gaps(new, last_id))
+        skipped = state.skipped_upsert(old["skipped"], missing, F.lit(ends["created_at"] if ends else last_time).cast("timestamp"))
+        self.keep("skipped", batch, relay.skipped_left(skipped.join(gone.select("id"), "id", "left_anti"), outcome))
+        done = new.join(outcome.filter("outcome <> 'IGNORED'").select("id"), "id", "left_semi")
+        moved = lanes.lane_checkpoints(lanes.with_bucket(done, self.lanes))
+        self.keep("checkpoints", batch, state.checkpoint_upsert(old["checkpoints"], moved, now))
+        position = (ends["id"], ends["created_at"]) if ends else (last_id, last_time)
+        self.keep("position", batch, spark.createDataFrame([position] if position[0] is not None else [], STATE["position"]))
+
+
 def changed_checkpoints(batch: DataFrame, old: DataFrame, lanes_n: int, relay: str = "default") -> DataFrame:
     """Checkpoints of the lanes that moved in a micro-batch."""
     return lanes.lane_checkpoints(lanes.with_bucket(batch, lanes_n), relay, old)
@@ -92,12 +177,6 @@ def batch_gaps(batch: DataFrame, last_id: int | None) -> DataFrame:
     return gaps.sequence_gaps(batch.select("id"), None if last_id is None else last_id + 1)
 
 
-def recoverable(missing: DataFrame, rows: DataFrame, late: str = LATE) -> DataFrame:
-    """Skipped ids (id, created_at) that turn up in ``rows`` in time; later ones are given up."""
-    seen = rows.withWatermark("created_at", late).select("id", "message_id", F.col("created_at").alias("arrived_at"))
-    return seen.join(missing.select("id"), "id")
-
-
 def metrics(rows: DataFrame, width: str = "4 seconds", late: str = LATE) -> DataFrame:
     """Counts, failures and lag per tumbling window of a delivery stream (created_at, code, lag_ms)."""
     windowed = rows.withWatermark("created_at", late).groupBy(F.window("created_at", width))

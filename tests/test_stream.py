@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from gleanbox.operators import drain
+from gleanbox.operators import drain, relay
 from gleanbox.streaming import relay_stream
 
 WORK = "group_id string, id long, message_id string, kind string, kind_rank int, code int, failed boolean, ignored boolean"
@@ -17,7 +17,7 @@ def work_rows(n):
 def test_stream_equals_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows, state = work_rows(60), [("g1", "UNSIDELINED", 21), ("g2", "SIDELINED", 12)]
-    groups = spark.createDataFrame(state, drain.STATE) if hasattr(drain, "STATE") else spark.createDataFrame(state, "group_id string, status string, last_id long")
+    groups = spark.createDataFrame(state, "group_id string, status string, last_id long")
     path = str(tmp_path / "in")
     for part in (rows[:30], rows[30:]):
         spark.createDataFrame(part, WORK).coalesce(1).write.mode("append").parquet(path)
@@ -49,4 +49,53 @@ def test_batches_metrics_and_gaps(spark, tmp_path):
     assert seen[1] == (8, 10)
     q = relay_stream.metrics(source).writeStream.format("memory").queryName("figures").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
+    # windows that the watermark has not passed are not told yet
     assert spark.sql("select * from figures").columns == ["window_start", "n_sent", "n_failed", "max_lag_ms"]
+    hour = dt.timedelta(hours=1)
+    spark.createDataFrame([(100, "m100", None, start + hour, 200, 1)], schema).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([(101, "m101", None, start + 2 * hour, 200, 1)], schema).coalesce(1).write.mode("append").parquet(path)
+    relay_stream.metrics(source).writeStream.format("memory").queryName("figures2").outputMode("append").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {r["window_start"]: (r["n_sent"], r["n_failed"], r["max_lag_ms"]) for r in spark.sql("select * from figures2").collect()}
+    own = [r for r in rows if 4 <= r[0] < 8]
+    assert got[start + dt.timedelta(seconds=4)] == (len(own), sum(r[4] != 200 for r in own), max(r[5] for r in own))
+
+
+def test_continuous_relay(spark, tmp_path):
+    """Late, held and missing rows over four batches with a stop between, against the batch job."""
+    t0, schema = dt.datetime(2024, 1, 1, 12), "id long, message_id string, message string, group_id string, created_at timestamp"
+    row = lambda i, group=None, minutes=None: (i, f"m{i}", f"{{{i}}}", group, t0 + dt.timedelta(minutes=i if minutes is None else minutes))
+    files = [
+        [row(1), row(2, "g"), row(4, "h"), row(6, "g"), row(7)],  # 3 and 5 are missing
+        [row(3, "h"), row(8, "g"), row(90, None, 90)],  # 3 turns up in time; 9 to 89 are missing
+        [row(5), row(91, "g", 91), row(92, "h", 92)],  # 5 is too late by now
+        [row(50, None, 93), row(93, None, 200)],  # 50 is in time; 93 is too young
+    ]
+    source, base = str(tmp_path / "in"), str(tmp_path / "state")
+    failing = {6: 503, 92: 404}
+
+    def send(messages):
+        return messages.select("id", F.create_map(*[F.lit(x) for kv in failing.items() for x in kv])[F.col("id").cast("int")].alias("c")).select("id", F.coalesce("c", F.lit(200)).alias("status_code"))
+
+    def start(now):
+        job = relay_stream.Relay(base, send, lanes=3, delay_seconds=60, late_minutes=30, now=F.lit(t0 + dt.timedelta(minutes=now)))
+        stream = relay_stream.read_outbox(spark, source, schema)
+        relay_stream.relay_batches(stream, job.handle, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+        return job
+
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        job = start(190) if k in (1, 3) else None  # stopped and started again; two batches a run
+    read = lambda table, n: spark.read.parquet(job.path(table, n))
+    outcome = {r["id"]: (r["outcome"], r["reason"], r["http_status_code"]) for n in range(4) for r in read("outcome", n).collect()}
+    every = spark.createDataFrame([r for rows in files for r in rows if r[0] not in (5, 93)], schema)
+    want = relay.relay_outcome(every, send(every), spark.createDataFrame([], "group_id string")).collect()
+    assert outcome == {r["id"]: (r["outcome"], r["reason"], r["http_status_code"]) for r in want}
+    assert {r["id"] for n in range(4) for r in read("expired", n).collect()} == {5}
+    assert [r["id"] for r in read("held", 3).collect()] == [93]
+    assert {r["id"] for r in read("skipped", 3).collect()} == set(range(9, 90)) - {50}
+    assert {r["group_id"] for r in read("groups", 3).collect()} == {"g", "h"}
+    assert {r["id"]: r["sideline_reason_code"] for r in read("sidelined", 3).collect()} == {6: "HTTP_ERROR", 8: "GROUP_SIDELINED", 91: "GROUP_SIDELINED", 92: "HTTP_ERROR"}
+    assert read("position", 3).first()["id"] == 92
+    # a batch that runs again writes the same
+    job.handle(spark.createDataFrame(files[3], schema), 3)
+    assert [r["id"] for r in read("held", 3).collect()] == [93] and {r["id"] for r in read("outcome", 3).collect()} == {50}
