@@ -7,11 +7,8 @@ forgotten. A group without state is open. Every real sideline makes its message
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanbox.functions.hashing import is_ungrouped
@@ -20,8 +17,6 @@ from gleanbox.operators.relay import MAX_RETRIES, answers, is_failure, is_ignore
 RESULT = "group_id string, id bigint, message_id string, kind string, outcome string, reason string, http_status_code int, retries int, status string"
 #: The code of an error of the relay itself, which no response has.
 RELAYER = -1
-END = ", end_status string, end_last bigint, is_end boolean"
-COLUMNS = [c.split()[0] for c in (RESULT + END).split(", ")]
 
 ROW = ["kind_rank", "id", "message_id", "kind", "code", "failed", "ignored"]
 Row = tuple[int, int, str, str, int, bool, bool]
@@ -56,12 +51,6 @@ def as_rows(pdf: pd.DataFrame) -> list[Row]:
     return list(pdf[ROW].itertuples(index=False, name=None))
 
 
-def as_frame(rows: list[tuple]) -> pd.DataFrame:
-    """Result rows (group first) followed by a group's end state, if it is one."""
-    out = pd.DataFrame(rows, columns=COLUMNS, dtype=object)
-    return out.astype({c: "Int64" for c in ("id", "http_status_code", "retries", "end_last")} | {"is_end": bool})
-
-
 def with_responses(work: DataFrame, responses: DataFrame, ignore_4xx: bool = False, ignore_non_4xx: bool = False) -> DataFrame:
     """work (group_id, id, message_id, kind, kind_rank) with code, failed and ignored."""
     sent = work.join(answers(responses), "id", "left")
@@ -73,41 +62,61 @@ def with_responses(work: DataFrame, responses: DataFrame, ignore_4xx: bool = Fal
 def group_drain(work: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outcomes, new state) of grouped work, given each group's state (group_id, status, last_id).
 
-    Only groups with state or with a failure depend on order; the others are relayed with
-    built-in functions. A group's rows come to one task in sorted pieces, and its state is
-    carried from piece to piece, so its size is not bounded by memory.
+    Within a kind ids ascend (an id stands in it once), so a group's rows of a kind are sent
+    up to one id, ``stop``, and held beyond it. Stop follows from four figures: the kind's
+    first real failure, its largest id, the state that the kind before left, and whether that
+    state's last id is among the ids sent. All are aggregates that combine before the
+    shuffle; only the few kinds of a group are handled one after the other, so a group of
+    very many messages is not brought into one task. ``drain_group`` is the same rule row by row.
     """
     grouped = work.filter(~is_ungrouped(F.col("group_id")))
+    # groups without state and failures are open throughout
     marked = grouped.filter("failed and not ignored").select("group_id").unionByName(state.select("group_id")).distinct()
-    simple = grouped.join(marked, "group_id", "left_anti")
-    easy = simple.select("group_id", "id", "message_id", "kind", F.when(F.col("ignored"), "IGNORED").otherwise("RELAYED").alias("outcome"), *[F.lit(None).cast(t).alias(c) for c, t in (("reason", "string"), ("http_status_code", "int"), ("retries", "int"), ("status", "string"))])
-    start = state.select("group_id", F.col("status").alias("_status"), "last_id")
-    hard = grouped.join(marked, "group_id", "left_semi").join(start, "group_id", "left")
-    hard = hard.repartition("group_id").sortWithinPartitions("group_id", "kind_rank", "id")
-
-    def drain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, status, last = None, None, None
-        end = lambda: (current, *[None] * 8, status, last, True)
-        columns = ["group_id", "_status", "last_id", *ROW]
-        for pdf in batches:
-            out: list[tuple] = []
-            for group, rows in groupby(pdf[columns].itertuples(index=False, name=None), key=lambda r: r[0]):
-                rows = list(rows)
-                if group != current:
-                    if current is not None:
-                        out.append(end())
-                    current = group
-                    status = rows[0][1] if isinstance(rows[0][1], str) else None
-                    last = None if pd.isna(rows[0][2]) else int(rows[0][2])
-                status, last, done = drain_group(status, last, [r[3:] for r in rows])
-                out += [(group, *x, None, None, False) for x in done]
-            yield as_frame(out)
-        if current is not None:
-            yield as_frame([end()])
-
-    drained = hard.mapInPandas(drain, RESULT + END)
-    names = [c.split()[0] for c in RESULT.split(", ")]
-    outcomes = drained.filter("not is_end").select(*names).unionByName(easy)
-    ends = drained.filter("is_end").select("group_id", F.col("end_status").alias("status"), F.col("end_last").alias("last_id"))
-    untouched = state.join(ends.select("group_id"), "group_id", "left_anti").select("group_id", "status", "last_id")
-    return outcomes, ends.filter("status is not null").unionByName(untouched)
+    hard = grouped.select("group_id", "kind_rank", "id", "failed", "ignored").join(marked, "group_id", "left_semi")
+    kinds = hard.groupBy("group_id", "kind_rank").agg(F.min(F.when(F.col("failed") & ~F.col("ignored"), F.col("id"))).alias("fail_id"), F.max("id").alias("top_id"))
+    # a last id is the state's or an earlier kind's largest: few candidates for each group
+    lasts = kinds.select("group_id", F.col("top_id").alias("id")).unionByName(state.select("group_id", F.col("last_id").alias("id"))).distinct()
+    sent = hard.filter("not failed").join(lasts, ["group_id", "id"], "left_semi").groupBy("group_id", "kind_rank").agg(F.collect_set("id").alias("sent"))
+    kinds = kinds.join(sent, ["group_id", "kind_rank"], "left")
+    steps = kinds.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("kind_rank", "fail_id", "top_id", "sent"))).alias("steps"))
+    begun = state.select("group_id", F.col("status").alias("_status"), F.col("last_id").alias("_last"))
+    ends = steps.join(begun, "group_id", "left").withColumn("end", F.aggregate("steps", _begin(F.col("_status"), F.col("_last")), _after))
+    stops = ends.select("group_id", F.explode("end.stops").alias("x")).select("group_id", "x.kind_rank", "x.stop", "x.held_as")
+    rows = grouped.join(stops, ["group_id", "kind_rank"], "left")
+    held = F.coalesce(F.col("id") > F.col("stop"), F.lit(False))
+    ignored = ~held & F.col("failed") & F.col("ignored")
+    real = ~held & F.col("failed") & ~F.col("ignored")
+    own = F.col("code") == RELAYER
+    retries = F.when(~own | (F.col("kind") == "UNSIDELINED"), F.lit(MAX_RETRIES)).otherwise(F.lit(0))
+    outcomes = rows.select(
+        "group_id",
+        "id",
+        "message_id",
+        "kind",
+        F.when(held, "HELD").when(ignored, "IGNORED").when(real, "SIDELINED").otherwise("RELAYED").alias("outcome"),
+        F.when(held & (F.col("held_as") == "SIDELINED"), "GROUP_SIDELINED").when(held, "GROUP_SEQ_MAINTENANCE").when(real & own, "RELAYER_ERROR").when(real, "HTTP_ERROR").alias("reason"),
+        F.when(held, F.lit(0)).when(real & own, F.lit(0)).when(real, F.col("code")).cast("int").alias("http_status_code"),
+        F.when(held, F.lit(0)).when(real, retries).cast("int").alias("retries"),
+        F.when(held, F.col("held_as")).when(real, "SIDELINED").alias("status"),
+    )
+    after = ends.select("group_id", F.col("end.status").alias("status"), F.col("end.last_id").alias("last_id")).filter("status is not null")
+    untouched = state.join(steps.select("group_id"), "group_id", "left_anti").select("group_id", "status", "last_id")
+    return outcomes, after.unionByName(untouched)
+
+
+def _begin(status: Column, last_id: Column, stops: Column | None = None) -> Column:
+    """A group's state and the stops of its kinds so far (kind_rank, stop, held_as)."""
+    none = F.array().cast("array<struct<kind_rank:int,stop:bigint,held_as:string>>")
+    return F.struct(status.cast("string").alias("status"), last_id.cast("bigint").alias("last_id"), (none if stops is None else stops).alias("stops"))
+
+
+def _after(before: Column, kind: Column) -> Column:
+    """The state after a kind: one that opens the group, or never closed it, stops at the first failure."""
+    last = F.coalesce(before["last_id"], F.lit(-1).cast("bigint"))
+    opened = before["status"].isNull() | F.coalesce(kind["fail_id"] <= last, F.lit(False)) | F.coalesce(F.array_contains(kind["sent"], last), F.lit(False))
+    stop = F.when(opened, kind["fail_id"]).otherwise(last).cast("bigint")
+    held_as = F.when(opened | (before["status"] == "SIDELINED"), "SIDELINED").otherwise("UNSIDELINED")
+    status = F.when(~opened, before["status"]).when(kind["fail_id"].isNotNull(), "SIDELINED")
+    last_id = F.when(~opened, F.greatest(before["last_id"], kind["top_id"])).when(kind["fail_id"].isNotNull(), kind["top_id"])
+    here = F.struct(kind["kind_rank"].cast("int").alias("kind_rank"), stop.alias("stop"), held_as.alias("held_as"))
+    return _begin(status, last_id, F.concat(before["stops"], F.array(here)))

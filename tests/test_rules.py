@@ -102,6 +102,38 @@ def test_drain_equals_a_plain_loop(rows, start):
     assert ((status, last) if status is not None else None) == end
 
 
+def test_drained_groups_equal_the_rule_row_by_row(spark):
+    import random
+
+    rng = random.Random(5)
+    starts = [None, ("SIDELINED", 6), ("UNSIDELINED", 6), ("UNSIDELINED", -1), ("SIDELINED", 12), ("UNSIDELINED", None)]
+    work, state_, expected, ends = [], [], set(), {}
+    for n in range(300):
+        group, start = f"g{n}", starts[n % len(starts)]
+        picked = rng.sample(range(1, 13), rng.choice([0, 1, 3, 6, 12]))
+        rows = []
+        for i in picked:
+            code = rng.choice([200, 200, 200, 404, drain.RELAYER])
+            failed = code != 200
+            rows.append((rng.choice([1, 2, 3]), i, f"m{i}", None, code, failed, failed and code == 404 and rng.random() < 0.5))
+        rows = [(k, i, m, ["UNSIDELINED", "SKIPPED", "NEW"][k - 1], c, f, g) for k, i, m, _, c, f, g in rows]
+        if start:
+            state_.append((group, *start))
+        status, last, out = drain.drain_group(*(start or (None, None)), rows)
+        expected |= {(group, *x) for x in out}
+        if status is not None:
+            ends[group] = (status, last)
+        work += [(group, *r) for r in rows]
+    work += [(None, 3, 1, "x", "NEW", 500, True, False), (" ", 3, 2, "y", "NEW", 200, False, False)]
+    df = spark.createDataFrame(work, "group_id string, kind_rank int, id long, message_id string, kind string, code int, failed boolean, ignored boolean")
+    got, after = drain.group_drain(df, spark.createDataFrame(state_, "group_id string, status string, last_id long"))
+    rows = got.collect()
+    assert len(rows) == len(expected) and {tuple(r) for r in rows} == expected
+    assert {r["group_id"]: (r["status"], r["last_id"]) for r in after.collect()} == ends
+    empty = drain.group_drain(df.limit(0), after.limit(0))
+    assert [x.count() for x in empty] == [0, 0]
+
+
 def test_relay_outcome_of_groups(spark):
     rows = [(1, "a", "g", 200), (2, "b", "g", 404), (3, "c", "g", 200), (4, "d", None, 500), (5, "e", " ", 200), (6, "f", "h", 200), (7, "x", "k", None)]
     messages = spark.createDataFrame([(i, m, g) for i, m, g, _ in rows], "id long, message_id string, group_id string")
