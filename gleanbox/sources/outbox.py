@@ -129,7 +129,11 @@ def deliver(requests: DataFrame, send: Callable[[pd.DataFrame], pd.Series], slic
     return requests.mapInPandas(batches, "id bigint, message_id string, status_code int")
 
 
+def keyed_requests(requests: DataFrame) -> DataFrame:
+    """(key, value) for a broker: rows of a sequencing key have one key, so they stay in one partition."""
+    return requests.select(F.col("sequencing_key").cast("string").alias("key"), F.col("message").cast("string").alias("value"))
+
+
 def to_kafka(requests: DataFrame, servers: str, topic: str) -> None:
-    """Write requests to a broker, keyed so that a sequencing key stays in one partition."""
-    rows = requests.select(F.col("sequencing_key").alias("key"), F.col("message").alias("value"))
-    rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+    """Write requests to a broker."""
+    keyed_requests(requests).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()

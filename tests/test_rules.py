@@ -253,3 +253,21 @@ def test_deliver(spark):
         raise OSError("no route")
 
     assert {r["status_code"] for r in outbox.deliver(rows, fails).collect()} == {500}
+
+
+def test_read_jdbc_by_id_ranges(spark, tmp_path):
+    # Spark brings this database; it lives in the memory of the local JVM
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url, driver = "jdbc:derby:memory:outbox;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.range(1, 101).select("id", F.concat(F.lit("m"), "id").alias("message_id"), F.when(F.col("id") % 7 == 0, None).otherwise("{}").alias("message"))
+    rows.write.format("jdbc").options(url=url, dbtable="outbox", driver=driver).save()
+    found = outbox.read_jdbc(spark, url, "outbox", 1, 80, 4, driver=driver)
+    # ids beyond the bounds are read too; the bounds only part the ranges
+    assert found.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect()))
+    assert found.filter("id between 5 and 7").count() == 3
+
+
+def test_requests_are_keyed_by_their_sequence(spark):
+    rows = spark.createDataFrame([(1, "g", "a"), (2, "g", None), (3, "x", "")], "id long, sequencing_key string, message string")
+    assert [tuple(r) for r in outbox.keyed_requests(rows).collect()] == [("g", "a"), ("g", None), ("x", "")]
