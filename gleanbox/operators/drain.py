@@ -70,17 +70,16 @@ def group_drain(work: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame
     very many messages is not brought into one task. ``drain_group`` is the same rule row by row.
     """
     grouped = work.filter(~is_ungrouped(F.col("group_id")))
+    slim = grouped.select("group_id", "kind_rank", "id", "failed", "ignored")
+    kinds = slim.groupBy("group_id", "kind_rank").agg(F.min(F.when(F.col("failed") & ~F.col("ignored"), F.col("id"))).alias("fail_id"), F.max("id").alias("top_id"))
+    begun = state.select("group_id", F.col("status").alias("_status"), F.col("last_id").cast("bigint").alias("_last"))
+    groups = kinds.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("kind_rank", "fail_id", "top_id"))).alias("steps")).join(begun, "group_id", "left")
     # groups without state and failures are open throughout
-    marked = grouped.filter("failed and not ignored").select("group_id").unionByName(state.select("group_id")).distinct()
-    hard = grouped.select("group_id", "kind_rank", "id", "failed", "ignored").join(marked, "group_id", "left_semi")
-    kinds = hard.groupBy("group_id", "kind_rank").agg(F.min(F.when(F.col("failed") & ~F.col("ignored"), F.col("id"))).alias("fail_id"), F.max("id").alias("top_id"))
+    groups = groups.filter(F.col("_status").isNotNull() | F.exists("steps", lambda kind: kind["fail_id"].isNotNull()))
     # a last id is the state's or an earlier kind's largest: few candidates for each group
-    lasts = kinds.select("group_id", F.col("top_id").alias("id")).unionByName(state.select("group_id", F.col("last_id").alias("id"))).distinct()
-    sent = hard.filter("not failed").join(lasts, ["group_id", "id"], "left_semi").groupBy("group_id", "kind_rank").agg(F.collect_set("id").alias("sent"))
-    kinds = kinds.join(sent, ["group_id", "kind_rank"], "left")
-    steps = kinds.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("kind_rank", "fail_id", "top_id", "sent"))).alias("steps"))
-    begun = state.select("group_id", F.col("status").alias("_status"), F.col("last_id").alias("_last"))
-    ends = steps.join(begun, "group_id", "left").withColumn("end", F.aggregate("steps", _begin(F.col("_status"), F.col("_last")), _after))
+    lasts = groups.select("group_id", F.explode(F.array_compact(F.concat(F.transform("steps", lambda kind: kind["top_id"]), F.array("_last")))).alias("id")).distinct()
+    sent = slim.filter("not failed").join(lasts, ["group_id", "id"], "left_semi").groupBy("group_id").agg(F.collect_set(F.struct("kind_rank", "id")).alias("sent"))
+    ends = groups.join(sent, "group_id", "left").withColumn("end", F.aggregate("steps", _begin(F.col("_status"), F.col("_last")), lambda before, kind: _after(before, kind, F.col("sent"))))
     stops = ends.select("group_id", F.explode("end.stops").alias("x")).select("group_id", "x.kind_rank", "x.stop", "x.held_as")
     rows = grouped.join(stops, ["group_id", "kind_rank"], "left")
     held = F.coalesce(F.col("id") > F.col("stop"), F.lit(False))
@@ -100,7 +99,7 @@ def group_drain(work: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame
         F.when(held, F.col("held_as")).when(real, "SIDELINED").alias("status"),
     )
     after = ends.select("group_id", F.col("end.status").alias("status"), F.col("end.last_id").alias("last_id")).filter("status is not null")
-    untouched = state.join(steps.select("group_id"), "group_id", "left_anti").select("group_id", "status", "last_id")
+    untouched = state.join(ends.select("group_id"), "group_id", "left_anti").select("group_id", "status", "last_id")
     return outcomes, after.unionByName(untouched)
 
 
@@ -110,10 +109,10 @@ def _begin(status: Column, last_id: Column, stops: Column | None = None) -> Colu
     return F.struct(status.cast("string").alias("status"), last_id.cast("bigint").alias("last_id"), (none if stops is None else stops).alias("stops"))
 
 
-def _after(before: Column, kind: Column) -> Column:
+def _after(before: Column, kind: Column, sent: Column) -> Column:
     """The state after a kind: one that opens the group, or never closed it, stops at the first failure."""
     last = F.coalesce(before["last_id"], F.lit(-1).cast("bigint"))
-    opened = before["status"].isNull() | F.coalesce(kind["fail_id"] <= last, F.lit(False)) | F.coalesce(F.array_contains(kind["sent"], last), F.lit(False))
+    opened = before["status"].isNull() | F.coalesce(kind["fail_id"] <= last, F.lit(False)) | F.coalesce(F.exists(sent, lambda x: (x["kind_rank"] == kind["kind_rank"]) & (x["id"] == last)), F.lit(False))
     stop = F.when(opened, kind["fail_id"]).otherwise(last).cast("bigint")
     held_as = F.when(opened | (before["status"] == "SIDELINED"), "SIDELINED").otherwise("UNSIDELINED")
     status = F.when(~opened, before["status"]).when(kind["fail_id"].isNotNull(), "SIDELINED")
