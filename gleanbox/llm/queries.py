@@ -78,7 +78,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (*QUERIES, pipeline)}
 
@@ -104,5 +103,90 @@ from sets s join (select doc_id, min(other) as component_id from reached group b
 """
 
 
+#: op4 in SQL: distinct texts in place of hashes, and all pairs of texts in place of buckets for copies.
+_OP4 = r"""
+with texts as (select t, row_number() over () as k from (select distinct text as t from documents where text is not null)),
+split as (select k, unnest(string_split(t, chr(10))) as raw, generate_subscripts(string_split(t, chr(10)), 1) - 1 as pos from texts),
+plain as (select k, pos, raw, trim(regexp_replace(raw, '[ \t-\r]+', ' ', 'g'), ' ') as p from split),
+masked as (select k, pos, length(raw) as chars, regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') as line from plain),
+lines as (select *, string_split(line, ' ') as tokens from masked),
+holders as (select distinct k, line, tokens, len(tokens) as n, case when len(tokens) >= 40 then 3 else 10 end as need from lines where len(tokens) >= 3),
+wordings as (select line, tokens, n, need, count(*) as n_texts from holders group by all),
+tokens as (
+  select line, n, need, tokens[1:3] as leaf, n_texts, unnest(tokens) as token, generate_subscripts(tokens, 1) - 1 as pos from wordings),
+constants as (select n, leaf, pos, token, sum(n_texts) as c from tokens group by all),
+words as (
+  select t.line, t.n, t.need, t.pos, t.token, case when t.pos < 3 or c.c >= t.need then t.token else '<*>' end as word
+  from tokens t join constants c on c.n = t.n and c.leaf = t.leaf and c.pos = t.pos and c.token = t.token),
+templates as (
+  select line, n, need, string_agg(word, ' ' order by pos) as template from words group by line, n, need
+  having 5 * count(*) filter (word = '<*>' and token <> '<*>') <= n and 2 * count(*) filter (word = '<*>') <= n),
+recurring as (
+  select template from templates join holders using (line) group by template, templates.need having count(distinct k) >= templates.need),
+hits as (select l.k, l.pos, t.template, l.chars from lines l join templates t on t.line = l.line join recurring r on r.template = t.template),
+shares as (select k, template, sum(chars) as chars from hits group by k, template),
+sizes as (select k, sum(chars) as every from lines group by k),
+flagged as (
+  select s.k, s.template, s.chars, z.every from shares s join sizes z on z.k = s.k
+  where (select sum(o.chars) from shares o where o.k = s.k) >= 0.8::double * z.every),
+copies as (
+  select a.k from flagged a join flagged b on a.template = b.template and a.k <> b.k
+  group by a.k, b.k, a.every, b.every having sum(least(a.chars, b.chars)) >= 0.8::double * greatest(a.every, b.every)),
+drops as (select k, list(pos) as places from hits where k not in (select k from copies) group by k),
+kept as (
+  select d.doc_id, d.text, d.lang, d.source, d.n_chars, x.places,
+    list_filter(string_split(d.text, chr(10)), lambda line, i: not list_contains(x.places, i - 1)) as stay
+  from documents d left join texts t on t.t = d.text left join drops x on x.k = t.k)
+select doc_id, lang, source,
+  case when places is null then text else array_to_string(stay, chr(10)) end as text,
+  case when places is null then n_chars else cast(length(array_to_string(stay, chr(10))) as bigint) end as n_chars,
+  cast(case when length(text) > 0 then len(string_split(text, chr(10))) else 0 end as bigint) as n_lines,
+  cast(coalesce(len(places), 0) as bigint) as n_dropped
+from kept
+"""
+
+#: op10 in SQL: every quotient of every source and shard is ranked, not only those that decide.
+_OP10 = r"""
+with sized as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) as bigint) as size,
+    cast('0x' || substr(md5(concat_ws('|', '20240', cast(doc_id as varchar), coalesce(text, ''))), 1, 15) as bigint) as h
+  from documents),
+weighed as (
+  select source, count(*) as n_docs, cast(sum(size) as bigint) as source_size, 3 * cast(sum(size) as double) as most,
+    cast(1 + (row_number() over (order by source nulls last) - 1) % 3 as double) as weight
+  from sized group by source),
+levels as (
+  select a.most / a.weight as ratio,
+    ((select sum(source_size) from weighed) - coalesce(sum(b.most) filter (b.most / b.weight < a.most / a.weight), 0))
+      / sum(b.weight) filter (b.most / b.weight >= a.most / a.weight) as level
+  from weighed a cross join weighed b group by a.source, a.most, a.weight),
+level as (select coalesce(min_by(level, ratio) filter (level <= ratio), max(ratio)) as level from levels),
+sources as (select source, n_docs, source_size, least(most, level * weight) as target from weighed cross join level),
+total as (select cast(round(sum(target) / 16) as bigint) as blocks from sources),
+source_asks as (
+  select source, row_number() over (order by target / (2 * k + 1) desc, source nulls last, k) as place
+  from (select source, target, unnest(range(blocks)) as k from sources cross join total where target > 0)),
+source_blocks as (select source, count(*) as blocks from source_asks where place <= (select blocks from total) group by source),
+dealt as (
+  select d.*, s.source_size, s.target, coalesce(b.blocks, 0) as blocks, d.h % cast(ceil(s.n_docs / 4096) as bigint) as shard
+  from sized d join sources s on s.source is not distinct from d.source left join source_blocks b on b.source is not distinct from d.source),
+shards as (select source, shard, blocks, sum(size) as shard_size from dealt group by all),
+shard_asks as (
+  select source, shard, blocks, row_number() over (partition by source order by shard_size / (2 * k + 1) desc, shard, k) as place
+  from (select *, unnest(range(blocks)) as k from shards where shard_size > 0)),
+quotas as (
+  select s.source, s.shard, s.shard_size, least(16 * count(a.place), 3 * s.shard_size) as quota
+  from shards s left join shard_asks a on a.source is not distinct from s.source and a.shard = s.shard and a.place <= a.blocks
+  group by s.source, s.shard, s.shard_size),
+streams as (
+  select d.*, q.shard_size, q.quota,
+    coalesce(sum(d.size) over (partition by d.source, d.shard order by d.h, d.doc_id nulls first rows between unbounded preceding and 1 preceding), 0) as before
+  from dealt d join quotas q on q.source is not distinct from d.source and q.shard = d.shard)
+select doc_id, size, source_size, target,
+  cast(case when shard_size = 0 then 0 else (quota // shard_size) * size + least(greatest(quota % shard_size - before, 0), size) end as bigint) as taken
+from streams
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minmax_hashing": _OP3}
+    return {"op3_minmax_hashing": _OP3, "op4_line_templates": _OP4, "op10_sainte_lague_mix": _OP10}

@@ -2,9 +2,11 @@
 
 from collections import Counter, defaultdict
 
+import compare
 from pyspark.sql import functions as F
 
 from gleanbox.llm import lines as L
+from gleanbox.llm import queries
 
 
 def mask(line):
@@ -112,3 +114,10 @@ def test_columns_of_helper_names(spark, make_docs, prose):
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
     rows = got.collect()
     assert len(rows) == 95 and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names) and any(r["n_dropped"] for r in rows)
+
+
+def test_agrees_with_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op4_line_templates(spark, sf)
+    assert got.agg(F.sum("n_dropped")).first()[0] > 0
+    assert compare.differences(got, compare.connection(sf), queries.oracle_sql()["op4_line_templates"]) == ""

@@ -4,10 +4,12 @@ import heapq
 import random
 import re
 
+import compare
 import pytest
 from pyspark.sql import functions as F
 
 from gleanbox.llm import mixing as M
+from gleanbox.llm import queries
 
 
 def plain_targets(sizes):
@@ -84,3 +86,8 @@ def test_columns_of_helper_names(spark, make_docs):
     assert got.columns == [*docs.columns, "size", "source_size", "target", "taken"]
     rows = got.collect()
     assert len(rows) == 40 and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
+def test_agrees_with_sql(spark):
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        assert compare.differences(queries.op10_sainte_lague_mix(spark, sf), compare.connection(sf), queries.oracle_sql()["op10_sainte_lague_mix"]) == ""
