@@ -547,9 +547,14 @@ def release_groups(c, sidelined, groups, tasks):
     return state.release_groups(sidelined, groups, tasks.filter("task_type = 'UNSIDELINE_GROUP' and status = 'NEW'"))[0]
 
 
-@query("sidelined_groups control_tasks", "select group_id from sidelined_groups where group_id not in (select group_id from control_tasks where task_type = 'UNSIDELINE_GROUP' and status = 'NEW' and group_id is not null)")
-def released_group_rows(c, groups, tasks):
-    return groups.join(tasks.filter("task_type = 'UNSIDELINE_GROUP' and status = 'NEW'").select("group_id"), "group_id", "left_anti")
+@query(
+    "sidelined_messages sidelined_groups control_tasks",
+    """select group_id from sidelined_groups where group_id not in (select group_id from (
+      select * from control_tasks where status = 'NEW' order by id limit 100) t where task_type = 'UNSIDELINE_GROUP' and group_id is not null)""",
+)
+def released_group_rows(c, sidelined, groups, tasks):
+    claimed = state.claim_control_tasks(tasks, 100)
+    return state.release_groups(sidelined, groups, claimed.filter("task_type = 'UNSIDELINE_GROUP'"))[1]
 
 
 @query(
