@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanbox.llm import decontaminate, fingerprints, html, language, licenses, lines, mixing, neardup, suffixtree, tokens
+from gleanbox.llm import audit, chat, clustering, decontaminate, fingerprints, html, language, licenses, lines, mixing, neardup, suffixtree, tokens
 from gleanbox.llm.common import load
 
 
@@ -58,6 +58,23 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_contingency_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(audit.filter_cells(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
+
+
+def op12_orchard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(load(spark, sf_dir, "embeddings"))
+
+
+#: A conversation that is full of what other templates mark turns with.
+_ODD = r"""select -7l as conv_id, id as turn, if(id = 0, 'user', 'assistant') as role, r'\### Assistant: </turn> ok' as text from range(2)"""
+
+
+def op13_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(_ODD))
+    return chat.record_digests(chat.format_conversations(turns))
+
+
 QUERIES = (
     op1_page_differencing,
     op2_license_join,
@@ -69,6 +86,9 @@ QUERIES = (
     op8_suffix_tree,
     op9_bm25_wand,
     op10_sainte_lague_mix,
+    op11_contingency_audit,
+    op12_orchard_search,
+    op13_relational_chat,
 )
 
 
@@ -187,6 +207,87 @@ select doc_id, size, source_size, target,
 from streams
 """
 
+#: op11 in SQL: every document is put through every order; no tensors.
+_OP11 = r"""
+with words as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') as w from documents),
+firsts as (select text, min(doc_id) as first_id from words group by text),
+marks as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+failing as (
+  select w.part, coalesce(m.good, 0) as good, coalesce(m.toxic, 0) as toxic,
+    concat(case when len(w.w) < 50 then 'A' else '' end, case when 100 * len(list_distinct(w.w)) < 65 * len(w.w) then 'B' else '' end,
+      case when 100 * length(regexp_replace(w.text, '[^A-Z]+', '', 'g')) > 5 * length(w.text) then 'C' else '' end,
+      case when regexp_matches(w.text, '[#$%&*|]') then 'D' else '' end, case when w.doc_id > f.first_id then 'E' else '' end) as fails
+  from words w join firsts f on f.text = w.text left join marks m on m.doc_id = w.doc_id),
+cells as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from failing group by part, fails),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+orders as (
+  select concat(a.c, b.c, c.c, d.c, e.c) as filter_order from letters a, letters b, letters c, letters d, letters e
+  where a.c <> b.c and c.c not in (a.c, b.c) and d.c not in (a.c, b.c, c.c) and e.c not in (a.c, b.c, c.c, d.c)),
+steps as (select filter_order, s as step, substr(filter_order, s, 1) as filter, substr(filter_order, 1, s - 1) as earlier from orders, (select unnest(range(1, 6)) as s)),
+met as (
+  select s.*, c.part, c.n, c.good, c.toxic, contains(c.fails, s.filter) as hit, c.fails = s.filter as only_hit,
+    length(translate(c.fails, s.earlier, '')) < length(c.fails) as gone
+  from steps s cross join cells c),
+figures as (
+  select part, filter_order, step, filter,
+    coalesce(sum(n) filter (not gone and not hit), 0) as kept, coalesce(sum(n) filter (not gone and hit), 0) as removed,
+    coalesce(sum(n) filter (gone and hit), 0) as redundant, coalesce(sum(n) filter (only_hit), 0) as unique_fails,
+    coalesce(sum(good) filter (not gone and hit), 0) as good_lost, coalesce(sum(toxic) filter (not gone and hit), 0) as toxic_lost
+  from met group by all)
+select part, filter_order, cast(step as int) as step, filter, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, filter) as bigint) as shapley
+from figures
+"""
+
+
+def _op12() -> str:
+    """op12 in SQL: in each round every vector is compared with every centroid."""
+    near = """near{r} as materialized (
+  select id, vec_id, v, arg_min(c, (d, c)) as cluster, min(d) as distance
+  from (select x.id, x.vec_id, x.v, m.c, list_sum(list_transform(list_zip(x.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from vecs x cross join mids{r} m)
+  group by id, vec_id, v)"""
+    moved = """sums{r} as (
+  select cluster, pos, sum(x)::bigint as s, count(*) as n from (select cluster, unnest(v) as x, generate_subscripts(v, 1) as pos from near{r}) group by cluster, pos),
+mids{s} as materialized (
+  select m.c, coalesce(t.v, m.v) as v from mids{r} m
+  left join (select cluster, list(((s - ((s % n) + n) % n) // n)::bigint order by pos) as v from sums{r} group by cluster) t on t.cluster = m.c)"""
+    rounds = [part.format(r=r, s=r + 1) for r in range(clustering.ROUNDS) for part in (near, moved)]
+    return (
+        """
+with vecs as materialized (
+  select row_number() over () as id, vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) as bigint)) as v
+  from embeddings where len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64 and len(embedding) = 64),
+mids0 as materialized (select row_number() over (order by h nulls last, v) - 1 as c, v from (select sha256(concat('1:', vec_id::varchar)) as h, v from vecs order by h, v limit 16)),
+"""
+        + ",\n".join([*rounds, near.format(r=clustering.ROUNDS)])
+        + f"""
+select n.vec_id, cast(n.cluster as int) as cluster, cast(n.distance as bigint) as distance,
+  cast(sum(n.distance) over (partition by n.cluster) as bigint) as cluster_inertia, cast(sum(n.distance) over () as bigint) as inertia,
+  sha256(array_to_string(m.v, ',')) as centroid_sha256
+from near{clustering.ROUNDS} n join mids{clustering.ROUNDS} m on m.c = n.cluster
+"""
+    )
+
+
+#: op13 in SQL: digests of the turns themselves; the formatted length from the template's marks.
+_OP13 = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k,
+    coalesce(lag(role) over (partition by conv_id order by turn nulls first, role, text) = role, false) as goes_on,
+    length(regexp_replace(text, '<(\\*)\|', '<\\\\\1|', 'g')) as text_chars, length(regexp_replace(role, '<(\\*)\|', '<\\\\\1|', 'g')) as role_chars
+  from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by k)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(text_chars + case when goes_on then length('<|more|>') else role_chars + length(concat('<|turn|>', '<|says|>', '<|end|>', chr(10))) end) as bigint) as formatted_chars
+from placed group by conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minmax_hashing": _OP3, "op4_line_templates": _OP4, "op10_sainte_lague_mix": _OP10}
+    return {"op3_minmax_hashing": _OP3, "op4_line_templates": _OP4, "op10_sainte_lague_mix": _OP10, "op11_contingency_audit": _OP11, "op12_orchard_search": _op12(), "op13_relational_chat": _OP13}
