@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanbox.functions.envelope import transaction_id
-from gleanbox.schemas import LEGACY, METADATA, OUTBOX, conform
+from gleanbox.schemas import LEGACY, OUTBOX, conform
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
@@ -85,10 +85,6 @@ def find_message(messages: DataFrame, message_id: str) -> DataFrame:
     return outbox_projection(messages.filter(F.col("message_id") == message_id))
 
 
-def empty_metadata(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in METADATA.items()))
-
-
 def backup_range(messages: DataFrame, start: int, end: int, path: str) -> int:
     """Copy rows of an id range to compressed files; the count is verified before anything is dropped."""
     rows = messages.filter(F.col("id").between(start, end))
@@ -106,34 +102,51 @@ def write_version(table: DataFrame, base: str, version: int) -> str:
     return path
 
 
-def deliver(requests: DataFrame, send: Callable[[pd.DataFrame], pd.Series], slice_rows: int = 100) -> DataFrame:
-    """(id, message_id, status_code) of requests handed to a user's sender in slices.
+Answer = tuple[int | None, str | None, str | None]
 
-    ``send`` takes requests and returns their status codes. If it raises on a slice, the rows
-    of the slice are handed to it one by one, so that only those it raises on count as 500;
-    delivery is at least once, and a row of such a slice may be sent twice.
-    """
 
-    def codes_of(pdf: pd.DataFrame) -> list:
-        try:
-            return list(send(pdf))
-        except Exception:  # a sender's failure is a delivery failure
-            return [500] if len(pdf) == 1 else [c for k in range(len(pdf)) for c in codes_of(pdf.iloc[k : k + 1])]
+def answers_of(send: Callable[[pd.DataFrame], object], part: pd.DataFrame) -> list[Answer]:
+    """(status_code, error, body) of each row that a user's sender was given.
+
+    ``send`` returns status codes, or a frame with status_code and, where known, error and
+    body. If it raises on several rows, they are handed to it one by one, so that only those
+    it raises on count as 500; such a row may be sent twice.
+    """
+    try:
+        told = send(part)
+    except Exception as failure:  # a sender's failure is a delivery failure
+        if len(part) == 1:
+            return [(500, None, str(failure))]
+        return [a for k in range(len(part)) for a in answers_of(send, part.iloc[k : k + 1])]
+    frame = told if isinstance(told, pd.DataFrame) else pd.DataFrame({"status_code": list(told)})
+    if len(frame) != len(part):
+        raise ValueError(f"the sender answered {len(frame)} of {len(part)} messages")
+    pick = lambda c: [None if pd.isna(x) else x for x in frame[c]] if c in frame else [None] * len(frame)
+    return [(None if code is None else int(code), error, body) for code, error, body in zip(pick("status_code"), pick("error"), pick("body"), strict=True)]
+
+
+def deliver(requests: DataFrame, send: Callable[[pd.DataFrame], object], slice_rows: int = 100) -> DataFrame:
+    """(id, message_id, status_code) of requests handed to a user's sender in slices, in no order.
+
+    For messages that have none, such as forced ones; sources.ordered keeps the order of
+    groups. Delivery is at least once.
+    """
 
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             for k in range(0, len(pdf), slice_rows):
                 part = pdf.iloc[k : k + slice_rows]
-                yield pd.DataFrame({"id": part["id"], "message_id": part["message_id"], "status_code": pd.array(codes_of(part), dtype="Int32")})
+                yield pd.DataFrame({"id": part["id"], "message_id": part["message_id"], "status_code": pd.array([a[0] for a in answers_of(send, part)], dtype="Int32")})
 
     return requests.mapInPandas(batches, "id bigint, message_id string, status_code int")
 
 
 def keyed_requests(requests: DataFrame) -> DataFrame:
-    """(key, value) for a broker: rows of a sequencing key have one key, so they stay in one partition."""
-    return requests.select(F.col("sequencing_key").cast("string").alias("key"), F.col("message").cast("string").alias("value"))
+    """(key, value) for a broker: rows of a sequencing key have one key and come from one task, by id."""
+    dealt = requests.repartition("sequencing_key").sortWithinPartitions("sequencing_key", "id")
+    return dealt.select(F.col("sequencing_key").cast("string").alias("key"), F.col("message").cast("string").alias("value"))
 
 
-def to_kafka(requests: DataFrame, servers: str, topic: str) -> None:
-    """Write requests to a broker."""
-    keyed_requests(requests).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+def to_kafka(requests: DataFrame, servers: str, topic: str, format: str = "kafka") -> None:
+    """Write requests to a broker; its one partition for a key keeps the order in which a task writes them."""
+    keyed_requests(requests).write.format(format).option("kafka.bootstrap.servers", servers).option("topic", topic).save()
