@@ -84,10 +84,14 @@ def unsidelined_batch(claimed: DataFrame, messages: DataFrame) -> DataFrame:
     return by_message_id(messages, claimed)
 
 
+def is_eligible(last_message_time: Column, minutes: int) -> Column:
+    since = last_message_time - F.make_interval(mins=F.lit(minutes))
+    return (F.col("status") == "NEW") & (F.col("created_at") > since)
+
+
 def eligible_skipped(skipped: DataFrame, last_message_time: Column, minutes: int) -> DataFrame:
     """NEW skipped ids created within so many minutes (strictly) before the last message's time."""
-    since = last_message_time - F.make_interval(mins=F.lit(minutes))
-    return skipped.filter((F.col("status") == "NEW") & (F.col("created_at") > since))
+    return skipped.filter(is_eligible(last_message_time, minutes))
 
 
 def skipped_recovery(eligible: DataFrame, metadata: DataFrame, messages: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:

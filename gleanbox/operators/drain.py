@@ -103,6 +103,26 @@ def group_drain(work: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame
     return outcomes, after.unionByName(untouched)
 
 
+def cycle_outcomes(work: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, new state) of all work of a cycle, as of with_responses; ungrouped messages stand alone."""
+    grouped, after = group_drain(work, state)
+    alone = work.filter(is_ungrouped(F.col("group_id")))
+    ignored, real, own = F.col("failed") & F.col("ignored"), F.col("failed") & ~F.col("ignored"), F.col("code") == RELAYER
+    retries = F.when(~own | (F.col("kind") == "UNSIDELINED"), F.lit(MAX_RETRIES)).otherwise(F.lit(0))
+    outcomes = alone.select(
+        "group_id",
+        "id",
+        "message_id",
+        "kind",
+        F.when(ignored, "IGNORED").when(real, "SIDELINED").otherwise("RELAYED").alias("outcome"),
+        F.when(real & own, "RELAYER_ERROR").when(real, "HTTP_ERROR").alias("reason"),
+        F.when(real & own, F.lit(0)).when(real, F.col("code")).cast("int").alias("http_status_code"),
+        F.when(real, retries).cast("int").alias("retries"),
+        F.when(real, "SIDELINED").alias("status"),
+    )
+    return grouped.unionByName(outcomes), after
+
+
 def _begin(status: Column, last_id: Column, stops: Column | None = None) -> Column:
     """A group's state and the stops of its kinds so far (kind_rank, stop, held_as)."""
     none = F.array().cast("array<struct<kind_rank:int,stop:bigint,held_as:string>>")

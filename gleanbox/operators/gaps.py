@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanbox.operators.assemble import eligible_skipped
+from gleanbox.operators.assemble import eligible_skipped, is_eligible
 
 BLOCK = 100_000
 #: Widths of the pieces that a gap is cut into, one after the other, before it is expanded.
@@ -105,7 +105,7 @@ def interval_changes(intervals: DataFrame, arrived: DataFrame, new: DataFrame, l
     the table with _gone, true for a start_id that is no more.
     """
     live = intervals if last_time is None else eligible_skipped(intervals, last_time, minutes)
-    expired = intervals.join(live.select("start_id"), "start_id", "left_anti")
+    expired = intervals.limit(0) if last_time is None else intervals.filter(~F.coalesce(is_eligible(last_time, minutes), F.lit(False)))
     late = located(live, arrived)
     left = split_intervals(live, late)
     touched = late.select("start_id").distinct()

@@ -574,6 +574,16 @@ def release_ungrouped(c, sidelined):
     return state.release_ungrouped(sidelined, ago(c.as_of, 864_000), ago(c.as_of, 86_400))
 
 
+@query(
+    "sidelined_messages",
+    """select 'UNSIDELINE_GROUP' as task_type, group_id, 'NEW' as status, @as_of - interval 1 year as from_date, @as_of + interval 1 year as to_date
+    from (select distinct group_id from sidelined_messages where group_id is not null and updated_at between @as_of - interval 1 year and @as_of + interval 1 year) x
+    union all select 'UNSIDELINE_ALL_UNGROUPED', null, 'NEW', @as_of - interval 1 year, @as_of + interval 1 year""",
+)
+def release_tasks_by_default(c, sidelined):
+    return state.release_tasks(sidelined, *state.release_period(c.as_of))
+
+
 @query(
     "sidelined_messages",
     f"""select 'UNSIDELINE_GROUP' as task_type, group_id, 'NEW' as status, @as_of - interval 864000 second as from_date, @as_of - interval 86400 second as to_date
@@ -584,16 +594,19 @@ def release_tasks(c, sidelined):
     return state.release_tasks(sidelined, ago(c.as_of, 864_000), ago(c.as_of, 86_400))
 
 
-_NEW = "(select {0} from control_tasks where status = 'NEW' and task_type = '{1}' and {0} is not null)"
+#: A read batch: so many tasks are claimed, by id.
+CLAIM = 10_000
+_CLAIMED = f"(select * from control_tasks where status = 'NEW' order by id limit {CLAIM})"
+_NEW = "(select {0} from " + _CLAIMED + " c where task_type = '{1}' and {0} is not null)"
 
 
 @query(
     "sidelined_messages control_tasks",
-    f"""select {_SIDELINED.replace("status, created", f"case when group_id in {_NEW.format('group_id', 'UNSIDELINE_GROUP')} or message_id in {_NEW.format('message_id', 'UNSIDELINE_MESSAGE')} or (group_id is null and exists (select 1 from control_tasks t where t.status = 'NEW' and t.task_type = 'UNSIDELINE_ALL_UNGROUPED' and sidelined_messages.updated_at between t.from_date and t.to_date)) then 'UNSIDELINED' else status end as status, created")}
+    f"""select {_SIDELINED.replace("status, created", f"case when group_id in {_NEW.format('group_id', 'UNSIDELINE_GROUP')} or message_id in {_NEW.format('message_id', 'UNSIDELINE_MESSAGE')} or (group_id is null and exists (select 1 from {_CLAIMED} t where t.task_type = 'UNSIDELINE_ALL_UNGROUPED' and sidelined_messages.updated_at between t.from_date and t.to_date)) then 'UNSIDELINED' else status end as status, created")}
     from sidelined_messages""",
 )
 def apply_control_tasks(c, sidelined, tasks):
-    return state.apply_control_tasks(sidelined, tasks.filter("status = 'NEW'"))
+    return state.apply_control_tasks(sidelined, state.claim_control_tasks(tasks, CLAIM))
 
 
 @query("control_tasks", "select id, task_type, case when task_type = 'MANAGE_PARTITION' then 'FAILED' else 'DONE' end as status from control_tasks where status = 'NEW'")

@@ -95,13 +95,6 @@ def backup_range(messages: DataFrame, start: int, end: int, path: str) -> int:
     return kept
 
 
-def write_version(table: DataFrame, base: str, version: int) -> str:
-    """Write a state table to a new version's path."""
-    path = f"{base}/v={version}"
-    table.write.mode("overwrite").parquet(path)
-    return path
-
-
 Answer = tuple[int | None, str | None, str | None]
 
 

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from gleanbox.sources.files import exists, remove
 
 
+def nothing(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows, known as such when a query is planned, so that joins with it fall away."""
+    columns = [c.split() for c in schema.split(", ")]
+    return spark.sql("select " + ", ".join(f"cast(null as {t}) as {c}" for c, t in columns) + " where false")
+
+
 @dataclass(frozen=True)
 class StateTable:
     """Versions of a table under ``base``, one for each batch, numbered from 0.
@@ -50,10 +56,10 @@ class StateTable:
     def _merged(self, spark: SparkSession, start: int, version: int, keys: DataFrame | None = None) -> DataFrame:
         """The snapshot ``start`` with the changes up to ``version``."""
         known, rest = f"{self.schema}, _gone boolean", [c for c in self.columns if c != self.key]
-        changes = spark.createDataFrame([], f"{known}, _v int")
+        changes = nothing(spark, f"{known}, _v int")
         for v in range(start + 1, version + 1):
             changes = changes.unionByName(spark.read.schema(known).parquet(self.changes_path(v)).withColumn("_v", F.lit(v)))
-        old = spark.createDataFrame([], f"{self.schema}, _bucket int")
+        old = nothing(spark, f"{self.schema}, _bucket int")
         if start >= 0:
             old = spark.read.schema(f"{self.schema}, _bucket int").parquet(self.snapshot_path(start))
         if keys is not None:
