@@ -5,10 +5,17 @@ paragraph of several lines. A template is found in a block if at least ``CONTAIN
 template's distinct words are in it, and these are at least ``ABOUT`` of the block's own. In
 a longer block the template is looked for in every run of words of the greatest length at
 which ``CONTAINED`` of the template are ``ABOUT`` of the run, so a notice within a long line
-is found; one of fewer than ``FEW`` words must stand in one piece. A template gives way only to a variant of it (they share half of the shorter one's
-words) of which the block holds more, and only if the block lacks ``CONTAINED`` of the words
-that tell it from the variant, or to a longer notice around it whose own words are there;
-other notices of a block are all reported.
+is found; one of fewer than ``FEW`` words must stand in one piece.
+
+Most words of a notice are stock words of all notices. A template counts only with its telling
+words: those of it, numbers aside, that stand in the notices of the fewest licenses. Of these
+``CONTAINED`` must be there, rounded down, and one at least: "Released under the BSD License"
+has four of the five words of "Released under the MIT License", but not the one that tells.
+
+Templates of one family (``FAMILIES``) that share half of the shorter one's words are variants.
+A template gives way only to a variant of which the block holds more, and only if the block
+lacks ``CONTAINED`` of the words that tell it from the variant, or to a longer variant around
+it whose own words are there; other notices of a block are all reported.
 
 The join looks at a block's words in one global order, rarest in the corpus first (counted
 over all texts). Of a template with n words, of which it needs o, only the first n - o + 1
@@ -90,23 +97,45 @@ TEMPLATES = {
     "reserved": ["All rights reserved"],
 }
 
+# Labels of licenses whose notices are variants of each other.
+FAMILIES = [
+    ["gpl", "lgpl", "agpl"],
+    ["cc-by", "cc-by-nc", "cc-by-sa", "cc-by-nd"],
+]
+
 
 class Templates:
-    """The templates' words in global order, and the index of their prefixes."""
+    """The templates' words in global order, and the index of their prefixes.
 
-    def __init__(self, templates: dict[str, list[str]], frequency: dict[bytes, int], contained: float = CONTAINED):
+    Without ``families`` all templates that share enough words are variants.
+    """
+
+    def __init__(self, templates: dict[str, list[str]], frequency: dict[bytes, int], contained: float = CONTAINED, families: list[list[str]] | None = None):
         sets = [(label, set(words(t))) for label, texts in templates.items() for t in texts]
+        family = {label: k for k, labels in enumerate(families or []) for label in labels}
+        kin = lambda a, b: a == b or families is None or (a in family and family[a] == family.get(b))
         self.vocabulary = frozenset(set().union(*(s for _, s in sets)))
         rank = {w: k for k, w in enumerate(sorted(self.vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
         self.rank = rank
         self.templates = [(label, sorted(rank[w] for w in s), ceil(contained * len(s) - 1e-9)) for label, s in sets]
-        self.variants = [{v for v, (_, b) in enumerate(sets) if 2 * len(a & b) >= min(len(a), len(b))} for _, a in sets]
+        self.variants = [{v for v, (other, b) in enumerate(sets) if kin(label, other) and 2 * len(a & b) >= min(len(a), len(b))} for label, a in sets]
+        holders = Counter(w for label in templates for w in set().union(*(s for own, s in sets if own == label)))
+        self.telling = []
+        for _, s in sets:
+            named = {w for w in s if not w.isdigit()} or s
+            fewest = min((holders[w] for w in named), default=0)
+            self.telling.append({rank[w] for w in named if holders[w] == fewest})
         self.least = min((need for _, _, need in self.templates), default=0)
         self.index: dict[int, list[tuple[int, int]]] = {}
         for t, (_, ranks, need) in enumerate(self.templates):
             for at, r in enumerate(ranks[: len(ranks) - need + 1]):
                 self.index.setdefault(r, []).append((t, at))
 
+    def is_told(self, t: int, own: set[int]) -> bool:
+        """Are enough of the template's telling words among these?"""
+        telling = self.telling[t]
+        return len(telling & own) >= max(1, int(CONTAINED * len(telling) + 1e-9))
+
     def contained(self, block: set[bytes]) -> Iterator[tuple[int, int]]:
         """(number, shared words) of every template of which the block has the words needed."""
         own = sorted(self.rank[w] for w in block & self.vocabulary)
@@ -122,7 +151,7 @@ class Templates:
                 if min(len(own) - at, len(ranks) - place) < need:
                     continue
                 shared = len(set(own).intersection(ranks))
-                if shared >= need:
+                if shared >= need and self.is_told(t, set(own)):
                     yield t, shared
 
     def matches(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
@@ -132,7 +161,7 @@ class Templates:
                 yield self.templates[t][0], shared / len(self.templates[t][1])
 
     def most_in_a_run(self, t: int, found: list[bytes]) -> int:
-        """The most distinct words of a template that stand in one run of need / ABOUT words."""
+        """The most distinct words of a template, the telling ones among them, that stand in one run of need / ABOUT words."""
         _, ranks, need = self.templates[t]
         # a template of few words must stand in one piece
         ranks, width = set(ranks), need if len(ranks) < FEW else int(need / ABOUT)
@@ -147,7 +176,8 @@ class Templates:
                 if not held[gone]:
                     del held[gone]
                 first += 1
-            most = max(most, len(held))
+            if len(held) > most and self.is_told(t, held.keys()):
+                most = len(held)
         return most
 
     def tells_apart(self, t: int, variant: int, block: set[bytes]) -> bool:
@@ -227,7 +257,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     """License phrases and templates in each whole text."""
     templates = TEMPLATES if templates is None else templates
     vocabulary = Templates(templates, {}).vocabulary
-    held = Templates(templates, word_frequencies(docs, vocabulary))
+    held = Templates(templates, word_frequencies(docs, vocabulary), families=FAMILIES if templates is TEMPLATES else None)
     phrases = {tuple(words(p)): label for p, label in PHRASES.items()}
     first_words = frozenset(words(" ".join(PHRASES)))
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

@@ -30,6 +30,88 @@ def test_given_documents(spark):
     assert got == {r["doc_id"]: plain(r["text"]) for r in docs.collect()}
 
 
+def told(label, text, block, templates=None):
+    """Telling words by counting: of the words that are no numbers, those in the notices of the fewest labels."""
+    templates = templates or L.TEMPLATES
+    count = lambda w: sum(any(w in L.words(t) for t in texts) for texts in templates.values())
+    own = {w: count(w) for w in L.words(text) if not w.isdigit()}
+    telling = {w for w, n in own.items() if n == min(own.values())}
+    return len(telling & set(block)) >= max(1, int(0.8 * len(telling) + 1e-9))
+
+
+def plain_labels(found):
+    """Labels of one block's words by comparing all its runs with all templates."""
+    every = [(label, t, set(L.words(t))) for label, texts in L.TEMPLATES.items() for t in texts]
+    held, block = {}, set(found)
+    for k, (label, t, own) in enumerate(every):
+        need, best = -(-8 * len(own) // 10), 0
+        if not told(label, t, block):
+            continue
+        if len(own & block) >= 0.25 * len(block) and len(own) >= L.FEW:
+            best = len(own & block)
+        elif len(own & block) >= need:
+            width = need if len(own) < L.FEW else int(need / 0.25)
+            runs = [set(found[a : a + width]) for a in range(len(found))]
+            best = max((len(run & own) for run in runs if told(label, t, run)), default=0)
+        if best >= need:
+            held[k] = best / len(own)
+    family = lambda a, b: a == b or any(a in f and b in f for f in L.FAMILIES)
+    kin = lambda a, b: family(every[a][0], every[b][0]) and 2 * len(every[a][2] & every[b][2]) >= min(len(every[a][2]), len(every[b][2]))
+    apart = lambda a, b: (own := every[a][2] - every[b][2]) and len(own & block) >= 0.8 * len(own)
+    out = set()
+    for k, share in held.items():
+        less = any(kin(k, v) and held[v] > share and not apart(k, v) for v in held)
+        around = any(kin(k, v) and every[v][2] > every[k][2] and apart(v, k) for v in held)
+        if not less and not around:
+            out.add(every[k][0])
+    return out
+
+
+def test_labels_of_random_mixtures_equal_plain_comparison():
+    import random
+
+    index = L.Templates(L.TEMPLATES, {b"the": 900, b"license": 70}, families=L.FAMILIES)
+    every = [t for texts in L.TEMPLATES.values() for t in texts]
+    met = set()
+    for seed in range(600):
+        r, found = random.Random(seed), []
+        for _ in range(r.choice([1, 1, 2, 3])):
+            own = [w for w in L.words(r.choice(every)) if r.random() > 0.06]
+            if r.random() < 0.3:
+                own[r.randrange(len(own))] = r.choice(sorted(index.vocabulary))
+            found += own + [b"x%d" % r.randrange(9) for _ in range(r.choice([0, 0, 3, 40]))]
+        got = set(index.notices(found))
+        assert got == plain_labels(found), (seed, b" ".join(found))
+        met |= got
+    assert met == set(L.TEMPLATES)
+
+
+def test_stock_words_alone_are_no_notice(spark, make_docs):
+    lines = ["Released under the Apache License", "Released under the BSD License.", "Licensed under the EUPL License", "the book was released under the license", "Licensed under the terms of the License, version 3", "This work is licensed under the terms of the public"]
+    got = {r["doc_id"]: r["labels"] for r in L.scan_licenses(make_docs(list(enumerate([*lines, "Released under the MIT License", "released, under the MIT"])))).collect()}
+    assert got == {0: "apache", 1: "", 2: "", 3: "", 4: "", 5: "", 6: "mit", 7: "mit"}
+
+
+BASE_SQL = r"""
+with docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+phrases as (select * from (values ('gnu general public license', 'gpl'), ('apache license', 'apache'), ('cc by', 'cc-by'), ('mit license', 'mit')) p(phrase, label)),
+places as (
+  select d.doc_id, p.label, unnest(range(1, len(d.w) + 1)) as k, d.w, string_split(p.phrase, ' ') as q from docs d cross join phrases p),
+hits as (select doc_id, label, k - 1 as start from places where w[k:k + len(q) - 1] = q)
+select d.doc_id, len(d.w) as n_words, count(h.start) as n_base, min(h.start) as first_word, max(h.start) as last_word, coalesce(string_agg(distinct h.label, ',' order by h.label), '') as base_labels
+from docs d left join hits h on h.doc_id = d.doc_id group by d.doc_id, d.w
+"""
+
+
+def test_base_columns_agree_with_sql(spark):
+    import compare
+
+    sf = "/root/testdata/sf0.001"
+    got = L.scan_licenses(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert compare.differences(got, compare.connection(sf), BASE_SQL) == ""
+
+
 def test_templates_are_found_by_containment():
     index = L.Templates(L.TEMPLATES, {b"the": 900, b"license": 5})
     import random
@@ -46,7 +128,7 @@ def test_templates_are_found_by_containment():
             for t in texts:
                 own = set(L.words(t))
                 shared = len(own & block)
-                if shared >= L.CONTAINED * len(own) - 1e-9 and shared >= L.ABOUT * len(block):
+                if shared >= L.CONTAINED * len(own) - 1e-9 and shared >= L.ABOUT * len(block) and told(label, t, block):
                     want.add((label, shared / len(own)))
         assert set(index.matches(block)) == want
 
@@ -73,7 +155,7 @@ def test_a_second_notice_of_lower_containment_stays():
     index = L.Templates({"a": ["one two three four five"], "b": ["six seven eight nine ten"], "c": ["one two three four six"]}, {})
     assert index.notices(list(L.words("one two three four five six seven eight nine"))) == {"a": 1.0, "b": 0.8, "c": 1.0}
     assert index.notices(list(L.words("one two three four five"))) == {"a": 1.0}
-    given, text = L.Templates(L.TEMPLATES, {}), "This work is licensed under the GNU General Public License version 3 or a Creative Commons Attribution 4.0 License"
+    given, text = L.Templates(L.TEMPLATES, {}, families=L.FAMILIES), "This work is licensed under the GNU General Public License version 3 or a Creative Commons Attribution 4.0 License"
     assert set(given.notices(list(L.words(text)))) == {"gpl", "cc-by"}
     assert given.notices(list(L.words("Licensed under CC BY NC 4.0"))) == {"cc-by-nc": 1.0}
 
@@ -87,7 +169,8 @@ def test_runs_equal_plain_windows():
         found = [r.choice(sorted(index.vocabulary) + [b"x%d" % k for k in range(60)]) for _ in range(r.randrange(90))]
         for t, (_, ranks, need) in enumerate(index.templates):
             width = need if len(ranks) < L.FEW else int(need / L.ABOUT)
-            want = max((len({index.rank.get(w) for w in found[k : k + width]} & set(ranks)) for k in range(len(found))), default=0)
+            runs = [{index.rank.get(w) for w in found[k : k + width]} for k in range(len(found))]
+            want = max((len(run & set(ranks)) for run in runs if index.is_told(t, run)), default=0)
             assert index.most_in_a_run(t, found) == want
 
 
