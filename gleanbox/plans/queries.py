@@ -9,7 +9,7 @@ from gleanbox.functions.times import ago, millis_between
 from gleanbox.operators import assemble, drain, gaps, health, lanes, relay, retention, state
 from gleanbox.plans.registry import bucket_sql, java_hash_sql, query
 from gleanbox.schemas import OUTBOX
-from gleanbox.sources import outbox
+from gleanbox.sources import ordered, outbox
 
 LANES = 7
 SIZE = 1000
@@ -308,6 +308,20 @@ def relay_outcome(c, messages, responses, groups):
     return relay.relay_outcome(messages, responses, groups)
 
 
+@query(
+    "messages responses sidelined_groups",
+    f"""select o.id, o.message_id, coalesce(o.reason, '') <> 'GROUP_SIDELINED' as sent,
+      cast(case when coalesce(o.reason, '') <> 'GROUP_SIDELINED' then coalesce(r.status_code, 500) end as integer) as status_code
+    from {_OUTCOME_SQL} o left join responses r on r.id = o.id""",
+)
+def ordered_delivery(c, messages, responses, groups):
+    """What reaches a sender that answers as the responses table says."""
+    told = messages.join(responses.select("id", "status_code", "error"), "id", "left")
+    work = told.select("group_id", "id", "message_id", F.lit("NEW").alias("kind"), F.lit(3).alias("kind_rank"), F.coalesce("status_code", F.lit(500)).alias("status_code"), "error")
+    state_ = groups.select("group_id", F.lit("SIDELINED").alias("status"), F.lit(-1).cast("bigint").alias("last_id"))
+    return ordered.deliver_in_order(work, lambda part: part[["status_code", "error"]], state_).select("id", "message_id", "sent", "status_code")
+
+
 @query(
     "messages responses sidelined_groups",
     f"select b.bucket, count(*) as n_processed from {_OUTCOME_SQL} o join {_BUCKETED_SQL} b on b.id = o.id where o.outcome <> 'IGNORED' group by b.bucket",
@@ -376,6 +390,23 @@ def skipped_ids_new(c, metadata, messages):
     return gaps.skipped_ids(sequence_gaps(c, metadata, messages))
 
 
+@query(
+    "messages events",
+    """select min(id) as start_id, max(id) + 1 as end_id, 'NEW' as status from (
+      select id, id - row_number() over (order by id) as run from (
+        select event_id + 1 as id from events) x
+      where id not in (select id from messages) and id > (select min(id) from messages) and id < (select max(id) from messages) and id % 3 <> 0) y
+    group by run""",
+)
+def late_intervals(c, messages, events):
+    """Gaps of the message table as intervals, after every third id has turned up."""
+    found = gaps.intervals_of(gaps.sequence_gaps(messages.select("id")), c.as_of)
+    arrived = events.select((F.col("event_id") + 1).alias("id")).filter("id % 3 = 0")
+    late = gaps.located(found, arrived)
+    left = gaps.split_intervals(found, late)
+    return found.join(late.select("start_id").distinct(), "start_id", "left_anti").unionByName(left).select("start_id", "end_id", "status")
+
+
 @query("dup_messages", "select * from dup_messages qualify row_number() over (partition by message_id order by id desc) = 1")
 def dedup_messages(c, messages):
     return assemble.last_by_message(messages).select(*messages.columns)
