@@ -11,8 +11,11 @@ scored in the state of the longest retained suffix of what stands before it. The
 are few, however large the corpus: at most DEPTH / P_MIN reach the driver and the tasks.
 
 Contexts of one whole word of any length, for each word that makes up less than ``P_HEAD`` of
-the tokens of all texts, held-out ones included, so that no word's places crowd a task; the symbol is the next word. Their number grows with the corpus, so they are
+the training tokens; the symbol is the next word. Their number grows with the corpus, so they are
 never gathered anywhere: all places of a word meet in a shuffle, in training and in scoring.
+What held-out texts hold decides nothing. A word that is frequent in them alone would crowd a
+task, so its places there are dealt out over several groups, and its training places, which
+are few, go to each of these.
 A word's distribution diverges if its places, each predicted by the others of them, gain at
 least ``DIVERGENCE`` nats over the bytes' contexts; then the next word is scored by it,
 smoothed with what the bytes' contexts give.
@@ -23,8 +26,8 @@ depend on anything before. A greater DEPTH costs a pass of counting more; what l
 bytes is left to the words' contexts.
 
 The base score needs the count of every word in the training texts. Words with at least
-``P_HEAD`` of all tokens (at most 1 / P_HEAD of them) go to every task, whether training texts
-have them or not; rarer words are counted where their places meet.
+``P_HEAD`` of the training tokens (at most 1 / P_HEAD of them) go to every task; rarer words
+are counted where their places meet.
 
 Defined cases: a null text is empty and is scored as its end alone; rows repeated in full are
 scored alike; without training texts the tree is its root with equal probabilities, and each
@@ -50,6 +53,8 @@ DEPTH = 6
 P_MIN = 2e-6
 DIVERGENCE = 6.0
 P_HEAD = 1e-6
+#: Held-out places of a word in one group, and at least as many as a word may have that is no head word.
+GROUP_ROWS = 10_000
 END = 0x0A
 BATCH_BYTES = 1 << 21
 FLUSH = 1 << 20
@@ -332,25 +337,27 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     totals = counts.agg(F.sum("n").alias("n"), F.sum("more").alias("more"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
     n, v = totals["n"] or 0, totals["v"] or 0
     bottom = n + 0.1 * (v + 1)
-    common = counts.filter(F.col("n") + F.col("more") >= max(2, P_HEAD * (n + (totals["more"] or 0)))).toArrow()
-    head = dict(zip(common["word"].to_pylist(), common["n"].to_pylist(), strict=True))
-    # of words that only held-out texts have
-    new = frozenset(w for w, c in head.items() if not c)
-    head = {w: log10((c + 0.1) / bottom) for w, c in head.items()}
-    shared = spark.sparkContext.broadcast((fit_tree(training), head, new))
-    schema = "doc_id long, row_key long, word binary, follows long, lp float, n long, known long, base double, score double"
+    least = max(2, P_HEAD * n)
+    common = counts.filter(F.col("n") >= least).toArrow()
+    head = {w: log10((c + 0.1) / bottom) for w, c in zip(common["word"].to_pylist(), common["n"].to_pylist(), strict=True)}
+    # at most the share of held-out tokens over P_HEAD of them
+    group_rows = max(GROUP_ROWS, least)
+    crowded = counts.filter((F.col("n") < least) & (F.col("more") > group_rows)).toArrow()
+    groups = {w: -int(-c // group_rows) for w, c in zip(crowded["word"].to_pylist(), crowded["more"].to_pylist(), strict=True)}
+    shared = spark.sparkContext.broadcast((fit_tree(training), head, groups))
+    schema = "doc_id long, row_key long, word binary, dealt int, follows long, lp float, n long, known long, base double, score double"
     columns = [x.split()[0] for x in schema.split(", ")]
 
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, terms, new = shared.value
-        whole = ((i, k, t) for pdf in rows for i, k, t in zip(pdf["doc_id"].astype("Int64"), pdf["row_key"], pdf["text"], strict=True))
+        tree, terms, groups = shared.value
+        whole = ((i, k, t, o) for pdf in rows for i, k, t, o in zip(pdf["doc_id"].astype("Int64"), pdf["row_key"], pdf["text"], pdf["out"], strict=True))
         for some in batches_of(whole, lambda x: len(x[2]) if isinstance(x[2], str) else 1):
-            texts = [words(t if isinstance(t, str) else None) for _, _, t in some]
+            texts = [words(t if isinstance(t, str) else None) for _, _, t, _ in some]
             symbols = [as_symbols(t) for t in texts]
             run = np.concatenate([[0.0], np.cumsum(tree.byte_logs(symbols), dtype=np.float64)])
             out: list[tuple] = []
             at = 0
-            for (i, key, _), own, t in zip(some, texts, symbols, strict=True):
+            for (i, key, _, held), own, t in zip(some, texts, symbols, strict=True):
                 base, known, rare = 0.0, 0, []
                 for k, w in enumerate([*own, b"\n"]):
                     term = terms.get(w)
@@ -358,27 +365,31 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
                         rare.append(k)
                     else:
                         base += term
-                        known += w not in new
+                        known += 1
                 if rare:
                     # a word's part of the text ends with the space or end after it
                     edge = run[at + 1 + np.cumsum([0] + [len(w) + 1 for w in own])]
                     for k in rare:
                         follows = k + 1 < len(own)
                         after = own[k + 1] + (b" " if k + 2 < len(own) else b"\n") if follows else None
-                        out.append((i, key, own[k] if k < len(own) else b"\n", xxhash.xxh3_64_intdigest(after) >> 1 if follows else None, edge[k + 2] - edge[k + 1] if follows else None, None, None, None, None))
+                        word = own[k] if k < len(own) else b"\n"
+                        n_groups = groups.get(word, 1)
+                        # a held-out place is in one group of its word, a training place in all
+                        for dealt in [(key + k) % n_groups] if held else range(n_groups):
+                            out.append((i, key, word, dealt, xxhash.xxh3_64_intdigest(after) >> 1 if follows else None, edge[k + 2] - edge[k + 1] if follows else None, None, None, None, None))
                 # a key of its own keeps the rows of texts apart in the shuffle; no word has a space
-                out.append((i, key, b" %d" % key, None, None, len(own) + 1, known, base, run[at + len(t)] - run[at]))
+                out.append((i, key, b" %d" % key, 0, None, None, len(own) + 1, known, base, run[at + len(t)] - run[at]))
                 at += len(t)
             for part in (out[k : k + EMIT] for k in range(0, len(out), EMIT)):
                 yield pd.DataFrame(part, columns=columns).astype({"doc_id": "Int64", "follows": "Int64", "n": "Int64", "known": "Int64"})
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"), held_out.alias("out"))
     rows = keyed.mapInPandas(batches, schema)
     is_text = F.col("score").isNotNull()
     # all places of a rare word meet: its count, those of its next words, and what they gain
-    pair, place = Window.partitionBy("word", "follows"), Window.partitionBy("word")
+    pair, place = Window.partitionBy("word", "dealt", "follows"), Window.partitionBy("word", "dealt")
     learned = ~held_out & ~is_text
-    met = rows.withColumn("learned", learned).withColumn("led", F.col("learned") & F.col("follows").isNotNull()).repartition("word")
+    met = rows.withColumn("learned", learned).withColumn("led", F.col("learned") & F.col("follows").isNotNull()).repartition("word", "dealt")
     total = lambda x, over: F.coalesce(F.sum(x).over(over), F.lit(0))
     met = met.withColumns({"pairs": total(F.col("led").cast("long"), pair), "pair_lp": F.avg(F.when(F.col("led"), F.col("lp"))).over(pair)})
     met = met.withColumns({"c": total(F.col("learned").cast("long"), place), "size": total(F.col("led").cast("long"), place), "kinds": F.round(total(F.when(F.col("led"), 1 / F.col("pairs")), place))})
@@ -389,8 +400,9 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     mixed = F.when(F.col("pairs") == 0, F.log10(F.col("kinds") / wide)).otherwise(F.log10(F.col("pairs") / wide + F.col("kinds") / wide * F.pow(F.lit(10.0), F.col("lp"))) - F.col("lp"))
     more = F.when(F.col("follows").isNotNull() & (F.col("size") > 1) & (F.col("gain") >= DIVERGENCE), mixed)
     term = F.log10((F.col("c") + 0.1) / F.lit(bottom))
-    # a row repeated in full gives each of its sums as many times as it is there
-    per = met.groupBy("doc_id", "row_key").agg(
+    # a training place counts once for its text, in the first group; a row repeated in full
+    # gives each of its sums as many times as it is there
+    per = met.filter(held_out | (F.col("dealt") == 0)).groupBy("doc_id", "row_key").agg(
         F.sum(is_text.cast("long")).alias("copies"),
         F.max("n").alias("n_tokens"),
         F.max("known").alias("known"),

@@ -181,7 +181,7 @@ def test_rare_words_as_contexts(spark, make_docs, prose, monkeypatch):
 
 
 def test_words_frequent_in_held_out_texts_only(spark, make_docs, prose, monkeypatch):
-    """They have no count, go to every task like other frequent words, and are not met in the shuffle."""
+    """They have no count; their places are dealt out over groups of the shuffle."""
     rows = [(k, prose(k, 40)) for k in range(60)]
     out = [d for d, _ in rows if zlib.crc32(str(d).encode()) % 10 == 0]
     rows = [(d, " ".join(["zzz"] * 500 + ["y"]) if d in out else t) for d, t in rows]
@@ -190,6 +190,7 @@ def test_words_frequent_in_held_out_texts_only(spark, make_docs, prose, monkeypa
     counted = {bytes(r["word"]): (r["n"], r["more"]) for r in S.word_counts(docs, held).collect()}
     assert counted[b"zzz"] == (0, 500 * len(out)) and counted[b"\n"] == (60 - len(out), len(out)) and len(out) > 2
     monkeypatch.setattr(S, "P_HEAD", 0.02)
+    monkeypatch.setattr(S, "GROUP_ROWS", 50)
     c = Counter(w for d, t in rows if d not in out for w in [*S.words(t), b"\n"])
     n, bottom = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
     got = {r["doc_id"]: r for r in S.score_texts(docs, held).collect()}
@@ -197,3 +198,25 @@ def test_words_frequent_in_held_out_texts_only(spark, make_docs, prose, monkeypa
         w = [*S.words(t), b"\n"]
         assert (got[d]["n_tokens"], got[d]["n_known"], got[d]["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
         assert got[d]["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / bottom) for x in w), abs=1e-6)
+
+
+def test_held_out_texts_change_no_other_score(spark, make_docs, prose, monkeypatch):
+    """Nor does it matter over how many groups the places of a word that they crowd are dealt."""
+    monkeypatch.setattr(S, "P_HEAD", 0.02)
+    rows = [(100 + k, prose(k % 45, 40, 60)) for k in range(60)]
+    out = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    common = Counter(w for d, t in rows if not out(d) for w in S.words(t)).most_common()
+    # words that training texts have a few times, very often and in the same company
+    few = [w.decode() for w, c in common if 2 <= c <= 4][:3]
+    more = [(d, " ".join([*few, "zzz"] * 300)) for d in range(1000, 1200) if out(d)]
+    held = S.is_held_out(F.col("doc_id"))
+    scores = lambda rows: {r["doc_id"]: (r["base_score"], r["score"], r["n_known"]) for r in S.score_texts(make_docs(rows).select("doc_id", "text"), held).collect()}
+    monkeypatch.setattr(S, "GROUP_ROWS", 10_000_000)
+    alone, whole = scores(rows), scores(rows + more)
+    monkeypatch.setattr(S, "GROUP_ROWS", 100)
+    dealt = scores(rows + more)
+    assert len(few) == 3 and len(more) > 5
+    for d, _ in rows:
+        assert alone[d] == pytest.approx(whole[d], rel=1e-9) and alone[d] == pytest.approx(dealt[d], rel=1e-9)
+    for d, _ in more:
+        assert whole[d] == pytest.approx(dealt[d], rel=1e-9)
