@@ -284,6 +284,37 @@ def health_snapshot(c, messages, sidelined, groups, checkpoints, responses):
     return health.health_snapshot(messages, sidelined, groups, checkpoints, outcome, delivered_lags(messages, responses), LANES, c.as_of, SIZE)
 
 
+#: Tables of four relays, told apart by what a row has anyway; r2 is not active, r9 has nothing.
+_RELAY_SQL = {
+    "m": "(select concat('r', cast(id % 3 as varchar(9))) as relayer_id, * from messages)",
+    "s": "(select concat('r', cast(id % 3 as varchar(9))) as relayer_id, * from sidelined_messages)",
+    "g": "(select concat('r', cast(length(group_id) % 3 as varchar(9))) as relayer_id, * from sidelined_groups)",
+    "k": "(select p.*, concat('r', cast(m.id % 3 as varchar(9))) as relayer_id from max_processed_message_sequence p left join messages m on m.message_id = p.message_id)",
+}
+
+
+@query(
+    "messages sidelined_messages sidelined_groups max_processed_message_sequence",
+    f"""select a.relayer_id, (select max(id) from {_RELAY_SQL["m"]} m where m.relayer_id = a.relayer_id) as max_id,
+      (select count(*) from {_RELAY_SQL["m"]} m where m.relayer_id = a.relayer_id) as n_messages,
+      (select count(*) from {_RELAY_SQL["s"]} s where s.relayer_id = a.relayer_id and s.status = 'SIDELINED') as n_sidelined,
+      (select count(*) from {_RELAY_SQL["g"]} g where g.relayer_id = a.relayer_id) as n_sidelined_groups,
+      (select count(*) from {_RELAY_SQL["k"]} k where k.relayer_id = a.relayer_id) as n_checkpoints,
+      (select count(message_id) from {_RELAY_SQL["k"]} k where k.relayer_id = a.relayer_id) as n_started,
+      cast(coalesce((select max(id) from {_RELAY_SQL["m"]} m where m.relayer_id = a.relayer_id), 0) - coalesce((select max(m.id) from {_RELAY_SQL["m"]} m
+        where m.relayer_id = a.relayer_id and m.message_id = (select arg_max(k.message_id, struct_pack(u := k.updated_at, p := k.process_id)) from {_RELAY_SQL["k"]} k where k.relayer_id = a.relayer_id)), 0) as bigint) as pending,
+      (select (epoch_us(@as_of) // 1000) - (epoch_us(arg_min(m.created_at, m.id)) // 1000) from {_RELAY_SQL["m"]} m join {_RELAY_SQL["k"]} k on k.message_id = m.message_id and k.relayer_id = m.relayer_id where m.relayer_id = a.relayer_id) as min_lag_ms,
+      (select (epoch_us(@as_of) // 1000) - (epoch_us(arg_max(m.created_at, m.id)) // 1000) from {_RELAY_SQL["m"]} m join {_RELAY_SQL["k"]} k on k.message_id = m.message_id and k.relayer_id = m.relayer_id where m.relayer_id = a.relayer_id) as max_lag_ms
+    from (select 'r0' as relayer_id union all select 'r1' union all select 'r9') a""",
+)
+def relay_snapshots(c, messages, sidelined, groups, checkpoints):
+    of = lambda n: F.concat(F.lit("r"), (n % 3).cast("string"))
+    with_relay = [t.withColumn("relayer_id", of(F.col("id"))) for t in (messages, sidelined)]
+    owner = checkpoints.join(messages.select("message_id", of(F.col("id")).alias("relayer_id")), "message_id", "left")
+    active = c.spark.range(10).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("relayer_id")).filter("relayer_id in ('r0', 'r1', 'r9')")
+    return health.relay_snapshots(active, *with_relay, groups.withColumn("relayer_id", of(F.length("group_id"))), owner, c.as_of)
+
+
 @query("messages responses", f"select * from {_DELIVERY_SQL} d")
 def delivery_lag(c, messages, responses):
     return health.delivery_lag(delivered_lags(messages, responses), LANES)
@@ -690,41 +721,43 @@ def checkpoint_upsert(c, checkpoints, messages):
 
 # ---------------------------------------------------------------- retention
 
-_STATS_SQL = f"""(select p as partition_no, p * {SIZE} + 1 as start_id, (p + 1) * {SIZE} as end_id, count(*) as n_rows, arg_max(created_at, id) as last_created_at
-      from (select *, (id - 1) // {SIZE} as p from messages) x group by p)"""
+#: So small that some partitions have no sidelined row.
+ARCHIVE_SIZE = 10
+_STATS_SQL = f"""(select p as partition_no, p * {ARCHIVE_SIZE} + 1 as start_id, (p + 1) * {ARCHIVE_SIZE} as end_id, count(*) as n_rows, arg_max(created_at, id) as last_created_at
+      from (select *, (id - 1) // {ARCHIVE_SIZE} as p from messages) x group by p)"""
 _ARCHIVABLE_SQL = f"""(select partition_no, start_id, end_id, n_rows, last_created_at from (
       select s.*, max(case when date_diff('microsecond', last_created_at, @as_of) // 3600000000 < 240 or end_id >= (select max(id) from messages) then 1 else 0 end)
         over (order by start_id) as stopped from {_STATS_SQL} s) q
     where stopped = 0 and not coalesce((select min(m.id) from messages m join old_checkpoints k on k.message_id = m.message_id) < end_id, false)
-      and partition_no not in (select (m.id - 1) // {SIZE} from messages m join open_sidelined s on s.message_id = m.message_id))"""
+      and partition_no not in (select (m.id - 1) // {ARCHIVE_SIZE} from messages m join sidelined_messages s on s.message_id = m.message_id))"""
 _OLD_SQL = "old_checkpoints as (select * from max_processed_message_sequence where message_id is not null)"
 
 
 def _archivable(c, messages, sidelined, checkpoints):
-    return retention.archivable_partitions(messages, sidelined, checkpoints, c.as_of, 240, SIZE)
+    return retention.archivable_partitions(messages, sidelined, checkpoints, c.as_of, 240, ARCHIVE_SIZE)
 
 
-@query("messages open_sidelined max_processed_message_sequence", f"select a.* from (with {_OLD_SQL} select * from {_ARCHIVABLE_SQL} z) a")
+@query("messages sidelined_messages max_processed_message_sequence", f"select a.* from (with {_OLD_SQL} select * from {_ARCHIVABLE_SQL} z) a")
 def archivable_partitions(c, messages, sidelined, checkpoints):
     return _archivable(c, messages, sidelined, checkpoints)
 
 
 @query(
-    "messages open_sidelined max_processed_message_sequence message_meta_data",
+    "messages sidelined_messages max_processed_message_sequence message_meta_data",
     f"""select d.* from message_meta_data d, (with {_OLD_SQL} select max(end_id) as gone from {_ARCHIVABLE_SQL} z) a
-    where a.gone is null or ((d.id - 1) // {SIZE} + 1) * {SIZE} > a.gone""",
+    where a.gone is null or ((d.id - 1) // {ARCHIVE_SIZE} + 1) * {ARCHIVE_SIZE} > a.gone""",
 )
 def retained_rows(c, messages, sidelined, checkpoints, metadata):
-    return retention.retained_rows(metadata, _archivable(c, messages, sidelined, checkpoints), SIZE, is_metadata=True)
+    return retention.retained_rows(metadata, _archivable(c, messages, sidelined, checkpoints), ARCHIVE_SIZE, is_metadata=True)
 
 
 @query(
-    "messages open_sidelined max_processed_message_sequence skipped_ids",
+    "messages sidelined_messages max_processed_message_sequence skipped_ids",
     f"""select k.id, k.status from skipped_ids k, (with {_OLD_SQL} select max(end_id) as gone from {_ARCHIVABLE_SQL} z) a
-    where a.gone is null or ((k.id - 1) // {SIZE} + 1) * {SIZE} > a.gone""",
+    where a.gone is null or ((k.id - 1) // {ARCHIVE_SIZE} + 1) * {ARCHIVE_SIZE} > a.gone""",
 )
 def retained_skipped(c, messages, sidelined, checkpoints, skipped):
-    return retention.retained_rows(skipped, _archivable(c, messages, sidelined, checkpoints), SIZE).select("id", "status")
+    return retention.retained_rows(skipped, _archivable(c, messages, sidelined, checkpoints), ARCHIVE_SIZE).select("id", "status")
 
 
 @query(
