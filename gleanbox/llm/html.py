@@ -17,7 +17,10 @@ Hosts of any size are handled: a range partitioning in order of host and path sp
 among tasks. Neighbours across the edge of two partitions are paired from one row per edge.
 
 Defined cases: null html is an empty text; a null URL is a host of its own without path;
-unclosed elements end where their parent ends; repeated rows are pages of their own.
+unclosed elements end where their parent ends, an unclosed script or style at the end of the
+page, and other raw elements that nobody closes are empty; repeated rows give a row each, and
+are one page to differencing; an empty table gives an empty result. Character references are
+decoded within a run of text, so a tag in the middle of one leaves it as it stands.
 """
 
 from __future__ import annotations
@@ -113,11 +116,13 @@ class PageLines:
         self.held: list[str] = []
         self.linked = 0
         at, end = 0, len(html)
+        endless: set[str] = set()  # raw elements of which no end comes any more
         while at < end:
             m = _TOKEN.search(html, at)
             stop = m.start() if m else end
             if stop > at:
-                self.held.append(html[at:stop])
+                run = html[at:stop]
+                self.held.append(unescape(run) if "&" in run else run)  # references don't reach across tags
                 if self.named.get("a"):
                     self.linked += stop - at
             if not m:
@@ -129,8 +134,13 @@ class PageLines:
             if m[1]:
                 self.close(name)
             elif name in RAW:
-                close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = close.end() if close else end
+                close = None if name in endless else re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                if close:
+                    at = close.end()
+                elif name in ("script", "style") and not (m[3] or "").endswith("/"):
+                    at = end
+                else:  # a frame that nobody closes, or one that closes itself, has no content
+                    endless.add(name)
             elif name == "br":
                 self.held.append(" ")
             elif name not in VOID:
@@ -143,7 +153,7 @@ class PageLines:
         return self.open[-1][1:] if self.open else (False, False)
 
     def flush(self) -> None:
-        text = " ".join(unescape("".join(self.held)).split())
+        text = " ".join("".join(self.held).split())
         if text:
             content, marked = self.state()
             # outside a content element, a short line that is all link is a menu's

@@ -154,3 +154,22 @@ def test_hard_pages_take_linear_time_and_memory():
     assert len(html.shared_places(a, [x for k in range(0, 6_000, 2) for x in (k + 1, k)])) == 3_000
     assert tracemalloc.get_traced_memory()[1] < 10_000_000
     tracemalloc.stop()
+
+
+def test_ends_of_raw_elements_and_references_across_tags():
+    text = lambda page: html.main_text(page)[0]
+    after = "<p>Hello world after</p></div>"
+    for raw in ("<script>x</script foo>", "<script>x</script/>", "<style>x</style\n>", "<script src=x/>", "<iframe src=x/>", "<iframe src=x>", "<script>a </scripty> b</script>"):
+        assert text(f"<div>{raw}{after}") == "Hello world after", raw
+    assert text("<p>before</p><script>x <p>never</p>") == "before"
+    assert text("<p>&am<b>p;</b> &amp; &lt;b&gt;</p>") == "&amp; & <b>"
+    # many that nobody closes are passed in linear time
+    assert text("<iframe>" * 20_000 + "<p>end</p>") == "end"
+
+
+def test_empty_and_repeated_pages(spark):
+    schema = "page_id long, url string, html string"
+    assert html.extract_main_text(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "http://a/x", "<article><p>one page</p></article>")] * 3 + [(None, None, None)] * 2
+    got = [tuple(r)[:4] for r in html.extract_main_text(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "http://a/x", "one page", 8)] * 3 + [(None, None, "", 0)] * 2, key=repr)
