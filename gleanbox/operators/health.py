@@ -106,7 +106,7 @@ def relay_snapshots(active: DataFrame, messages: DataFrame, sidelined: DataFrame
 def health_snapshot(messages: DataFrame, sidelined: DataFrame, groups: DataFrame, checkpoints: DataFrame, outcome: DataFrame, delivered: DataFrame, lanes: int, as_of: Column, partition_size: int) -> DataFrame:
     """One row: ids, backlog, sidelines, checkpoints, lags, messages processed, headroom of the last partition.
 
-    ``outcome`` has outcome and bucket, ``delivered`` bucket, id and lag_ms. Messages are read
+    ``outcome`` is that of relay_outcome, ``delivered`` has bucket, id and lag_ms. Messages are read
     once: the checkpointed ones, which give backlog and lag, are flagged in the same pass.
     """
     named = named_checkpoints(checkpoints).withColumn("named", F.lit(True))
@@ -128,7 +128,7 @@ def health_snapshot(messages: DataFrame, sidelined: DataFrame, groups: DataFrame
     side = sidelined.agg(F.count(F.when(F.col("status") == "SIDELINED", 1)).alias("n_sidelined"))
     grouped = groups.agg(F.count(F.lit(1)).alias("n_sidelined_groups"))
     own = checkpoints.agg(F.count(F.lit(1)).alias("n_checkpoints"), F.count("message_id").alias("n_started"))
-    processed = processed_count(outcome).agg(F.coalesce(F.sum("n_processed"), F.lit(0)).alias("n_processed"))
+    processed = outcome.filter("outcome <> 'IGNORED'").agg(F.count(F.lit(1)).alias("n_processed"))
     lag = delivery_lag(delivered, lanes).withColumnsRenamed({"max_lag_ms": "max_delivery_lag_ms", "avg_lag_ms": "avg_delivery_lag_ms"})
     out = top
     for one_row in (side, grouped, own, processed, lag):

@@ -269,3 +269,16 @@ def test_read_jdbc_by_id_ranges(spark, tmp_path):
 def test_requests_are_keyed_by_their_sequence(spark):
     rows = spark.createDataFrame([(1, "g", "a"), (2, "g", None), (3, "x", "")], "id long, sequencing_key string, message string")
     assert [tuple(r) for r in outbox.keyed_requests(rows).collect()] == [("g", "a"), ("g", None), ("x", "")]
+
+
+def test_message_ids_of_what_they_stand_for(spark):
+    rows = spark.createDataFrame([("a", "b"), ("ab", ""), ("a", "b"), (None, "ab")], "x string, y string")
+    got = [r[0] for r in rows.select(envelope.business_id(F.col("x"), F.col("y"))).collect()]
+    assert got[0] == got[2] and len(set(got)) == 3
+
+
+def test_periods_of_tasks_are_merged(spark):
+    at = minutes_ago
+    rows = [(at(90), at(80)), (at(85), at(70)), (at(70), at(60)), (at(50), at(40)), (at(48), at(45)), (at(10), at(20)), (None, at(1)), (at(90), at(80))]
+    got = state.merged_periods(spark.createDataFrame(rows, "from_date timestamp, to_date timestamp")).collect()
+    assert sorted(tuple(r) for r in got) == [(at(90), at(60)), (at(50), at(40))]
