@@ -52,3 +52,27 @@ def test_run_is_the_query(spark):
 
     got = {r["doc_id"] for r in queries()["pipeline"](spark, SF).collect()}
     assert got == {r["doc_id"] for r in C.run(spark, SF).collect()} and got
+
+
+def test_empty_tables(spark, make_docs, tmp_path):
+    for name, schema in (("documents", None), ("benchmark", "item_id long, text string")):
+        table = make_docs([]) if schema is None else spark.createDataFrame([], schema)
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, make_docs, odd_docs, prose, tmp_path):
+    """Nulls, repeated rows, copies, a leak, and columns called as the stages call their own."""
+    english = [(k, prose(k, 60), "en", "a" if k % 2 else None) for k in range(100, 130)]
+    copies = [(200, english[0][1], "en", "a"), (201, english[0][1], "en", "b")]
+    leak = [(300, prose(77, 30) + "\nwhat is the capital of that small far country of ours then " + prose(78, 30), "en", "a")]
+    docs = make_docs([*english, english[3], english[3], *copies, *leak]).unionByName(odd_docs)
+    clash = docs.selectExpr("*", "doc_id as row", "1 as size", "2 as taken", "3 as h", "4 as shard", "'x' as word", "5 as places", "6 as target", "'k' as key", "7 as n", "8 as quota")
+    clash.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "what is the capital of that small far country of ours then"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = C.run(spark, str(tmp_path)).collect()
+    ids = {r["doc_id"] for r in got}
+    assert ids <= {r["doc_id"] for r in clash.select("doc_id").collect()}
+    assert ids.isdisjoint({1, 2, 3, 200, 201, 300})  # null and empty texts, copies of 100, the leak
+    assert all(r["row"] == r["doc_id"] and r["quota"] == 8 and r["taken"] > 0 for r in got)
+    assert len(ids & set(range(100, 130))) >= 10

@@ -32,3 +32,7 @@ def test_memory_is_bounded(monkeypatch):
     for k in range(50):
         c.count(f"qzx{k}wv")
     assert len(c) <= len(c.whole) + 4
+
+
+def test_empty_table(spark, make_docs):
+    assert T.count_tokens(make_docs([])).count() == 0
