@@ -7,8 +7,9 @@ page goes this way without being named. All other lines are the text, whether th
 inside <article> or <main> or not, but for marked ones.
 
 Two things are kept from harm. A line inside <article> or <main> is deleted only if the two
-nearest pages of the host share it, since what two articles alone have is a quotation. And a
-pair that shares half or more of either page's text, and of which the rest is alike too or
+nearest pages share it and the same is true of it on ``RECURS`` of the pages of its host, or
+of its section (the first part of the path), and on ``RECURS_PAGES`` at least: what a few
+articles have is a quotation, what nearly all have is the template's. And a pair that shares half or more of either page's text, and of which the rest is alike too or
 nothing is left, is a pair of copies and deletes nothing: lines are alike that begin or end
 with the same ``ENDS`` words. Menus that differ from page to page escape differencing, so
 element names, roles and class names mark the rest; the README says more.
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from gleanbox.llm.common import join_checked, materialize, partitions
 
 COPY_SHARE = 0.5
+RECURS, RECURS_PAGES = 0.8, 3
 ENDS = 5
 MENU_CHARS = 100
 
@@ -273,18 +275,24 @@ def shared_lines(page: tuple, other: tuple) -> list[int] | None:
     return gone if 2 * len(mine & theirs) < min(len(mine), len(theirs)) else None
 
 
-def deletions(page: tuple, *around: tuple | None) -> list[int]:
-    """Places of a page's lines to delete, given the pages around it.
+def deletions(page: tuple, *around: tuple | None) -> tuple[list[int], list[int]]:
+    """Places of a page's lines to delete, and of those to delete if they recur, given the pages around it.
 
     A page is (page_id, host, path, hashes, lengths, all characters, in content, ends). A
-    line outside a content element goes if the nearest page of the host shares it, one
-    inside if the two nearest do; copies are passed over.
+    line outside a content element goes if the nearest page of the host shares it; one inside
+    may go if the two nearest do. Copies are passed over.
     """
     near = [p for p in around if p is not None and p[1] == page[1]]
     near.sort(key=lambda p: -shared_start(page[2], p[2]))
     found = [gone for other in near if (gone := shared_lines(page, other)) is not None]
     twice = set(found[0]).intersection(found[1]) if len(found) > 1 else set()
-    return [i for i in found[0] if i in twice or not page[6][i]] if found else []
+    return [i for i in found[0] if not page[6][i]] if found else [], sorted(i for i in twice if page[6][i])
+
+
+def path_levels(path: str) -> list[str]:
+    """What a page is part of: its host, and the section that the first part of its path names."""
+    section, further, _ = path.partition("/")
+    return ["", section + "/"] if further else [""]
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -335,8 +343,9 @@ def with_neighbours(pages: DataFrame) -> DataFrame:
     return dealt.withColumns({"before": F.lag(page).over(window), "after": F.lead(page).over(window), "second": second}).filter("at.own").drop("at")
 
 
-def paired_deletions(pages: DataFrame) -> DataFrame:
-    """page_key and the places of lines to delete, for pages that have such lines."""
+def compared(pages: DataFrame) -> DataFrame:
+    """A row for each different page: page_key, host, levels, gone, and ``repeats``: the lines
+    inside content that the two nearest pages share, each once with its places."""
 
     def lined(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
@@ -346,13 +355,34 @@ def paired_deletions(pages: DataFrame) -> DataFrame:
     def compare(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         as_page = lambda x: tuple(x[f] for f in _FIELDS) if x is not None else None
         for pdf in rows:
-            pages_here = pdf[_FIELDS].itertuples(index=False, name=None)
-            gone = [deletions(p, *map(as_page, around)) for p, *around in zip(pages_here, pdf["before"], pdf["after"], pdf["second"], strict=True)]
-            out = pd.DataFrame({"page_key": pdf["page_key"], "gone": gone})
-            yield out[[bool(g) for g in gone]]
+            out = []
+            for page, *around in zip(pdf[_FIELDS].itertuples(index=False, name=None), pdf["before"], pdf["after"], pdf["second"], strict=True):
+                gone, maybe = deletions(page, *map(as_page, around))
+                places: dict[int, list[int]] = {}
+                for i in maybe:
+                    places.setdefault(int(page[3][i]), []).append(i)
+                out.append((page[0], page[1], path_levels(page[2]), gone, [{"line": h, "places": at} for h, at in places.items()]))
+            yield pd.DataFrame(out, columns=["page_key", "host", "levels", "gone", "repeats"])
 
     slim = pages.select("page_key", "url", "html").mapInPandas(lined, _LINES).dropDuplicates(["page_key"])
-    return with_neighbours(slim).mapInPandas(compare, "page_key long, gone array<int>")
+    return with_neighbours(slim).mapInPandas(compare, "page_key long, host string, levels array<string>, gone array<int>, repeats array<struct<line:long,places:array<int>>>")
+
+
+def paired_deletions(pages: DataFrame) -> DataFrame:
+    """page_key and the places of lines to delete, for pages that have such lines.
+
+    How often a line is repeated is counted for each host and section; only counts and the
+    lines that pass are shuffled, never texts.
+    """
+    there = materialize(compared(pages), "compared")
+    sizes = there.select("host", F.explode("levels").alias("level")).groupBy("host", "level").agg(F.count(F.lit(1)).alias("pages"))
+    repeats = there.select("page_key", "host", "levels", F.explode("repeats").alias("r")).select("page_key", "host", F.explode("levels").alias("level"), "r.line", "r.places")
+    counts = repeats.groupBy("host", "level", "line").agg(F.count(F.lit(1)).alias("n"))
+    recurs = (F.col("n") >= RECURS_PAGES) & (F.col("n") >= RECURS * F.col("pages"))
+    recurring = materialize(counts.join(sizes, ["host", "level"]).filter(recurs).select("host", "level", "line"), "recurring")
+    inside = join_checked(repeats, recurring, ["host", "level", "line"]).select("page_key", F.col("places").alias("gone"))
+    every = there.select("page_key", "gone").filter(F.size("gone") > 0).unionByName(inside)
+    return every.groupBy("page_key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

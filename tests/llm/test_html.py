@@ -128,7 +128,7 @@ def test_differencing_alone(spark, monkeypatch, prose):
     rows = [(k, f"http://h/a/{k}", page(body(k))) for k in range(6)]
     pages = {k: (k, *html.host_and_path(u), *html.line_columns(h)) for k, u, h in rows}
     for k in range(1, 5):
-        gone = html.deletions(pages[k], pages[k - 1], pages[k + 1])
+        gone, _ = html.deletions(pages[k], pages[k - 1], pages[k + 1])
         lines = [t for t, _, _ in html.page_lines(rows[k][2])]
         assert [t for n, t in enumerate(lines) if n not in gone] == own[k] and len(gone) == 4
     assert np.array_equal(html.last_row(np.array([1, 2]), np.array([2, 1, 2])), [0, 1, 1, 2])
@@ -173,3 +173,64 @@ def test_empty_and_repeated_pages(spark):
     rows = [(1, "http://a/x", "<article><p>one page</p></article>")] * 3 + [(None, None, None)] * 2
     got = [tuple(r)[:4] for r in html.extract_main_text(spark.createDataFrame(rows, schema)).collect()]
     assert sorted(got, key=repr) == sorted([(1, "http://a/x", "one page", 8)] * 3 + [(None, None, "", 0)] * 2, key=repr)
+
+
+def test_lines_inside_content_go_only_if_they_recur(spark):
+    """A quotation that three neighbours have stays; a line of nearly all pages of a section goes."""
+    body = lambda k, more: f"<article><p>{f'Own words number {k} stand here. ' * 9}</p>{more}</article>"
+    quoted, template = "<p>As the mayor said on Monday.</p>", "<p>Subscribers of this section read more.</p>"
+    rows = [(k, f"http://h/news/{k:02d}", page(body(k, quoted if k in (3, 4, 5) else ""))) for k in range(10)]
+    rows += [(k, f"http://h/sport/{k:02d}", page(body(k, template if k != 14 else ""))) for k in range(10, 20)]
+    rows += [(k, f"http://few/{k}", page(body(k, template))) for k in (20, 21)]
+    got = texts(spark, rows)
+    own = {k: " ".join([f"Own words number {k} stand here."] * 9) for k in got}
+    # pages 13, 14 and 15 have neighbours that don't share the line
+    assert all(got[k] == own[k] for k in range(10) if k not in (3, 4, 5))
+    assert all(got[k] == own[k] + " As the mayor said on Monday." for k in (3, 4, 5))
+    assert all(got[k] == own[k] + " Subscribers of this section read more." for k in (20, 21))
+    want = own_lines(rows)
+    assert got == want
+
+
+def own_lines(rows):
+    """Pairing, deletion and extraction by plain loops: every page against all others of its host."""
+    pages = {k: (*html.host_and_path(u), html.page_lines(h)) for k, u, h in rows}
+    shared, repeated, of_page = {}, {}, {}
+    for k, (host, path, lines) in pages.items():
+        others = sorted((p, j) for j, (h, p, _) in pages.items() if h == host)
+        at = others.index((path, k))
+        near = [others[j][1] for j in (at - 1, at + 1) if 0 <= j < len(others)]
+        near += [others[j][1] for j in (at - 2, at + 2) if len(near) == 1 and 0 <= j < len(others)]
+        near.sort(key=lambda j: -html.shared_start(path, pages[j][1]))
+        held = [{t for t, _, _ in pages[j][2]} for j in near]
+        shared[k] = [bool(held) and t in held[0] for t, _, _ in lines]
+        repeated[k] = {t for t, inside, _ in lines if inside and len(held) > 1 and t in held[0] and t in held[1]}
+        of_page[k] = [(host, ""), (host, path.split("/")[0] + "/")][: 2 if "/" in path else 1]
+    out = {}
+    for k, (_, _, lines) in pages.items():
+        gone = set()
+        for level in of_page[k]:
+            there = [j for j in pages if level in of_page[j]]
+            for t in repeated[k]:
+                n = sum(t in repeated[j] for j in there)
+                gone |= {t} if n >= 3 and n >= 0.8 * len(there) else set()
+        out[k] = " ".join(t for (t, inside, marked), both in zip(lines, shared[k], strict=True) if not marked and not (t in gone if inside else both))
+    return out
+
+
+def test_pairing_deletion_and_extraction_by_brute_force(spark):
+    """Random pages of several hosts and sections, against plain loops over all pages."""
+    import random
+
+    r = random.Random(7)
+    rows = []
+    for k in range(160):
+        host, section = f"h{r.randrange(3)}", r.choice(["", "a/", "b/", "c/"])
+        own = [f"<p>{f'{host} {k} {j} own words. ' * 12}</p>" for j in range(2)]
+        shared = [f"<p>Line {n} of {host}{section}</p>" for n in range(4) if r.random() < (0.95, 0.9, 0.3, 0.1)[n]]
+        outside = f"<div>Call {host} any time</div>" if r.random() < 0.8 else ""
+        rows.append((k, f"http://{host}/{section}{k:04d}", page(f"{outside}<article>{own[0]}{''.join(shared)}{own[1]}</article>")))
+    got = texts(spark, rows)
+    want = own_lines(rows)
+    assert got == want
+    assert any("Line 2" in t for t in got.values()) and not all("Line 0" in t for t in got.values())
