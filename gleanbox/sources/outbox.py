@@ -135,11 +135,15 @@ def deliver(requests: DataFrame, send: Callable[[pd.DataFrame], object], slice_r
 
 
 def keyed_requests(requests: DataFrame) -> DataFrame:
-    """(key, value) for a broker: rows of a sequencing key have one key and come from one task, by id."""
-    dealt = requests.repartition("sequencing_key").sortWithinPartitions("sequencing_key", "id")
+    """(key, value) for a broker: rows of a sequencing key have one key and come from one task, by id.
+
+    Rows without a key need no order, and are spread over all tasks.
+    """
+    spread = F.when(F.col("sequencing_key").isNull(), F.xxhash64("id")).otherwise(F.xxhash64(F.col("sequencing_key").cast("string")))
+    dealt = requests.repartition(spread).sortWithinPartitions("sequencing_key", "id")
     return dealt.select(F.col("sequencing_key").cast("string").alias("key"), F.col("message").cast("string").alias("value"))
 
 
 def to_kafka(requests: DataFrame, servers: str, topic: str, format: str = "kafka") -> None:
     """Write requests to a broker; its one partition for a key keeps the order in which a task writes them."""
-    keyed_requests(requests).write.format(format).option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+    keyed_requests(requests).write.mode("append").format(format).option("kafka.bootstrap.servers", servers).option("topic", topic).save()

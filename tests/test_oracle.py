@@ -3,7 +3,7 @@
 import compare
 import pytest
 
-from gleanbox.plans import queries  # noqa: F401
+from gleanbox.plans import queries, stateful  # noqa: F401
 from gleanbox.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -137,3 +137,51 @@ def test_broker_rows_keep_their_order(spark, tmp_path):
         for key in {r["key"] for r in own}:
             got = [int(r["value"][1:]) for r in own if r["key"] == key]
             assert got == sorted(got) and len(got) == 50
+
+
+def test_broker_rows_without_a_key_are_spread(spark):
+    rows = spark.range(400).select("id", F.lit(None).cast("string").alias("sequencing_key"), F.concat(F.lit("v"), "id").alias("message"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in outbox.keyed_requests(rows).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 400 and len(sizes) == 4 and max(sizes) < 200
+
+
+def test_what_a_broker_is_given(spark, tmp_path):
+    """to_kafka against a sink in the broker's place, which writes down what each task hands it."""
+    from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+    folder = str(tmp_path)
+
+    class Lines(DataSourceWriter):
+        def __init__(self, options):
+            self.topic, self.servers = options["topic"], options["kafka.bootstrap.servers"]
+
+        def write(self, rows):
+            import json
+            import uuid
+
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.writelines(json.dumps([self.servers, self.topic, r["key"], r["value"]]) + "\n" for r in rows)
+            return WriterCommitMessage()
+
+    class Broker(DataSource):
+        @classmethod
+        def name(cls):
+            return "broker_in_place"
+
+        def writer(self, schema, overwrite):
+            assert [f.name for f in schema.fields] == ["key", "value"]
+            return Lines(self.options)
+
+    spark.dataSource.register(Broker)
+    rows = spark.createDataFrame([(i, f"k{i % 3}" if i % 5 else None, f"v{i}") for i in random.Random(2).sample(range(60), 60)], "id long, sequencing_key string, message string")
+    outbox.to_kafka(rows, "b1:9092,b2:9092", "orders", format="broker_in_place")
+    files = [[json.loads(x) for x in open(f"{folder}/{n}")] for n in os.listdir(folder)]
+    assert sorted(x[3] for f in files for x in f) == sorted(f"v{i}" for i in range(60))
+    assert {tuple(x[:2]) for f in files for x in f} == {("b1:9092,b2:9092", "orders")}
+    for key in ("k0", "k1", "k2"):
+        held = [[int(x[3][1:]) for x in f if x[2] == key] for f in files]
+        assert [h for h in held if h] == [sorted(i for i in range(60) if i % 5 and i % 3 == int(key[1]))]
