@@ -39,9 +39,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     per = per.withColumn("_cap", cap * F.col("source_size").cast("double"))
     per = per.withColumn("_ratio", F.col("_cap") / F.col("weight"))
     order = Window.orderBy("_ratio", F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    above = order.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_cap").over(above), F.lit(0.0))
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # all less those above: a frame that ends with the last row would be summed anew for each source
+    rest = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(above), F.lit(0.0))
     total = F.sum("source_size").over(everything)
     per = per.withColumns({"_level": (total - before) / rest, "_place": F.row_number().over(order)})
     fits = F.when(F.col("_level") <= F.col("_ratio"), F.struct("_place", "_level"))

@@ -91,3 +91,15 @@ def test_columns_of_helper_names(spark, make_docs):
 def test_agrees_with_sql(spark):
     for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
         assert compare.differences(queries.op10_sainte_lague_mix(spark, sf), compare.connection(sf), queries.oracle_sql()["op10_sainte_lague_mix"]) == ""
+
+
+def test_a_source_per_document(spark):
+    """Very many sources: the windows over all of them take time in proportion."""
+    import time
+
+    n = 60_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("h"), "id").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 40).cast("int")).alias("text"))
+    start = time.perf_counter()
+    got = M.mix_report(docs).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("target").alias("target"), F.sum((F.col("taken") > 3 * F.col("size")).cast("int")).alias("over")).first()
+    assert (got["n"], got["over"]) == (n, 0) and got["target"] == pytest.approx(got["size"])
+    assert time.perf_counter() - start < 60
