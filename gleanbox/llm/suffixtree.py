@@ -1,7 +1,7 @@
-"""Scoring texts with a probabilistic suffix tree over bytes and rare words.
+"""Scoring texts with a probabilistic suffix tree over bytes and words.
 
 A text is its lower-cased words with one space between them and a line feed as its end; a
-line feed also stands before it as context. Contexts are of two kinds.
+line feed also stands before it as context. Contexts are of three kinds.
 
 Contexts of up to ``DEPTH`` bytes. A context is a candidate if it is met in at least ``P_MIN``
 of all places, and is retained if its next-byte distribution diverges from that of its longest
@@ -20,6 +20,13 @@ A word's distribution diverges if its places, each predicted by the others of th
 least ``DIVERGENCE`` nats over the bytes' contexts; then the next word is scored by it,
 smoothed with what the bytes' contexts give.
 
+Contexts of one whole word with at least ``P_HEAD`` of the training tokens, told apart by the
+next words that follow it in at least ``P_HEAD`` of all places, at most 1 / P_HEAD pairs. These
+are counted with the bytes' contexts, and go to every task. The divergence test is the same,
+but that the bytes' contexts begin with the word; all other next words share what is left,
+and are scored by the bytes' contexts times that share. So each word of two training places
+or more may be a context, however frequent it is.
+
 Counts come from every training text. Scoring steps many pieces of texts at once through the
 bytes' contexts as an automaton; a piece starts DEPTH bytes early, after which its state can't
 depend on anything before. A greater DEPTH costs a pass of counting more; what lies beyond six
@@ -39,11 +46,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 from math import log10
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +62,10 @@ DEPTH = 6
 P_MIN = 2e-6
 DIVERGENCE = 6.0
 P_HEAD = 1e-6
+#: Kinds of counts beside those of byte contexts: of pairs of frequent words, and of a frequent word's places before another.
+PAIR, LEADS = -1, -2
+#: Bits for a frequent word's number, which is under 1 / P_HEAD.
+WORD_BITS = 20
 #: Held-out places of a word in one group, and at least as many as a word may have that is no head word.
 GROUP_ROWS = 10_000
 END = 0x0A
@@ -122,6 +135,23 @@ def as_symbols(found: list[bytes]) -> bytes:
     return b"\n" + b" ".join(found) + b"\n"
 
 
+def numbered(texts: list[list[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words of all texts: their numbers, -1 if they have none, and how many more words stand in their text."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    ids = np.fromiter(map(index.get, chain.from_iterable(texts), repeat(-1)), dtype=np.int64, count=int(sizes.sum()))
+    return ids, np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(ids))
+
+
+def pairs_of(ids: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of numbered words before another word, and their packed pairs, -1 if the other has no number.
+
+    A next word that ends its text is told apart from one that doesn't.
+    """
+    at = np.flatnonzero((ids >= 0) & (left > 0))
+    after = ids[at + 1]
+    return at, np.where(after < 0, -1, (ids[at] << (WORD_BITS + 1)) | (after << 1) | (left[at] == 1))
+
+
 @dataclass
 class SuffixTree:
     code: np.ndarray  # byte -> column
@@ -167,6 +197,46 @@ class SuffixTree:
         return np.diff(run[np.cumsum([0] + [len(t) for t in texts])])
 
 
+@dataclass
+class WordContexts:
+    """Frequent words as contexts."""
+
+    keys: np.ndarray  # packed pairs of retained contexts, sorted
+    shares: np.ndarray  # their probabilities, without the bytes' contexts' part
+    rest: np.ndarray  # number of a word -> weight of the bytes' contexts, 1 if it isn't retained
+
+    def gains(self, ids: np.ndarray, left: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of retained words, and what they add to the log10 probability of the next word; logs: the bytes' of each word."""
+        at, pair = pairs_of(ids, left)
+        own = self.rest[ids[at]] < 1
+        at, pair = at[own], pair[own]
+        where = np.minimum(np.searchsorted(self.keys, pair), max(len(self.keys) - 1, 0))
+        share = np.where(self.keys[where] == pair, self.shares[where], 0.0) if len(self.keys) else np.zeros(len(at))
+        return at, np.log10(share * 10.0 ** np.minimum(-logs[at + 1], 300.0) + self.rest[ids[at]])
+
+
+def build_contexts(names: list[bytes], keys: np.ndarray, n: np.ndarray, leads: np.ndarray, tree: SuffixTree, divergence: float = DIVERGENCE) -> WordContexts:
+    """names: the frequent words by number; keys, n: their pairs, sorted, and counts; leads: places before another word."""
+    first, after, last = keys >> (WORD_BITS + 1), (keys >> 1) & ((1 << WORD_BITS) - 1), keys & 1
+    logs = np.zeros(len(keys))
+    for k in range(0, len(keys), FLUSH // 16):
+        part = slice(k, k + FLUSH // 16)
+        before = [b" " + names[i] + b" " for i in first[part].tolist()]
+        next_ = [names[i] + (b"\n" if end else b" ") for i, end in zip(after[part].tolist(), last[part].tolist(), strict=True)]
+        run = np.concatenate([[0.0], np.cumsum(tree.byte_logs([b + w for b, w in zip(before, next_, strict=True)]), dtype=np.float64)])
+        ends = np.cumsum([len(b) + len(w) for b, w in zip(before, next_, strict=True)])
+        logs[part] = run[ends] - run[ends - np.array([len(w) for w in next_])]
+    kinds = np.bincount(first, minlength=len(names))
+    others = leads - np.bincount(first, weights=n, minlength=len(names))
+    # a place predicted by the others of its word, against the bytes' contexts
+    gain = n * (np.log((n - 1) * 10.0 ** np.minimum(-logs, 300.0) + (others + kinds)[first]) - np.log(np.maximum(leads + kinds - 1, 1))[first])
+    gain = np.bincount(first, weights=gain, minlength=len(names)) + others * np.log(np.maximum(others + kinds - 1, 1) / np.maximum(leads + kinds - 1, 1))
+    retained = (kinds > 0) & (gain >= divergence)
+    rest = np.where(retained, (others + kinds) / np.maximum(leads + kinds, 1), 1.0)
+    own = retained[first]
+    return WordContexts(keys[own], (n / (leads + kinds)[first])[own], rest)
+
+
 def build_tree(grams: list[tuple[np.ndarray, np.ndarray]], divergence: float = DIVERGENCE) -> SuffixTree:
     """grams: for each context length the packed (context, next) and counts of the candidates."""
     depth = len(grams) - 1
@@ -268,41 +338,48 @@ def word_counts(docs: DataFrame, held_out: Column) -> DataFrame:
     return counted.groupBy("word").agg(*[F.sum(F.when(F.col("out") == out, F.col("n")).otherwise(0)).alias(name) for out, name in ((False, "n"), (True, "more"))])
 
 
-def longest_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """d, key, n: counts with the longest context that stands at a place (d bytes)."""
+def longest_counts(docs: DataFrame, depth: int = DEPTH, index: Broadcast | None = None) -> DataFrame:
+    """d, key, n: counts with the longest context that stands at a place (d bytes); PAIR and LEADS count words of the index."""
 
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {depth: [], PAIR: [], LEADS: []}
         shorter: Counter[tuple[int, int]] = Counter()
+        numbers = index.value if index else {}
+
+        def emit(d: int) -> Iterator[pd.DataFrame]:
+            keys, n = gathered(np.concatenate([k for k, _ in held[d]]), np.concatenate([c for _, c in held[d]]))
+            held[d].clear()
+            yield from in_slices(pd.DataFrame({"d": np.int32(d), "key": keys, "n": n}))
 
-        def emit() -> pd.DataFrame:
-            keys, n = gathered(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            held.clear()
-            return pd.DataFrame({"d": np.int32(depth), "key": keys, "n": n})
+        def add(d: int, keys: np.ndarray) -> Iterator[pd.DataFrame]:
+            held[d].append(np.unique(keys, return_counts=True))
+            if sum(len(k) for k, _ in held[d]) > 4 * FLUSH:
+                held[d] = [gathered(np.concatenate([k for k, _ in held[d]]), np.concatenate([c for _, c in held[d]]))]
+                if len(held[d][0][0]) > 2 * FLUSH:
+                    yield from emit(d)
 
         def starts() -> pd.DataFrame:
             out = pd.DataFrame({"d": [d for d, _ in shorter], "key": [k for _, k in shorter], "n": list(shorter.values())}).astype({"d": "int32", "key": "int64", "n": "int64"})
             shorter.clear()
             return out
 
-        size = 0
-        for some in batches_of(as_symbols(words(t if isinstance(t, str) else None)) for pdf in rows for t in pdf["text"]):
-            packed, at = packed_grams(some, depth)
-            held.append(np.unique(packed[at >= depth], return_counts=True))
-            size += len(held[-1][0])
-            if size > 4 * FLUSH:
-                held[:] = [gathered(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-                size = len(held[0][0])
-                if size > 2 * FLUSH:
-                    yield from in_slices(emit())
-                    size = 0
-            for t in some:
+        split = (words(t if isinstance(t, str) else None) for pdf in rows for t in pdf["text"])
+        for some in batches_of(((own, as_symbols(own)) for own in split), lambda x: len(x[1])):
+            packed, at = packed_grams([t for _, t in some], depth)
+            yield from add(depth, packed[at >= depth])
+            if numbers:
+                ids, left = numbered([own for own, _ in some], numbers)
+                led, pair = pairs_of(ids, left)
+                yield from add(PAIR, pair[pair >= 0])
+                yield from add(LEADS, ids[led])
+            for _, t in some:
                 for d in range(1, min(depth, len(t))):
                     shorter[d, int.from_bytes(t[: d + 1], "big")] += 1
             if len(shorter) > FLUSH // 4:
                 yield starts()
-        if held:
-            yield from in_slices(emit())
+        for d in held:
+            if held[d]:
+                yield from emit(d)
         if shorter:
             yield starts()
 
@@ -311,8 +388,12 @@ def longest_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def fit_tree(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, divergence: float = DIVERGENCE) -> SuffixTree:
     """Count contexts over all training texts and build the tree from the candidates."""
-    counted = materialize(longest_counts(docs, depth), "grams")
-    places = counted.agg(F.sum("n")).first()[0] or 0
+    return grown_tree(materialize(longest_counts(docs, depth), "grams"), depth, p_min, divergence)
+
+
+def grown_tree(counted: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, divergence: float = DIVERGENCE) -> SuffixTree:
+    """The tree from the counts of the longest contexts."""
+    places = counted.filter("d >= 0").agg(F.sum("n")).first()[0] or 0
     level, grams = None, []
     for d in range(depth, -1, -1):
         # the places of shorter contexts are those of the longer ones, and the starts of texts
@@ -327,6 +408,17 @@ def fit_tree(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, divergen
     return build_tree([(k[order := np.argsort(k)], n[order]) for k, n in grams[::-1]], divergence)
 
 
+def frequent_contexts(counted: DataFrame, names: list[bytes], least: float, tree: SuffixTree) -> WordContexts:
+    """Frequent words as contexts, from the counts of their pairs with at least ``least`` places."""
+    pairs = counted.filter((F.col("d") == PAIR) & (F.col("n") >= least)).select("key", "n").toArrow()
+    keys, n = pairs["key"].to_numpy(), pairs["n"].to_numpy()
+    led = counted.filter(F.col("d") == LEADS).select("key", "n").toArrow()
+    leads = np.zeros(len(names), dtype=np.int64)
+    leads[led["key"].to_numpy()] = led["n"].to_numpy()
+    order = np.argsort(keys)
+    return build_contexts(names, keys[order], n[order], leads, tree)
+
+
 def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     """Scores of all texts (doc_id, text) by what was learned from those not held out (by doc_id).
 
@@ -338,47 +430,59 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     n, v = totals["n"] or 0, totals["v"] or 0
     bottom = n + 0.1 * (v + 1)
     least = max(2, P_HEAD * n)
-    common = counts.filter(F.col("n") >= least).toArrow()
-    head = {w: log10((c + 0.1) / bottom) for w, c in zip(common["word"].to_pylist(), common["n"].to_pylist(), strict=True)}
+    common = counts.filter(F.col("n") >= least).sort("word").toArrow()
+    names = common["word"].to_pylist()
+    index = spark.sparkContext.broadcast({w: k for k, w in enumerate(names)})
+    terms = np.log10((common["n"].to_numpy() + 0.1) / bottom)
     # at most the share of held-out tokens over P_HEAD of them
     group_rows = max(GROUP_ROWS, least)
     crowded = counts.filter((F.col("n") < least) & (F.col("more") > group_rows)).toArrow()
     groups = {w: -int(-c // group_rows) for w, c in zip(crowded["word"].to_pylist(), crowded["more"].to_pylist(), strict=True)}
-    shared = spark.sparkContext.broadcast((fit_tree(training), head, groups))
+    counted = materialize(longest_counts(training, index=index), "grams")
+    tree = grown_tree(counted)
+    shared = spark.sparkContext.broadcast((tree, frequent_contexts(counted, names, least, tree), terms, groups))
+    del tree, names, common
     schema = "doc_id long, row_key long, word binary, dealt int, follows long, lp float, n long, known long, base double, score double"
     columns = [x.split()[0] for x in schema.split(", ")]
 
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, terms, groups = shared.value
+        tree, contexts, terms, groups = shared.value
+        numbers = index.value
         whole = ((i, k, t, o) for pdf in rows for i, k, t, o in zip(pdf["doc_id"].astype("Int64"), pdf["row_key"], pdf["text"], pdf["out"], strict=True))
         for some in batches_of(whole, lambda x: len(x[2]) if isinstance(x[2], str) else 1):
             texts = [words(t if isinstance(t, str) else None) for _, _, t, _ in some]
             symbols = [as_symbols(t) for t in texts]
             run = np.concatenate([[0.0], np.cumsum(tree.byte_logs(symbols), dtype=np.float64)])
+            # a word's part of the text ends with the space or end after it; nothing stands between the ends of an empty text
+            ends = run[1 + np.flatnonzero(np.isin(np.frombuffer(b"".join(symbols), dtype=np.uint8), (0x20, END)))]
+            sizes = np.array([len(t) for t in texts])
+            text_of = np.repeat(np.arange(len(texts)), sizes)
+            begun = np.cumsum(np.maximum(sizes, 1) + 1) - np.maximum(sizes, 1) - 1
+            start = np.cumsum(sizes) - sizes
+            ids, left = numbered(texts, numbers)
+            place = begun[text_of] + np.arange(len(ids)) - start[text_of]
+            logs = ends[place + 1] - ends[place]
+            led, gains = contexts.gains(ids, left, logs)
+            more = np.bincount(text_of[led], weights=gains, minlength=len(texts))
+            common = ids >= 0
+            known = np.bincount(text_of[common], minlength=len(texts))
+            base = np.bincount(text_of[common], weights=terms[ids[common]], minlength=len(texts))
+            rare = np.split(np.flatnonzero(~common), np.searchsorted(np.flatnonzero(~common), start[1:]))
+            end = numbers.get(b"\n")
             out: list[tuple] = []
             at = 0
-            for (i, key, _, held), own, t in zip(some, texts, symbols, strict=True):
-                base, known, rare = 0.0, 0, []
-                for k, w in enumerate([*own, b"\n"]):
-                    term = terms.get(w)
-                    if term is None:
-                        rare.append(k)
-                    else:
-                        base += term
-                        known += 1
-                if rare:
-                    # a word's part of the text ends with the space or end after it
-                    edge = run[at + 1 + np.cumsum([0] + [len(w) + 1 for w in own])]
-                    for k in rare:
-                        follows = k + 1 < len(own)
-                        after = own[k + 1] + (b" " if k + 2 < len(own) else b"\n") if follows else None
-                        word = own[k] if k < len(own) else b"\n"
-                        n_groups = groups.get(word, 1)
-                        # a held-out place is in one group of its word, a training place in all
-                        for dealt in [(key + k) % n_groups] if held else range(n_groups):
-                            out.append((i, key, word, dealt, xxhash.xxh3_64_intdigest(after) >> 1 if follows else None, edge[k + 2] - edge[k + 1] if follows else None, None, None, None, None))
+            for k, ((i, key, _, held), own, t) in enumerate(zip(some, texts, symbols, strict=True)):
+                for j in [*(rare[k] - start[k]).tolist(), *([len(own)] if end is None else [])]:
+                    follows = j + 1 < len(own)
+                    after = own[j + 1] + (b" " if j + 2 < len(own) else b"\n") if follows else None
+                    word = own[j] if j < len(own) else b"\n"
+                    n_groups = groups.get(word, 1)
+                    # a held-out place is in one group of its word, a training place in all
+                    for dealt in [(key + j) % n_groups] if held else range(n_groups):
+                        out.append((i, key, word, dealt, xxhash.xxh3_64_intdigest(after) >> 1 if follows else None, logs[start[k] + j + 1] if follows else None, None, None, None, None))
                 # a key of its own keeps the rows of texts apart in the shuffle; no word has a space
-                out.append((i, key, b" %d" % key, 0, None, None, len(own) + 1, known, base, run[at + len(t)] - run[at]))
+                ended = 0 if end is None else 1
+                out.append((i, key, b" %d" % key, 0, None, None, len(own) + 1, known[k] + ended, base[k] + (terms[end] if ended else 0.0), run[at + len(t)] - run[at] + more[k]))
                 at += len(t)
             for part in (out[k : k + EMIT] for k in range(0, len(out), EMIT)):
                 yield pd.DataFrame(part, columns=columns).astype({"doc_id": "Int64", "follows": "Int64", "n": "Int64", "known": "Int64"})

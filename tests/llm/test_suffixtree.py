@@ -90,6 +90,22 @@ def test_distributions_sum_to_one(texts):
     assert p[:, :-1].sum(axis=1) + unseen * p[:, -1] == pytest.approx(1, abs=1e-5)
 
 
+def test_probabilities_behind_a_frequent_word():
+    """The pairs' shares and the rest make up one; the bytes' contexts divide the rest."""
+    texts = [S.as_symbols(t.split()) for t in [b"a bb", b"a bb a c", b"a c a bb x", b"q"] * 30]
+    tree = S.build_tree(arrays(plain_counts(texts, S.DEPTH)))
+    names = [b"a", b"bb", b"c"]
+    count = Counter()
+    for t in texts:
+        w = t.split()
+        count.update((x, y, k + 2 == len(w)) for k, (x, y) in enumerate(zip(w, w[1:], strict=False)) if x in names)
+    keys = sorted((names.index(x) << 21 | names.index(y) << 1 | last, n) for (x, y, last), n in count.items() if y in names)
+    leads = np.array([sum(n for (x, _, _), n in count.items() if x == w) for w in names])
+    got = S.build_contexts(names, np.array([k for k, _ in keys]), np.array([n for _, n in keys]), leads, tree, 0.1)
+    sums = got.rest + np.bincount(got.keys >> 21, weights=got.shares, minlength=3)
+    assert sums == pytest.approx(1) and got.rest[0] < 1
+
+
 def test_scores_of_a_corpus(spark, make_docs, odd_docs, prose):
     docs = make_docs([(100 + k, prose(k % 70, 30, 50)) for k in range(90)]).unionByName(odd_docs).select("doc_id", "text")
     held = S.is_held_out(F.col("doc_id"))
@@ -137,30 +153,33 @@ def test_no_training_texts(spark, odd_docs):
     assert S.score_texts(odd_docs.limit(0).select("doc_id", "text"), held).count() == 0
 
 
-def test_rare_words_as_contexts(spark, make_docs, prose, monkeypatch):
-    """Scores against plain loops: the byte tree's, and next words after rare words that diverge."""
-    monkeypatch.setattr(S, "P_HEAD", 0.02)
+@pytest.mark.parametrize("p_head", [0.02, 0.006])
+def test_words_as_contexts(spark, make_docs, prose, monkeypatch, p_head):
+    """Scores against plain loops: the byte tree's, and next words after rare and frequent words that diverge."""
+    monkeypatch.setattr(S, "P_HEAD", p_head)
     rows = [(100 + k, prose(k, 40, 60)) for k in range(40)] + [(200 + k, prose(500 + k // 2, 40, 100_000)) for k in range(20)]
+    # frequent words that only a context of over six bytes tells apart
+    pairs = "hoqlaramelu wexu zijlaramelu parot"
+    rows += [(300 + k, f"{pairs} {prose(k, 4, 60)} {pairs} {prose(900 + k, 3, 60)} hoqlaramelu xoqa") for k in range(40)] + [(390, ""), (391, "hoqlaramelu"), (392, None)]
     docs = make_docs(rows).select("doc_id", "text")
     held = S.is_held_out(F.col("doc_id"))
     got = {r["doc_id"]: r for r in S.score_texts(docs, held).collect()}
     out = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows}
     counts = Counter(w for d, t in rows if not out[d] for w in [*S.words(t), b"\n"])
     tree = S.fit_tree(docs.filter(~held))
-    most = max(2, 0.02 * sum(counts.values()))
-    places, of_text = {}, {}
+    most = max(2, p_head * sum(counts.values()))
+    places, frequent, of_text = {}, {}, {}
     for d, t in rows:
         w = S.words(t)
         logs = tree.byte_logs([S.as_symbols(w)]).astype(float)
         of_text[d], at = [logs.sum(), []], 1
         for k, x in enumerate(w[:-1]):
             at += len(x) + 1
-            if counts[x] < most:
-                after = w[k + 1] + (b" " if k + 2 < len(w) else b"\n")
-                place = (x, after, logs[at : at + len(after)].sum())
-                of_text[d][1].append(place)
-                if not out[d]:
-                    places.setdefault(x, {}).setdefault(after, []).append(place[2])
+            after = w[k + 1] + (b" " if k + 2 < len(w) else b"\n")
+            place = (x, after, logs[at : at + len(after)].sum())
+            of_text[d][1].append(place)
+            if not out[d]:
+                (places if counts[x] < most else frequent).setdefault(x, {}).setdefault(after, []).append(place[2])
     retained = {}
     for x, next_ in places.items():
         size, kinds = sum(map(len, next_.values())), len(next_)
@@ -168,11 +187,28 @@ def test_rare_words_as_contexts(spark, make_docs, prose, monkeypatch):
         if size > 1 and gain >= S.DIVERGENCE:
             retained[x] = size, kinds
     assert retained
+    kept = {}
+    for x, next_ in frequent.items():
+        own = {after: len(p) for after, p in next_.items() if counts[after[:-1]] >= most and len(p) >= most}
+        size, kinds = sum(map(len, next_.values())), len(own)
+        rest = size - sum(own.values())
+        gain = rest * math.log((rest + kinds - 1) / (size + kinds - 1)) if rest else 0
+        for after, n in own.items():
+            behind = b" " + x + b" "
+            q = 10 ** tree.byte_logs([behind + after]).astype(float)[len(behind) :].sum()
+            gain += n * math.log((n - 1 + (rest + kinds) * q) / (size + kinds - 1) / q)
+        if kinds and gain >= S.DIVERGENCE:
+            kept[x] = own, size + kinds, rest + kinds
+    assert {b"hoqlaramelu", b"zijlaramelu"} <= kept.keys() and len(kept) < len(frequent)
+    assert len(kept[b"hoqlaramelu"][0]) == (1 if p_head == 0.02 else 2)
     for d, (score, own) in of_text.items():
         for x, after, lp in own:
             if x in retained:
                 size, kinds = retained[x]
                 score += math.log10((len(places[x].get(after, [])) + kinds * 10**lp) / (size + kinds)) - lp
+            elif x in kept:
+                next_, wide, rest = kept[x]
+                score += math.log10((next_.get(after, 0) + rest * 10**lp) / wide) - lp
         assert got[d]["score"] == pytest.approx(score, rel=1e-4, abs=1e-3)
     twice = [d for d in range(200, 220) if not out[d] and not out[d ^ 1]]
     per_token = lambda d: got[d]["score"] / got[d]["n_tokens"]
