@@ -46,7 +46,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 from math import log10
 
 import numpy as np
@@ -82,11 +82,20 @@ def words(text: str | None) -> list[bytes]:
 def gathered(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with the sums of their counts."""
     order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
+    keys = keys[order]  # one after the other, so that less is held at once
+    n = n[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.array([], dtype=np.int64)
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts with the sums of their counts; empties the list, so that its arrays are freed first."""
+    keys, n = [np.concatenate([k for k, _ in parts])], [np.concatenate([c for _, c in parts])]
+    parts.clear()
+    return gathered(keys.pop(), n.pop())
+
+
 def packed_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For every byte: it and up to ``depth`` before it, packed, and its place in its text."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64)
@@ -112,13 +121,13 @@ def gram_counts(texts: list[bytes], depth: int = DEPTH) -> list[tuple[np.ndarray
     return out
 
 
-def batches_of(items: Iterator, size_of=len) -> Iterator[list]:
-    """Items in lists of about BATCH_BYTES."""
+def batches_of(items: Iterator, size_of=len, least: int = BATCH_BYTES) -> Iterator[list]:
+    """Items in lists of at least so many bytes."""
     held, size = [], 0
     for x in items:
         held.append(x)
         size += size_of(x)
-        if size >= BATCH_BYTES:
+        if size >= least:
             yield held
             held, size = [], 0
     if held:
@@ -135,10 +144,15 @@ def as_symbols(found: list[bytes]) -> bytes:
     return b"\n" + b" ".join(found) + b"\n"
 
 
-def numbered(texts: list[list[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Of the words of all texts: their numbers, -1 if they have none, and how many more words stand in their text."""
+def numbers_of(text: list[bytes], index: dict[bytes, int]) -> np.ndarray:
+    """The numbers of a text's words, -1 for those that have none."""
+    return np.fromiter(map(index.get, text, repeat(-1)), dtype=np.int32, count=len(text))
+
+
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers of all texts, and how many more words stand in their text."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    ids = np.fromiter(map(index.get, chain.from_iterable(texts), repeat(-1)), dtype=np.int64, count=int(sizes.sum()))
+    ids = np.concatenate(texts).astype(np.int64)
     return ids, np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(ids))
 
 
@@ -342,20 +356,20 @@ def longest_counts(docs: DataFrame, depth: int = DEPTH, index: Broadcast | None
     """d, key, n: counts with the longest context that stands at a place (d bytes); PAIR and LEADS count words of the index."""
 
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {depth: [], PAIR: [], LEADS: []}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {depth: [], PAIR: []}
         shorter: Counter[tuple[int, int]] = Counter()
         numbers = index.value if index else {}
+        leads = np.zeros(len(numbers), dtype=np.int64)
 
         def emit(d: int) -> Iterator[pd.DataFrame]:
-            keys, n = gathered(np.concatenate([k for k, _ in held[d]]), np.concatenate([c for _, c in held[d]]))
-            held[d].clear()
+            keys, n = merged(held[d])
             yield from in_slices(pd.DataFrame({"d": np.int32(d), "key": keys, "n": n}))
 
-        def add(d: int, keys: np.ndarray) -> Iterator[pd.DataFrame]:
+        def add(d: int, keys: np.ndarray, bound: int) -> Iterator[pd.DataFrame]:
             held[d].append(np.unique(keys, return_counts=True))
-            if sum(len(k) for k, _ in held[d]) > 4 * FLUSH:
-                held[d] = [gathered(np.concatenate([k for k, _ in held[d]]), np.concatenate([c for _, c in held[d]]))]
-                if len(held[d][0][0]) > 2 * FLUSH:
+            if sum(len(k) for k, _ in held[d]) > bound:
+                held[d].append(merged(held[d]))
+                if len(held[d][0][0]) > bound // 2:
                     yield from emit(d)
 
         def starts() -> pd.DataFrame:
@@ -364,14 +378,15 @@ def longest_counts(docs: DataFrame, depth: int = DEPTH, index: Broadcast | None
             return out
 
         split = (words(t if isinstance(t, str) else None) for pdf in rows for t in pdf["text"])
-        for some in batches_of(((own, as_symbols(own)) for own in split), lambda x: len(x[1])):
+        for some in batches_of(((numbers_of(own, numbers) if numbers else None, as_symbols(own)) for own in split), lambda x: len(x[1]), BATCH_BYTES // 4):
             packed, at = packed_grams([t for _, t in some], depth)
-            yield from add(depth, packed[at >= depth])
+            yield from add(depth, packed[at >= depth], 3 * FLUSH // 2)
+            del packed, at
             if numbers:
-                ids, left = numbered([own for own, _ in some], numbers)
+                ids, left = joined([own for own, _ in some])
                 led, pair = pairs_of(ids, left)
-                yield from add(PAIR, pair[pair >= 0])
-                yield from add(LEADS, ids[led])
+                yield from add(PAIR, pair[pair >= 0], FLUSH // 2)
+                leads += np.bincount(ids[led], minlength=len(leads))
             for _, t in some:
                 for d in range(1, min(depth, len(t))):
                     shorter[d, int.from_bytes(t[: d + 1], "big")] += 1
@@ -380,6 +395,8 @@ def longest_counts(docs: DataFrame, depth: int = DEPTH, index: Broadcast | None
         for d in held:
             if held[d]:
                 yield from emit(d)
+        if leads.any():
+            yield from in_slices(pd.DataFrame({"d": np.int32(LEADS), "key": np.flatnonzero(leads), "n": leads[leads > 0]}))
         if shorter:
             yield starts()
 
@@ -459,7 +476,7 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
             text_of = np.repeat(np.arange(len(texts)), sizes)
             begun = np.cumsum(np.maximum(sizes, 1) + 1) - np.maximum(sizes, 1) - 1
             start = np.cumsum(sizes) - sizes
-            ids, left = numbered(texts, numbers)
+            ids, left = joined([numbers_of(t, numbers) for t in texts])
             place = begun[text_of] + np.arange(len(ids)) - start[text_of]
             logs = ends[place + 1] - ends[place]
             led, gains = contexts.gains(ids, left, logs)
