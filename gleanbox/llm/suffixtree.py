@@ -51,6 +51,7 @@ from math import log10
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -140,6 +141,11 @@ def in_slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield frame.iloc[k : k + EMIT]
 
 
+def arrow_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    for frame in frames:
+        yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+
 def as_symbols(found: list[bytes]) -> bytes:
     return b"\n" + b" ".join(found) + b"\n"
 
@@ -330,7 +336,8 @@ def build_tree(grams: list[tuple[np.ndarray, np.ndarray]], divergence: float = D
 def word_counts(docs: DataFrame, held_out: Column) -> DataFrame:
     """word, n, more: counts of all words in training and in held-out texts, and of the end (a lone line feed) once a text."""
 
-    def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Arrow batches, read text by text: a batch isn't held a second time as Python strings
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         found: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
         def emit() -> Iterator[pd.DataFrame]:
@@ -338,24 +345,24 @@ def word_counts(docs: DataFrame, held_out: Column) -> DataFrame:
                 yield from in_slices(pd.DataFrame({"word": list(own), "n": list(own.values()), "out": k == 1}))
                 own.clear()
 
-        for pdf in rows:
-            for t, out in zip(pdf["text"], pdf["out"], strict=True):
-                own = found[bool(out)]
-                own.update(words(t if isinstance(t, str) else None))
+        for batch in rows:
+            for t, out in zip(batch["text"], batch["out"], strict=True):
+                own = found[bool(out.as_py())]
+                own.update(words(t.as_py()))
                 own[b"\n"] += 1
             if sum(map(len, found)) > FLUSH // 2:
                 yield from emit()
         if any(found):
             yield from emit()
 
-    counted = docs.select("text", held_out.alias("out")).mapInPandas(batches, "word binary, n long, out boolean")
+    counted = docs.select("text", held_out.alias("out")).mapInArrow(lambda rows: arrow_batches(batches(rows)), "word binary, n long, out boolean")
     return counted.groupBy("word").agg(*[F.sum(F.when(F.col("out") == out, F.col("n")).otherwise(0)).alias(name) for out, name in ((False, "n"), (True, "more"))])
 
 
 def longest_counts(docs: DataFrame, depth: int = DEPTH, index: Broadcast | None = None) -> DataFrame:
     """d, key, n: counts with the longest context that stands at a place (d bytes); PAIR and LEADS count words of the index."""
 
-    def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {depth: [], PAIR: []}
         shorter: Counter[tuple[int, int]] = Counter()
         numbers = index.value if index else {}
@@ -377,7 +384,7 @@ def longest_counts(docs: DataFrame, depth: int = DEPTH, index: Broadcast | None
             shorter.clear()
             return out
 
-        split = (words(t if isinstance(t, str) else None) for pdf in rows for t in pdf["text"])
+        split = (words(t.as_py()) for batch in rows for t in batch["text"])
         for some in batches_of(((numbers_of(own, numbers) if numbers else None, as_symbols(own)) for own in split), lambda x: len(x[1]), BATCH_BYTES // 4):
             packed, at = packed_grams([t for _, t in some], depth)
             yield from add(depth, packed[at >= depth], 3 * FLUSH // 2)
@@ -400,7 +407,7 @@ def longest_counts(docs: DataFrame, depth: int = DEPTH, index: Broadcast | None
         if shorter:
             yield starts()
 
-    return docs.select("text").mapInPandas(batches, "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lambda rows: arrow_batches(batches(rows)), "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
 
 
 def fit_tree(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, divergence: float = DIVERGENCE) -> SuffixTree:
