@@ -24,7 +24,6 @@ FILE_ROWS = 10_000
 POLLS = 8
 CHANGE_BATCHES = 4
 CYCLES = 2
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _written(table, name):
@@ -99,16 +98,10 @@ def paired_streams(c, metadata, messages):
         path = _written(table.withColumn("created_at", F.col("created_at").cast("timestamp")), name)
         return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
-        rows = pairing.paired(stream(metadata, "metadata"), stream(messages.select("id", "message_id", "message", "group_id", "created_at"), "payload"))
-        out, checkpoint = scratch_folder(spark, "paired"), scratch_folder(spark, "paired-checkpoint")
-        run = rows.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        run.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.schema(pairing.PAIRED).parquet(out).drop("created_at")
+    pairs = pairing.Pairs(scratch_folder(spark, "paired"))
+    rows = pairing.both(stream(metadata, "metadata"), stream(messages.select("id", "message_id", "message", "group_id", "created_at"), "payload"))
+    rows.writeStream.foreachBatch(pairs.handle).option("checkpointLocation", scratch_folder(spark, "paired-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return pairs.told(spark).drop("created_at")
 
 
 def _answers_in_payload(part: pd.DataFrame) -> pd.DataFrame:
