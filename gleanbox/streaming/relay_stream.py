@@ -146,6 +146,36 @@ def ripe(batch: DataFrame, now: Column, seconds: int) -> tuple[DataFrame, DataFr
     return batch.filter(old), batch.filter(~old)
 
 
+BLOCKS = 4096
+FEW_ROWS = 10_000
+
+
+def first_by_id(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows by id, without all of them in one task.
+
+    If there are no more, all. Else counts by blocks of ids tell the block in which the n-th row
+    stands, blocks within it a smaller one, until it has few rows or one id; only these are sorted.
+    """
+    if n <= 0:
+        return rows.limit(0)
+    ends = rows.agg(F.count("id").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("every")).first()  # one row
+    if ends["every"] <= n:
+        return rows
+    if ends["every"] > ends["n"]:
+        return rows.orderBy("id").limit(n)  # rows without an id, which none has that a relay gets
+    lo, hi, before, inside = ends["lo"], ends["hi"], 0, ends["n"]
+    while inside > FEW_ROWS and hi > lo:
+        width = (hi - lo) // BLOCKS + 1
+        blocks = rows.filter(F.col("id").between(lo, hi)).groupBy(F.floor((F.col("id") - lo) / width).cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n")).orderBy("block").collect()  # BLOCKS rows
+        for block in blocks:
+            if before + block["n"] >= n:
+                break
+            before += block["n"]
+        lo, inside = lo + block["block"] * width, block["n"]
+        hi = min(lo + width - 1, hi)
+    return rows.filter(F.col("id") < lo).unionByName(rows.filter(F.col("id").between(lo, hi)).orderBy("id").limit(n - before))
+
+
 @dataclass
 class Relay:
     """A continuous relay: ``handle`` is the function of a foreachBatch or of a poll.
@@ -241,7 +271,7 @@ class Relay:
         """The first released rows by id: those that were, and those that this cycle's tasks release."""
         open_ = sidelined.filter("status = 'UNSIDELINED'").select("id", "message_id", "group_id")
         more = sidelined.join(fresh, "message_id", "left_semi").select("id", "message_id", "group_id")
-        return open_.unionByName(more).dropDuplicates(["message_id"]).orderBy("id").limit(self.cycle_rows)
+        return first_by_id(open_.unionByName(more).dropDuplicates(["message_id"]), self.cycle_rows)
 
     def handle(self, rows: DataFrame, batch: int) -> None:
         """One cycle. State tables are merged once and kept for the cycle."""
@@ -269,7 +299,7 @@ class Relay:
         ready, young = ready.unionByName(young.filter("kind <> 'NEW'")), young.filter("kind = 'NEW'")  # only messages wait
         ready = self._once("ready", batch, ready.dropDuplicates(["kind", "id"]))
         # control tasks
-        tasks = self._once("claimed", batch, ready.filter("kind = 'CONTROL'").orderBy("id").limit(self.cycle_rows))
+        tasks = self._once("claimed", batch, first_by_id(ready.filter("kind = 'CONTROL'"), self.cycle_rows))
         n_tasks = tasks.count()
         if not n_tasks:
             tasks = nothing(spark, INPUT)
@@ -278,7 +308,7 @@ class Relay:
         groups = old["groups"].join(freed.withColumn("_free", F.lit(True)), "group_id", "left").withColumn("status", F.when(F.col("_free"), "UNSIDELINED").otherwise(F.col("status"))).drop("_free")
         # released messages
         full = n_tasks >= self.cycle_rows
-        claimed = self._once("unsidelined", batch, self._released(sidelined, fresh).limit(0 if full else self.cycle_rows))
+        claimed = self._once("unsidelined", batch, self._released(sidelined, fresh) if not full else nothing(spark, "id long, message_id string, group_id string"))
         n_claimed = claimed.count()
         if not n_claimed:
             claimed = nothing(spark, "id long, message_id string, group_id string")
@@ -292,13 +322,13 @@ class Relay:
         behind = messages.limit(0) if last_id is None else messages.filter(F.col("id") <= last_id)
         ahead = messages if last_id is None else messages.filter(F.col("id") > last_id)
         take_late, take_new = (0, 0) if full else (self.cycle_rows, self.cycle_rows)
-        late = behind.orderBy("id").limit(take_late)
+        late = first_by_id(behind, take_late)
         n_late = late.count()
         if not n_late:
             late = nothing(spark, INPUT)
         if n_late >= self.cycle_rows:
             take_new = 0
-        new = self._once("new", batch, ahead.orderBy("id").limit(take_new))
+        new = self._once("new", batch, first_by_id(ahead, take_new))
         left = messages.join(late.unionByName(new).select("id"), "id", "left_anti").unionByName(ready.filter("kind = 'CONTROL'").join(tasks.select("id"), "id", "left_anti"))
         self._keep("held", batch, young.unionByName(left))
         ends = new.agg(F.max(F.struct("id", "created_at")).alias("x")).first()["x"]  # one row

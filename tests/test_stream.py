@@ -285,3 +285,19 @@ def test_lanes_that_were_done_are_not_sent_again(spark, tmp_path):
     assert {r["id"]: r["outcome"] for r in job.told(spark, "outcome", 0).collect()} == {i: "RELAYED" for i in range(1, 25)}
     job.handle(frame(spark, rows), 0)
     assert len(sent_ids(log)) == len(first) + len(later)
+
+
+def test_first_rows_by_id_are_not_brought_into_one_task(spark, monkeypatch):
+    from gleanbox.streaming import relay_stream
+
+    monkeypatch.setattr(relay_stream, "BLOCKS", 7)
+    monkeypatch.setattr(relay_stream, "FEW_ROWS", 5)
+    ids = [-40, *range(3, 60), 1000, 1001, *range(10**12, 10**12 + 40)]
+    rows = spark.createDataFrame([(i, f"m{i}") for i in reversed(ids)], "id long, m string")
+    for n in (0, 1, 2, 30, 58, 60, 61, 80, len(ids), 10**9):
+        assert sorted(r["id"] for r in relay_stream.first_by_id(rows, n).collect()) == ids[:n]
+    assert relay_stream.first_by_id(rows.limit(0), 3).count() == 0
+    same = spark.createDataFrame([(5, str(k)) for k in range(20)] + [(1, "a")], "id long, m string")
+    assert sorted(r["id"] for r in relay_stream.first_by_id(same, 8).collect()) == [1] + [5] * 7
+    every = relay_stream.first_by_id(rows, len(ids))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in every and "Sort" not in every
