@@ -298,6 +298,14 @@ def cell_pairs(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(batches, "a long, b long")
 
 
+def class_texts(texts: DataFrame, involved: DataFrame) -> DataFrame:
+    """class_id and text of the involved classes.
+
+    A class has one text_key, so its rows are where the join has brought them: texts are shuffled once.
+    """
+    return texts.join(involved, "text_key").groupBy("text_key", "class_id").agg(F.first("text").alias("text")).drop("text_key")
+
+
 def grouped_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, n_shingles, set_key of every row; set_key, group, first of every class).
 
@@ -314,7 +322,7 @@ def grouped_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     pairs = centre_pairs(buckets).filter(100 * F.col("low") >= percent * F.col("high")).select("a", "b").distinct()
     texts = docs.select(text_key(F.col("text")).alias("text_key"), "text")
     involved = classes.join(buckets.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "text_key")
-    texts = materialize(texts.join(involved, "text_key").groupBy("class_id").agg(F.first("text").alias("text")), "texts")
+    texts = materialize(class_texts(texts, involved), "texts")
     links = materialize(confirmed(pairs, texts, width, percent), "links-first")
     first = materialize(connected_components(links), "components-first")
     placed = buckets.join(first.withColumnRenamed("node", "class_id"), "class_id", "left")

@@ -112,3 +112,15 @@ def test_columns_of_helper_names(spark, make_docs, prose):
     assert got.columns == docs.columns
     rows = got.collect()
     assert sorted(r["doc_id"] for r in rows) == [*range(0, 20, 2), 50, 51] and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
+def test_texts_of_classes_are_shuffled_once(spark):
+    from gleanbox.llm import neardup
+
+    texts = spark.createDataFrame([(b"a", "one"), (b"a", "one"), (b"b", "two"), (b"c", "three")], "text_key binary, text string")
+    involved = spark.createDataFrame([(b"a", 7), (b"c", 9)], "text_key binary, class_id long")
+    made = neardup.class_texts(texts, involved.hint("merge"))
+    assert sorted(map(tuple, made.collect())) == [(7, "one"), (9, "three")]
+    assert made._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 1
+    plan = neardup.class_texts(texts, involved.hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # one of each table
