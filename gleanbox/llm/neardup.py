@@ -47,6 +47,7 @@ CELL = 400
 FEW = 16
 ERRORS = 6.0
 REMEMBERED = 250_000
+FILTER_WORDS = BROADCAST_ROWS
 
 _random = np.random.default_rng(41)
 _A = _random.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -356,13 +357,30 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     """
     rows, classes = grouped_classes(docs.select("doc_id", "text"), width, percent)
     firsts = materialize(classes.select("first.doc_id", "first.text_key").distinct(), "kept")
-    rows = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "text_key")
-    again = materialize(join_on_row(rows, firsts).select("doc_id", "text_key"), "repeated")
+    counted = rows.filter("set_key is not null").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    gone = materialize(join_on_row(counted, firsts, "left_anti").select("doc_id", "text_key"), "gone")
+    again = materialize(join_on_row(counted.filter("n > 1"), firsts).select("doc_id", "text_key"), "repeated")
     docs = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False)).alias("spoken"))
-    stay = join_on_row(docs.filter("spoken"), firsts)
+    # most rows are neither: they stay where they are, and their texts aren't shuffled
+    docs = marked(docs, gone.unionByName(again))
+    stay = join_on_row(docs.filter("spoken and marked"), gone, "left_anti")
     once = join_on_row(stay, again, "left_anti").select("row")
     one = join_on_row(stay, again).groupBy("doc_id", "text_key").agg(F.first("row").alias("row")).select("row")
-    return docs.filter("not spoken").select("row").unionByName(once).unionByName(one).select("row.*")
+    return docs.filter("not (spoken and marked)").select("row").unionByName(once).unionByName(one).select("row.*")
+
+
+def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows with ``marked``: true if doc_id and text_key are among the keys, and for a few others.
+
+    A Bloom filter of at most FILTER_WORDS words of 64 bits, three bits of one word a key; it is
+    broadcast. With very many keys it marks more of the others, but misses no key.
+    """
+    word = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(FILTER_WORDS)).alias("word")
+    bit = lambda k: F.expr(f"shiftleft(1L, cast(shiftright(xxhash64(doc_id, text_key, 1), {k}) & 63 as int))")
+    bits = bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
+    told = keys.select(word, bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("told"))
+    met = rows.withColumns({"word": word, "bits": bits}).join(F.broadcast(told), "word", "left")
+    return met.withColumn("marked", F.coalesce(F.col("told").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False))).drop("word", "bits", "told")
 
 
 def join_on_row(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:

@@ -124,3 +124,30 @@ def test_texts_of_classes_are_shuffled_once(spark):
     assert made._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 1
     plan = neardup.class_texts(texts, involved.hint("merge"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # one of each table
+
+
+def test_only_rows_that_may_go_are_joined(spark, make_docs, prose, monkeypatch):
+    """Whole rows that stay aren't shuffled to tell them from near-duplicates, however many there are."""
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 0)
+    joined, join = [], N.join_on_row
+
+    def watch(rows, keys, how="left_semi"):
+        if "row" in rows.columns:
+            joined.append(rows.count())
+        return join(rows, keys, how)
+
+    monkeypatch.setattr(N, "join_on_row", watch)
+    rows = [(k, prose(k, 30)) for k in range(200)] + [(300 + k, prose(k, 30)) for k in range(9)] + [(7, prose(7, 30)), (500, None)]
+    got = sorted(r["doc_id"] for r in N.one_of_each_group(make_docs(rows)).collect())
+    assert got == [*range(200), 500]
+    assert joined and max(joined) < 40
+
+
+def test_filter_of_rows_misses_no_key(spark):
+    rows = spark.sql("select id doc_id, unhex(md5(string(id))) text_key from range(4000) union all select null, unhex('00')")
+    keys = rows.filter("doc_id % 10 = 0 or doc_id is null")
+    for words, most in ((N.FILTER_WORDS, 405), (64, 4001)):
+        N.FILTER_WORDS, before = words, N.FILTER_WORDS
+        got = N.marked(rows, keys).filter("marked")
+        N.FILTER_WORDS = before
+        assert got.join(keys, "text_key").count() == 401 and got.count() <= most
