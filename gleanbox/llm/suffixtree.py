@@ -27,7 +27,10 @@ but that the bytes' contexts begin with the word; all other next words share wha
 and are scored by the bytes' contexts times that share. So each word of two training places
 or more may be a context, however frequent it is.
 
-Counts come from every training text. Scoring steps many pieces of texts at once through the
+Counts come from every training text. A pass before tells, by sketches of a bounded number of cells, which
+contexts of five and six bytes and which pairs may be met often enough; a place counts with its
+longest context that may, so contexts that can't be candidates make no rows. Words are told
+apart by 64-bit hashes, but in their own counts' shuffle by themselves. Scoring steps many pieces of texts at once through the
 bytes' contexts as an automaton; a piece starts DEPTH bytes early, after which its state can't
 depend on anything before. A greater DEPTH costs a pass of counting more; what lies beyond six
 bytes is left to the words' contexts.
@@ -43,16 +46,13 @@ base term is log10(1 / (V + 1)) with V = 0.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 from math import log10
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,6 +74,10 @@ BATCH_BYTES = 1 << 21
 FLUSH = 1 << 20
 EMIT = 1 << 18
 LANE = 256
+#: Bits of a sketch's cells by kind: of byte contexts of that length, and of pairs; cells in a row; steps of a threshold's local share.
+CELL_BITS = {DEPTH: 20, DEPTH - 1: 20, PAIR: 22}
+CHUNK = 1 << 14
+STEPS = 8
 
 
 def words(text: str | None) -> list[bytes]:
@@ -99,13 +103,25 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 def packed_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For every byte: it and up to ``depth`` before it, packed, and its place in its text."""
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    at = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    packed = np.zeros(len(data), dtype=np.int64)
-    for k in range(depth, -1, -1):
-        packed[k:] |= data[: len(data) - k] << (8 * k)
-    return packed, at
+    return packed_bytes(np.frombuffer(b"".join(texts), dtype=np.uint8), depth), places_in(sizes)
+
+
+def packed_bytes(data: np.ndarray, depth: int) -> np.ndarray:
+    """Every byte with ``depth`` bytes before it, of whatever text; doubling what is packed."""
+    packed, have = data.astype(np.int64), 1
+    while have <= depth:
+        more = min(have, depth + 1 - have)
+        before = packed[: max(len(packed) - have, 0)] & ((1 << 8 * more) - 1)
+        before <<= 8 * have
+        packed[have:] |= before
+        have += more
+    return packed
+
+
+def places_in(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of the consecutive runs of these sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def gram_counts(texts: list[bytes], depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -122,44 +138,124 @@ def gram_counts(texts: list[bytes], depth: int = DEPTH) -> list[tuple[np.ndarray
     return out
 
 
-def batches_of(items: Iterator, size_of=len, least: int = BATCH_BYTES) -> Iterator[list]:
-    """Items in lists of at least so many bytes."""
-    held, size = [], 0
-    for x in items:
-        held.append(x)
-        size += size_of(x)
-        if size >= least:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of EMIT rows at most."""
+    for k in range(0, batch.num_rows, EMIT):
+        yield batch.slice(k, EMIT)
 
 
-def in_slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """A frame in parts, so that no more than one part is copied on its way out."""
-    for k in range(0, len(frame), EMIT):
-        yield frame.iloc[k : k + EMIT]
+def as_symbols(found: list[bytes]) -> bytes:
+    return b"\n" + b" ".join(found) + b"\n"
 
 
-def arrow_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
-    for frame in frames:
-        yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+# A-Z in lower case, ASCII white space as spaces
+_FOLD = bytes(0x20 if k in b" \t\n\v\f\r" else ord(chr(k).lower()) if k < 0x80 else k for k in range(256))
+_random = np.random.default_rng(17)
+_BYTES = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = int(_random.integers(1 << 40, 1 << 63)) * 2 + 1
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
-def as_symbols(found: list[bytes]) -> bytes:
-    return b"\n" + b" ".join(found) + b"\n"
+def powers(n: int) -> list[np.ndarray]:
+    """At least n powers of the hash's base, and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            each = np.full(n, base, dtype=np.uint64)
+            each[0] = 1
+            _powers[k] = np.cumprod(each, dtype=np.uint64)
+    return _powers
 
 
-def numbers_of(text: list[bytes], index: dict[bytes, int]) -> np.ndarray:
-    """The numbers of a text's words, -1 for those that have none."""
-    return np.fromiter(map(index.get, text, repeat(-1)), dtype=np.int32, count=len(text))
+class Pieces:
+    """Several texts as symbols, joined, and their words; no Python object is made for a word.
 
+    ``starts``, ``ends``: the places of each text's two ENDs. ``begin``, ``stop``: a word stands
+    at begin and before stop, where the space or end after it is. ``first``, ``sizes``: a text's
+    first word and how many it has. ``hashes``: of words, 64 bits.
+    """
 
-def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The words' numbers of all texts, and how many more words stand in their text."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    ids = np.concatenate(texts).astype(np.int64)
-    return ids, np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(ids))
+    def __init__(self, raw: bytes, offsets: list[int]):
+        folded = raw.translate(_FOLD)
+        data = np.frombuffer(b"\n" + b"\n\n".join([folded[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]) + b"\n", dtype=np.uint8)
+        # of a run of white space one space stays, and none beside an END
+        space = data == 0x20
+        parts = space | (data == END)
+        space[1:] &= parts[:-1]
+        data = data[~space]
+        last = np.flatnonzero((data[:-1] == 0x20) & (data[1:] == END))
+        self.data = np.delete(data, last) if len(last) else data
+        ends = np.flatnonzero(self.data == END)
+        self.starts, self.ends = ends[::2], ends[1::2]
+        parts = np.flatnonzero((self.data == 0x20) | (self.data == END))
+        word = np.diff(parts) > 1
+        self.begin, self.stop = parts[:-1][word] + 1, parts[1:][word]
+        self.first = np.searchsorted(self.begin, self.starts)
+        self.sizes = np.diff(self.first, append=len(self.begin))
+        up, down = powers(len(self.data) + 1)
+        run = np.zeros(len(self.data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[self.data] * up[: len(self.data)], out=run[1:])
+        h = (run[self.stop] - run[self.begin]) * down[self.begin] + (self.stop - self.begin).astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= _MIX
+        self.hashes = h ^ (h >> np.uint64(29))
+
+    def words(self, some: np.ndarray) -> list[bytes]:
+        data = self.data.tobytes()
+        return [data[a:b] for a, b in zip(self.begin[some].tolist(), self.stop[some].tolist(), strict=True)]
+
+    def texts(self) -> list[bytes]:
+        data = self.data.tobytes()
+        return [data[a : b + 1] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+
+    def behind(self, depth: int) -> np.ndarray:
+        """Which places have so many bytes of their text before them."""
+        out = np.ones(len(self.data), dtype=bool)
+        for d in range(depth):
+            out[np.minimum(self.starts + d, self.ends)] = False
+        return out
+
+    def left(self) -> np.ndarray:
+        """How many more words stand in a word's text."""
+        return np.repeat(self.first + self.sizes, self.sizes) - 1 - np.arange(len(self.begin))
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], least: int = BATCH_BYTES // 2) -> Iterator[tuple[pa.RecordBatch, Pieces]]:
+    """Rows of at least so many bytes of text together, or what a batch has left, and their texts; a null text is empty."""
+    for batch in batches:
+        texts = batch["text"].fill_null("").cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        k = 0
+        while k < len(texts):
+            to = min(max(int(np.searchsorted(offsets, offsets[k] + least)), k + 1), len(texts), k + least // 64)
+            raw = data[int(offsets[k]) : int(offsets[to])].to_pybytes() if data is not None else b""
+            yield batch.slice(k, to - k), Pieces(raw, (offsets[k : to + 1] - offsets[k]).tolist())
+            k = to
+
+
+class Names:
+    """Frequent words and their numbers, found by hash."""
+
+    def __init__(self, names: list[bytes]):
+        self.end = names.index(b"\n") if b"\n" in names else None
+        own = np.array([k for k in range(len(names)) if k != self.end], dtype=np.int64)
+        data, offsets = b"".join(names[k] for k in own), np.cumsum([0] + [len(names[k]) for k in own]).tolist()
+        hashes = Pieces(data, offsets).hashes if len(own) else np.array([], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.size, self.hashes, self.numbers = len(names), hashes[order], own[order]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for those that have none."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, dtype=np.int64)
+        where = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[where] == hashes, self.numbers[where], -1)
+
+
+def cell_of(keys: np.ndarray, kind: int) -> np.ndarray:
+    """A key's cell in the sketch of its kind."""
+    return ((keys.view(np.uint64) * _MIX) >> np.uint64(64 - CELL_BITS[kind])).view(np.int64)
 
 
 def pairs_of(ids: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -336,78 +432,135 @@ def build_tree(grams: list[tuple[np.ndarray, np.ndarray]], divergence: float = D
 def word_counts(docs: DataFrame, held_out: Column) -> DataFrame:
     """word, n, more: counts of all words in training and in held-out texts, and of the end (a lone line feed) once a text."""
 
-    # Arrow batches, read text by text: a batch isn't held a second time as Python strings
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        found: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
 
-        def emit() -> Iterator[pd.DataFrame]:
+        def emit() -> Iterator[pa.RecordBatch]:
             for k, own in enumerate(found):
-                yield from in_slices(pd.DataFrame({"word": list(own), "n": list(own.values()), "out": k == 1}))
+                n = np.fromiter(own.values(), dtype=np.int64, count=len(own))
+                counts = [n, np.zeros_like(n)] if k == 0 else [np.zeros_like(n), n]
+                yield from sliced(pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), *map(pa.array, counts)], names=["word", "n", "more"]))
                 own.clear()
 
-        for batch in rows:
-            for t, out in zip(batch["text"], batch["out"], strict=True):
-                own = found[bool(out.as_py())]
-                own.update(words(t.as_py()))
-                own[b"\n"] += 1
-            if sum(map(len, found)) > FLUSH // 2:
+        for some, pieces in pieces_of(rows):
+            flags = some["out"].to_numpy(zero_copy_only=False).astype(bool)
+            out = np.repeat(flags, pieces.sizes)
+            for k, own in enumerate(found):
+                which = np.flatnonzero(out == (k == 1))
+                order = which[np.argsort(pieces.hashes[which])]
+                h = pieces.hashes[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.array([], dtype=np.int64)
+                for w, n in zip(pieces.words(order[first]), np.diff(first, append=len(h)).tolist(), strict=True):
+                    own[w] = own.get(w, 0) + n
+                own[b"\n"] = own.get(b"\n", 0) + int((flags == (k == 1)).sum())
+            if sum(map(len, found)) > FLUSH // 4:
                 yield from emit()
-        if any(found):
-            yield from emit()
-
-    counted = docs.select("text", held_out.alias("out")).mapInArrow(lambda rows: arrow_batches(batches(rows)), "word binary, n long, out boolean")
-    return counted.groupBy("word").agg(*[F.sum(F.when(F.col("out") == out, F.col("n")).otherwise(0)).alias(name) for out, name in ((False, "n"), (True, "more"))])
-
-
-def longest_counts(docs: DataFrame, depth: int = DEPTH, index: Broadcast | None = None) -> DataFrame:
-    """d, key, n: counts with the longest context that stands at a place (d bytes); PAIR and LEADS count words of the index."""
-
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {depth: [], PAIR: []}
-        shorter: Counter[tuple[int, int]] = Counter()
-        numbers = index.value if index else {}
-        leads = np.zeros(len(numbers), dtype=np.int64)
-
-        def emit(d: int) -> Iterator[pd.DataFrame]:
-            keys, n = merged(held[d])
-            yield from in_slices(pd.DataFrame({"d": np.int32(d), "key": keys, "n": n}))
-
-        def add(d: int, keys: np.ndarray, bound: int) -> Iterator[pd.DataFrame]:
-            held[d].append(np.unique(keys, return_counts=True))
-            if sum(len(k) for k, _ in held[d]) > bound:
-                held[d].append(merged(held[d]))
-                if len(held[d][0][0]) > bound // 2:
-                    yield from emit(d)
-
-        def starts() -> pd.DataFrame:
-            out = pd.DataFrame({"d": [d for d, _ in shorter], "key": [k for _, k in shorter], "n": list(shorter.values())}).astype({"d": "int32", "key": "int64", "n": "int64"})
-            shorter.clear()
-            return out
-
-        split = (words(t.as_py()) for batch in rows for t in batch["text"])
-        for some in batches_of(((numbers_of(own, numbers) if numbers else None, as_symbols(own)) for own in split), lambda x: len(x[1]), BATCH_BYTES // 4):
-            packed, at = packed_grams([t for _, t in some], depth)
-            yield from add(depth, packed[at >= depth], 3 * FLUSH // 2)
-            del packed, at
-            if numbers:
-                ids, left = joined([own for own, _ in some])
-                led, pair = pairs_of(ids, left)
-                yield from add(PAIR, pair[pair >= 0], FLUSH // 2)
+        yield from emit()
+
+    counted = docs.select("text", held_out.alias("out")).mapInArrow(batches, "word binary, n long, more long").filter("n > 0 or more > 0")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("more").alias("more"))
+
+
+def passing_cells(docs: DataFrame, names: Broadcast, least: dict[int, float]) -> dict[int, np.ndarray]:
+    """For each kind of key whether a cell of its sketch may hold one that is met so often.
+
+    Each task counts the keys of a cell, rounds up to an eighth of its share of the threshold, and
+    tells a byte; 255 stands for any number. So the sums are never too small, and no key that
+    is met often enough can fail.
+    """
+    share = {kind: P_HEAD if kind == PAIR else P_MIN for kind in CELL_BITS}
+
+    def sketches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = {kind: np.zeros(1 << bits, dtype=np.int32) for kind, bits in CELL_BITS.items()}
+        places = dict.fromkeys(CELL_BITS, 0)
+
+        def add(kind: int, keys: np.ndarray, n: int) -> None:
+            places[kind] += n
+            own = cell_of(keys, kind)
+            if len(own) << 4 > len(cells[kind]):
+                cells[kind] += np.bincount(own, minlength=len(cells[kind])).astype(np.int32)
+                return
+            own.sort()
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+            cells[kind][own[first]] += np.diff(first, append=len(own)).astype(np.int32)
+
+        for _, pieces in pieces_of(rows):
+            packed = packed_bytes(pieces.data, DEPTH)
+            for d in (DEPTH, DEPTH - 1):
+                add(d, (packed[pieces.behind(d)] & ((1 << 8 * (d + 1)) - 1)) >> 8, len(packed) - len(pieces.starts))
+            del packed
+            pair = pairs_of(names.value.of(pieces.hashes), pieces.left())[1]
+            add(PAIR, pair[pair >= 0], len(pieces.begin))
+        for kind, own in cells.items():
+            unit = max(1, int(places[kind] * share[kind] / STEPS))
+            told = np.minimum(-(-own // unit), 255).astype(np.uint8).reshape(-1, CHUNK)
+            some = np.flatnonzero(told.any(axis=1))
+            arrays = [np.full(len(some), kind, dtype=np.int32), some.astype(np.int32), np.full(len(some), unit, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array([told[k].tobytes() for k in some], pa.binary())], names=["kind", "chunk", "unit", "cells"])
+
+    def passing(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(CHUNK)
+        for unit, cells in zip(rows["unit"], rows["cells"], strict=True):
+            own = np.frombuffer(cells, dtype=np.uint8)
+            total += np.where(own == 255, np.inf, own * float(unit))
+        kind = int(rows["kind"].iloc[0])
+        return pd.DataFrame({"kind": [kind], "chunk": rows["chunk"].iloc[:1], "bits": [np.packbits(total >= least[kind]).tobytes()]})
+
+    told = docs.select("text").mapInArrow(sketches, "kind int, chunk int, unit long, cells binary").groupBy("kind", "chunk").applyInPandas(passing, "kind int, chunk int, bits binary").toArrow()
+    out = {kind: np.zeros(1 << bits, dtype=bool) for kind, bits in CELL_BITS.items()}
+    for kind, chunk, bits in zip(*(told[c].to_pylist() for c in ("kind", "chunk", "bits")), strict=True):
+        out[kind][chunk * CHUNK : (chunk + 1) * CHUNK] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
+    return out
+
+
+def longest_counts(docs: DataFrame, depth: int = DEPTH, index: Broadcast | None = None, passing: Broadcast | None = None) -> DataFrame:
+    """d, key, n: counts with the longest context that stands at a place (d bytes); PAIR and LEADS count words of the index.
+
+    With ``passing`` a place counts with its longest context that may be a candidate, and pairs count that may be frequent.
+    """
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        names, cells = index.value if index else Names([]), passing.value if passing else {}
+        leads = np.zeros(names.size, dtype=np.int64)
+
+        def told(d: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from sliced(pa.RecordBatch.from_arrays([*map(pa.array, (np.full(len(keys), d, dtype=np.int32), keys, n))], names=["d", "key", "n"]))
+
+        def add(d: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+            parts = held.setdefault(d, [])
+            parts.append(np.unique(keys, return_counts=True))
+            if sum(len(k) for k, _ in parts) > FLUSH:
+                parts.append(merged(parts))
+                if len(parts[0][0]) > FLUSH // 2:
+                    yield from told(d, *parts.pop())
+
+        for _, pieces in pieces_of(rows):
+            packed = packed_bytes(pieces.data, depth)
+            for d in range(1, depth):  # places where no more stands before
+                yield from add(d, packed[pieces.starts[d <= pieces.ends - pieces.starts] + d] & ((1 << 8 * (d + 1)) - 1))
+            packed = packed[pieces.behind(depth)]
+            for d in range(depth, 0, -1):
+                packed &= (1 << 8 * (d + 1)) - 1
+                if d not in cells:
+                    yield from add(d, packed)
+                    break
+                ok = cells[d][cell_of(packed >> 8, d)]
+                yield from add(d, packed[ok])
+                packed = packed[~ok]
+            del packed
+            if names.size:
+                led, pair = pairs_of(ids := names.of(pieces.hashes), pieces.left())
+                pair = pair[pair >= 0]
+                yield from add(PAIR, pair[cells[PAIR][cell_of(pair, PAIR)]] if PAIR in cells else pair)
                 leads += np.bincount(ids[led], minlength=len(leads))
-            for _, t in some:
-                for d in range(1, min(depth, len(t))):
-                    shorter[d, int.from_bytes(t[: d + 1], "big")] += 1
-            if len(shorter) > FLUSH // 4:
-                yield starts()
-        for d in held:
-            if held[d]:
-                yield from emit(d)
+        for d, parts in held.items():
+            if parts:
+                yield from told(d, *merged(parts))
         if leads.any():
-            yield from in_slices(pd.DataFrame({"d": np.int32(LEADS), "key": np.flatnonzero(leads), "n": leads[leads > 0]}))
-        if shorter:
-            yield starts()
+            yield from told(LEADS, np.flatnonzero(leads), leads[leads > 0])
 
-    return docs.select("text").mapInArrow(lambda rows: arrow_batches(batches(rows)), "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(batches, "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
 
 
 def fit_tree(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, divergence: float = DIVERGENCE) -> SuffixTree:
@@ -450,69 +603,72 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     spark, training = docs.sparkSession, docs.filter(~held_out)
     counts = materialize(word_counts(docs, held_out), "words")
-    totals = counts.agg(F.sum("n").alias("n"), F.sum("more").alias("more"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
+    totals = counts.agg(F.sum("n").alias("n"), F.sum("more").alias("more"), F.sum((F.col("n") > 0).cast("long")).alias("v"), F.sum(F.when(F.col("word") != F.lit(b"\n"), F.col("n") * (F.length("word") + 1))).alias("places")).first()
     n, v = totals["n"] or 0, totals["v"] or 0
     bottom = n + 0.1 * (v + 1)
     least = max(2, P_HEAD * n)
     common = counts.filter(F.col("n") >= least).sort("word").toArrow()
     names = common["word"].to_pylist()
-    index = spark.sparkContext.broadcast({w: k for k, w in enumerate(names)})
+    index = spark.sparkContext.broadcast(Names(names))
     terms = np.log10((common["n"].to_numpy() + 0.1) / bottom)
     # at most the share of held-out tokens over P_HEAD of them
     group_rows = max(GROUP_ROWS, least)
     crowded = counts.filter((F.col("n") < least) & (F.col("more") > group_rows)).toArrow()
     groups = {w: -int(-c // group_rows) for w, c in zip(crowded["word"].to_pylist(), crowded["more"].to_pylist(), strict=True)}
-    counted = materialize(longest_counts(training, index=index), "grams")
+    # no more places than there are, since empty texts are left out
+    enough = max(2, P_MIN * (totals["places"] or 0))
+    passing = spark.sparkContext.broadcast(passing_cells(training, index, {kind: least if kind == PAIR else enough for kind in CELL_BITS}))
+    counted = materialize(longest_counts(training, index=index, passing=passing), "grams")
     tree = grown_tree(counted)
     shared = spark.sparkContext.broadcast((tree, frequent_contexts(counted, names, least, tree), terms, groups))
     del tree, names, common
     schema = "doc_id long, row_key long, word binary, dealt int, follows long, lp float, n long, known long, base double, score double"
     columns = [x.split()[0] for x in schema.split(", ")]
 
-    def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, contexts, terms, groups = shared.value
-        numbers = index.value
-        whole = ((i, k, t, o) for pdf in rows for i, k, t, o in zip(pdf["doc_id"].astype("Int64"), pdf["row_key"], pdf["text"], pdf["out"], strict=True))
-        for some in batches_of(whole, lambda x: len(x[2]) if isinstance(x[2], str) else 1):
-            texts = [words(t if isinstance(t, str) else None) for _, _, t, _ in some]
-            symbols = [as_symbols(t) for t in texts]
-            run = np.concatenate([[0.0], np.cumsum(tree.byte_logs(symbols), dtype=np.float64)])
-            # a word's part of the text ends with the space or end after it; nothing stands between the ends of an empty text
-            ends = run[1 + np.flatnonzero(np.isin(np.frombuffer(b"".join(symbols), dtype=np.uint8), (0x20, END)))]
-            sizes = np.array([len(t) for t in texts])
-            text_of = np.repeat(np.arange(len(texts)), sizes)
-            begun = np.cumsum(np.maximum(sizes, 1) + 1) - np.maximum(sizes, 1) - 1
-            start = np.cumsum(sizes) - sizes
-            ids, left = joined([numbers_of(t, numbers) for t in texts])
-            place = begun[text_of] + np.arange(len(ids)) - start[text_of]
-            logs = ends[place + 1] - ends[place]
+        names = index.value
+        for some, pieces in pieces_of(rows):
+            run = np.concatenate([[0.0], np.cumsum(tree.byte_logs(pieces.texts()), dtype=np.float64)])
+            logs = run[pieces.stop + 1] - run[pieces.begin]  # a word's part of the text ends with the space or end after it
+            n_texts = len(pieces.sizes)
+            text_of = np.repeat(np.arange(n_texts), pieces.sizes)
+            ids, left = names.of(pieces.hashes), pieces.left()
             led, gains = contexts.gains(ids, left, logs)
-            more = np.bincount(text_of[led], weights=gains, minlength=len(texts))
             common = ids >= 0
-            known = np.bincount(text_of[common], minlength=len(texts))
-            base = np.bincount(text_of[common], weights=terms[ids[common]], minlength=len(texts))
-            rare = np.split(np.flatnonzero(~common), np.searchsorted(np.flatnonzero(~common), start[1:]))
-            end = numbers.get(b"\n")
-            out: list[tuple] = []
-            at = 0
-            for k, ((i, key, _, held), own, t) in enumerate(zip(some, texts, symbols, strict=True)):
-                for j in [*(rare[k] - start[k]).tolist(), *([len(own)] if end is None else [])]:
-                    follows = j + 1 < len(own)
-                    after = own[j + 1] + (b" " if j + 2 < len(own) else b"\n") if follows else None
-                    word = own[j] if j < len(own) else b"\n"
-                    n_groups = groups.get(word, 1)
-                    # a held-out place is in one group of its word, a training place in all
-                    for dealt in [(key + j) % n_groups] if held else range(n_groups):
-                        out.append((i, key, word, dealt, xxhash.xxh3_64_intdigest(after) >> 1 if follows else None, logs[start[k] + j + 1] if follows else None, None, None, None, None))
-                # a key of its own keeps the rows of texts apart in the shuffle; no word has a space
-                ended = 0 if end is None else 1
-                out.append((i, key, b" %d" % key, 0, None, None, len(own) + 1, known[k] + ended, base[k] + (terms[end] if ended else 0.0), run[at + len(t)] - run[at] + more[k]))
-                at += len(t)
-            for part in (out[k : k + EMIT] for k in range(0, len(out), EMIT)):
-                yield pd.DataFrame(part, columns=columns).astype({"doc_id": "Int64", "follows": "Int64", "n": "Int64", "known": "Int64"})
+            known = np.bincount(text_of[common], minlength=n_texts) + (0 if names.end is None else 1)
+            base = np.bincount(text_of[common], weights=terms[ids[common]], minlength=n_texts) + (0.0 if names.end is None else terms[names.end])
+            score = run[pieces.ends + 1] - run[pieces.starts] + np.bincount(text_of[led], weights=gains, minlength=n_texts)
+            row_key, held = some["row_key"].to_numpy(), some["out"].to_numpy(zero_copy_only=False).astype(bool)
+            # the rows: rare words, ends of texts if they are rare, texts
+            rare = np.flatnonzero(~common)
+            ended = np.arange(n_texts) if names.end is None else np.array([], dtype=np.int64)
+            text, nth = np.concatenate([text_of[rare], ended]), np.concatenate([rare - pieces.first[text_of[rare]], pieces.sizes[ended]])
+            after = np.flatnonzero(left[rare] > 0)
+            follows, lp = np.zeros(len(text), dtype=np.int64), np.zeros(len(text), dtype=np.float32)
+            follows[after] = (pieces.hashes[rare[after] + 1] ^ np.where(left[rare[after]] == 1, _MIX, np.uint64(0))).view(np.int64)
+            lp[after] = logs[rare[after] + 1]
+            none = np.ones(len(text), dtype=bool)
+            none[after] = False
+            words_of = pa.array([*pieces.words(rare), *[b"\n"] * len(ended)], pa.binary())
+            which, dealt = np.arange(len(text)), np.zeros(len(text), dtype=np.int64)
+            if groups:
+                # a held-out place is in one group of its word, a training place in all
+                n_groups = np.fromiter((groups.get(w, 1) for w in words_of.to_pylist()), dtype=np.int64, count=len(text))
+                times = np.where(held[text], 1, n_groups)
+                which = np.repeat(which, times)
+                dealt = np.where(held[text[which]], (row_key[text[which]] + nth[which]) % n_groups[which], places_in(times))
+                words_of = words_of.take(pa.array(which))
+            text = text[which]
+            void = lambda kind, n=len(which): pa.nulls(n, kind)
+            arrays = [some["doc_id"].take(pa.array(text)), row_key[text], words_of, dealt.astype(np.int32), pa.array(follows[which], mask=none[which]), pa.array(lp[which], mask=none[which]), void(pa.int64()), void(pa.int64()), void(pa.float64()), void(pa.float64())]
+            yield from sliced(pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], names=columns))
+            # a key of its own keeps the rows of texts apart in the shuffle; no word has a space
+            arrays = [some["doc_id"], row_key, pa.array([b" %d" % k for k in row_key.tolist()], pa.binary()), np.zeros(n_texts, dtype=np.int32), void(pa.int64(), n_texts), void(pa.float32(), n_texts), pieces.sizes + 1, known, base, score]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], names=columns)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"), held_out.alias("out"))
-    rows = keyed.mapInPandas(batches, schema)
+    rows = keyed.mapInArrow(batches, schema)
     is_text = F.col("score").isNotNull()
     # all places of a rare word meet: its count, those of its next words, and what they gain
     pair, place = Window.partitionBy("word", "dealt", "follows"), Window.partitionBy("word", "dealt")

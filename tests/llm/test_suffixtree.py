@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +257,53 @@ def test_held_out_texts_change_no_other_score(spark, make_docs, prose, monkeypat
         assert alone[d] == pytest.approx(whole[d], rel=1e-9) and alone[d] == pytest.approx(dealt[d], rel=1e-9)
     for d, _ in more:
         assert whole[d] == pytest.approx(dealt[d], rel=1e-9)
+
+
+def test_pieces_equal_split_texts():
+    """Texts in Arrow are folded and split as by plain Python, whatever stands in them."""
+    texts = ["", None, " ", "A\tb\r\n\x0b\x0c c ", "  é À  x", "\x00\x1f a\x1c", "日本 語", "one", "\n\n", "x" * 300, "y Z " * 50]
+    batch = pa.RecordBatch.from_arrays([pa.array(["skipped", *texts])], names=["text"]).slice(1)
+    for least in (1, 40, 1 << 20):
+        got = [x for some, p in S.pieces_of(iter([batch]), max(least, 64)) for x in p.texts()]
+        assert got == [S.as_symbols(S.words(t)) for t in texts]
+    (_, p), = S.pieces_of(iter([batch]))
+    own = [w for t in texts for w in S.words(t)]
+    assert p.words(np.arange(len(p.begin))) == own and p.sizes.tolist() == [len(S.words(t)) for t in texts]
+    assert len(set(p.hashes.tolist())) == len(set(own)) == len({*zip(own, p.hashes.tolist(), strict=True)})
+    names = [b"\n", "é".encode(), b"one", b"y"]
+    assert S.Names(names).of(p.hashes).tolist() == [names.index(w) if w in names else -1 for w in own]
+
+
+def test_counts_of_what_may_be_frequent(spark, make_docs, prose, monkeypatch):
+    """Contexts and pairs that are too rare make few rows; counts of all others are whole."""
+    monkeypatch.setattr(S, "P_MIN", 0.002)
+    monkeypatch.setattr(S, "P_HEAD", 0.001)
+    rows = [(k, prose(k, 60, 5000)) for k in range(120)] + [(k, "the same old words " * 12) for k in range(120, 150)] + [(200, None), (201, "")]
+    docs = make_docs(rows).select("text").repartition(3)
+    own = [S.words(t) for _, t in rows]
+    count = Counter(w for t in own for w in t)
+    n = sum(count.values()) + len(rows)
+    names = sorted(w for w, c in count.items() if c >= S.P_HEAD * n)
+    index = spark.sparkContext.broadcast(S.Names(names))
+    want = plain_counts([S.as_symbols(t) for t in own], S.DEPTH)
+    places = sum(want[0].values())
+    passing = spark.sparkContext.broadcast(S.passing_cells(docs, index, {k: max(2, S.P_HEAD * n if k == S.PAIR else S.P_MIN * places) for k in S.CELL_BITS}))
+    whole = {(r["d"], r["key"]): r["n"] for r in S.longest_counts(docs, index=index).collect()}
+    got = {(r["d"], r["key"]): r["n"] for r in S.longest_counts(docs, index=index, passing=passing).collect()}
+    assert len(got) < len(whole) / 2 and sum(c for (d, _), c in got.items() if d >= 0) == places
+    for kind in (S.PAIR, S.LEADS):
+        often = lambda x: {k: c for k, c in x.items() if k[0] == kind and c >= S.P_HEAD * n}  # noqa: B023, E731
+        assert often(got) == often(whole) != {}
+    for d in range(S.DEPTH + 1):
+        by = Counter()
+        for (k, key), c in got.items():
+            if k >= d:
+                by[key & ((1 << 8 * (d + 1)) - 1)] += c
+        total, most = Counter(), Counter()
+        for (ctx, s), c in want[d].items():
+            total[ctx] += c
+        for key, c in by.items():
+            most[key >> 8] += c
+        kept = {int.from_bytes(ctx + bytes([s]), "big"): c for (ctx, s), c in want[d].items() if total[ctx] >= S.P_MIN * places}
+        assert kept and {k: by[k] for k in kept} == kept
+        assert {c for c, x in most.items() if x >= S.P_MIN * places} == {k >> 8 for k in kept}
